@@ -20,6 +20,7 @@ from cohortloom.operators import clusters, stats
 from cohortloom.operators.classify import classify_contributions, classify_expenses
 from cohortloom.operators.counting import active_users, class_counts
 from cohortloom.operators.features import (
+    active_cohort,
     add_log_features,
     counted_users,
     fit_log_scales,
@@ -201,7 +202,8 @@ def bottom_expenses(spark, sf_dir):
 
 
 def _users(spark, sf_dir) -> DataFrame:
-    return cohort.stage_users(SampleTables(spark, sf_dir), CONFIG, StageArea(spark))
+    """All users, for queries that read them once."""
+    return cohort.all_users(SampleTables(spark, sf_dir), CONFIG)
 
 
 def _active(spark, sf_dir) -> DataFrame:
@@ -211,7 +213,9 @@ def _active(spark, sf_dir) -> DataFrame:
 @register
 def blocked_filter(spark, sf_dir):
     """Counted users that name no blocked account, with their totals."""
-    users = counted_users(_users(spark, sf_dir), CONFIG)
+    stages = StageArea(spark)
+    users = cohort.stage_users(SampleTables(spark, sf_dir), CONFIG, stages)
+    users = counted_users(users, CONFIG)
     totals = ["total_contributions", "total_expenses", "total_activities"]
     return users.select("user_id", "user_slug", *MEASURES, *totals)
 
@@ -243,12 +247,13 @@ def class_user_share(spark, sf_dir):
 
 @register
 def class_pies(spark, sf_dir):
-    return stats.class_pies(_active(spark, sf_dir))
+    return stats.class_pies(active_cohort(_users(spark, sf_dir), CONFIG))
 
 
 @register
 def class_histogram(spark, sf_dir):
-    return stats.histogram(_active(spark, sf_dir), cap=CONFIG.histogram_cap)
+    active = active_cohort(_users(spark, sf_dir), CONFIG)
+    return stats.histogram(active, cap=CONFIG.histogram_cap)
 
 
 # --- Scales ------------------------------------------------------------------------------------

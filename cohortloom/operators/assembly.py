@@ -2,63 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.config import CLASSES, ActivityClass
 
 
-def _by_user(long: DataFrame, columns: list[str]) -> DataFrame:
-    """Collect a user's classes, at most eleven, into a map."""
-    entry = F.struct("activity_class", F.struct(*columns))
-    return long.groupBy("user_id").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("classes")
-    )
-
+def _by_user(long: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """One row per user with the parts of every class, e.g. ``event_orders__n``.
 
-def _part(c: ActivityClass, part: str) -> Column:
-    return F.try_element_at("classes", F.lit(c.measure))[part]
+    A user has at most one row per class, so each aggregate picks one value.
+    """
+    picks = [
+        F.expr(
+            f"first(CASE WHEN activity_class = '{c.measure}' THEN {part} END, true) "
+            f"AS {c.measure}__{part}"
+        )
+        for c in CLASSES
+        for part in parts
+        if part != "recipients" or c.from_orders
+    ]
+    return long.groupBy("user_id").agg(*picks)
 
 
-def _count_and_lists(c: ActivityClass) -> list[Column]:
-    count = F.coalesce(_part(c, "n"), F.lit(0).cast("bigint")).alias(c.measure)
-    return [count, *[_part(c, p).alias(c.column(p)) for p in c.list_parts]]
+def _or_zero(c: ActivityClass, part: str, zero: str) -> str:
+    return f"coalesce({c.measure}__{part}, {zero}) AS {c.column('count' if part == 'n' else part)}"
 
 
-def _all_parts(c: ActivityClass) -> list[Column]:
-    count, hosts, *recipients = _count_and_lists(c)
+def _all_parts(c: ActivityClass) -> list[str]:
     columns = [
-        count,
-        F.coalesce(_part(c, "log"), F.lit(0.0)).alias(c.column("log")),
-        F.coalesce(_part(c, "score"), F.lit(0.0)).alias(c.column("score")),
-        F.coalesce(_part(c, "rank"), F.lit(0.0)).alias(c.column("rank")),
-        F.coalesce(_part(c, "percentile"), F.lit(0)).alias(c.column("percentile")),
-        hosts,
+        _or_zero(c, "n", "0L"),
+        _or_zero(c, "log", "0D"),
+        _or_zero(c, "score", "0D"),
+        _or_zero(c, "rank", "0D"),
+        _or_zero(c, "percentile", "0"),
     ]
-    if recipients:
+    columns += [f"{c.measure}__{part} AS {c.column(part)}" for part in c.list_parts]
+    if c.from_orders:
         # Null, not zero, where the class is inactive.
-        size = F.when(_part(c, "recipients").isNotNull(), F.size(_part(c, "recipients")))
-        columns += [*recipients, size.alias(c.column("recipient_count"))]
+        listed = f"{c.measure}__recipients"
+        size = f"CASE WHEN {listed} IS NOT NULL THEN size({listed}) END"
+        columns.append(f"{size} AS {c.column('recipient_count')}")
     return columns
 
 
 def cohort_table(active: DataFrame, scored: DataFrame) -> DataFrame:
     """The cohort table: ids and 78 class columns. Sort it by user where it is written."""
     parts = ["n", "log", "score", "rank", "percentile", "hosts", "recipients"]
-    columns = [col for c in CLASSES for col in _all_parts(c)]
-    return active.join(_by_user(scored, parts), "user_id", "left").select(
+    columns = [text for c in CLASSES for text in _all_parts(c)]
+    return active.join(_by_user(scored, parts), "user_id", "left").selectExpr(
         "user_id", "user_slug", *columns
     )
 
 
 def user_counts(active: DataFrame, counts: DataFrame) -> DataFrame:
     """The thirty columns that the user analysis keeps, without scores; missing lists are empty."""
-    empty = F.array().cast("array<string>")
+    empty = "CAST(array() AS array<string>)"
     columns = []
     for c in CLASSES:
-        count, *_ = _count_and_lists(c)
-        columns += [count]
-        columns += [F.coalesce(_part(c, p), empty).alias(c.column(p)) for p in c.list_parts]
-    return active.join(_by_user(counts, ["n", "hosts", "recipients"]), "user_id", "left").select(
+        columns.append(_or_zero(c, "n", "0L"))
+        columns += [_or_zero(c, part, empty) for part in c.list_parts]
+    return active.join(_by_user(counts, ["n", "hosts", "recipients"]), "user_id", "left").selectExpr(
         "user_id", "user_slug", *columns
     )

@@ -19,31 +19,27 @@ from cohortloom.functions.columns import (
     measure_of_label,
 )
 from cohortloom.operators.filters import drop_values, keep_values, rolling_window
+from cohortloom.operators.lookups import left_lookup
 from cohortloom.sources.tables import Tables
 
 
 def user_directory(users: DataFrame, collectives: DataFrame) -> DataFrame:
     """One row per user: id, slug of the user's own account, and whether that account exists."""
-    accounts = collectives.select(
-        F.col("id").alias("collective_id"),
-        F.col("slug").alias("user_slug"),
-        F.lit(True).alias("has_account"),
-    )
-    return (
-        users.select(F.col("id").alias("user_id"), "collective_id")
-        .join(accounts, "collective_id", "left")
-        .drop("collective_id")
+    accounts = collectives.select(F.col("id").alias("account_id"), F.col("slug").alias("user_slug"))
+    people = users.select(F.col("id").alias("user_id"), "collective_id")
+    found = left_lookup(people, accounts, "collective_id", "account_id", ["user_id"])
+    return found.select(
+        "user_id", "user_slug", F.col("account_id").isNotNull().alias("has_account")
     )
 
 
 def account_profiles(collectives: DataFrame) -> DataFrame:
     """Accounts with the slug of their host."""
-    hosts = collectives.select(
-        F.col("id").alias("host_collective_id"), F.col("slug").alias("host_slug")
-    )
-    return collectives.select(
+    hosts = collectives.select(F.col("id").alias("host_id"), F.col("slug").alias("host_slug"))
+    accounts = collectives.select(
         "id", "slug", "type", "parent_collective_id", "host_collective_id"
-    ).join(hosts, "host_collective_id", "left")
+    )
+    return left_lookup(accounts, hosts, "host_collective_id", "host_id", ["id"]).drop("host_id")
 
 
 def admin_links(members: DataFrame) -> DataFrame:
@@ -61,9 +57,8 @@ def admin_links(members: DataFrame) -> DataFrame:
 def relate(facts: DataFrame, collectives: DataFrame, members: DataFrame) -> DataFrame:
     """Add payee (must exist), its host, payer (may be missing) and ADMIN memberships.
 
-    ``facts`` has ``to_id`` and ``from_id`` and any other columns. Every lookup is on a unique key,
-    so no row is multiplied; a payee or payer that holds a large share of the rows is left to the
-    run-time split of skewed joins, or to a broadcast where the accounts are small.
+    ``facts`` has ``user_id``, ``to_id``, ``from_id`` and any other columns. Every lookup is on a
+    unique key, so no row is multiplied.
     """
     payee = account_profiles(collectives).select(
         F.col("id").alias("payee_id"),
@@ -78,11 +73,10 @@ def relate(facts: DataFrame, collectives: DataFrame, members: DataFrame) -> Data
         F.col("type").alias("payer_type"),
         F.col("parent_collective_id").alias("payer_parent_id"),
     )
-    return (
-        facts.join(payee, F.col("to_id") == F.col("payee_id"))
-        .join(payer, F.col("from_id") == F.col("payer_id"), "left")
-        .join(admin_links(members), ["payer_id", "payee_id"], "left")
-        .drop("to_id", "from_id")
+    known = facts.join(payee, F.col("to_id") == F.col("payee_id"))
+    known = left_lookup(known, payer, "from_id", "payer_id", ["user_id", "payee_id"])
+    return known.join(admin_links(members), ["payer_id", "payee_id"], "left").drop(
+        "to_id", "from_id"
     )
 
 
@@ -121,9 +115,15 @@ def order_facts(orders: DataFrame, cfg: Config) -> DataFrame:
 def mark_host_payment(facts: DataFrame, payment_methods: DataFrame) -> DataFrame:
     """Replace the payment method by whether it is of type ``host``."""
     host_methods = keep_values(payment_methods, "type", ["host"]).select(
-        F.col("id").alias("payment_method_id"), F.lit(True).alias("paid_by_host")
+        F.col("id").cast("bigint").alias("host_method_id")
+    )
+    keyed = facts.withColumn("payment_method_id", F.col("payment_method_id").cast("bigint"))
+    found = left_lookup(
+        keyed, host_methods, "payment_method_id", "host_method_id", ["user_id", "to_id"]
+    )
+    return found.withColumn("paid_by_host", F.col("host_method_id").isNotNull()).drop(
+        "payment_method_id", "host_method_id"
     )
-    return facts.join(host_methods, "payment_method_id", "left").drop("payment_method_id")
 
 
 def _one_row_per_link(df: DataFrame) -> DataFrame:

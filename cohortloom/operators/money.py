@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.config import NO_METHOD_LABEL, Config
 from cohortloom.functions.columns import to_usd, whole_usd
 from cohortloom.operators.filters import drop_zero, keep_values, month_period
+from cohortloom.operators.lookups import left_lookup
 from cohortloom.sources.tables import Tables, small_table
 
 ROW_KEYS = ("collective_id", "collective_slug", "host_collective_id", "host_collective_slug")
@@ -57,8 +58,7 @@ def income_rollup(t: Tables, cfg: Config) -> DataFrame:
     """Count, sum and tips of income per (parent) account, host, payment method and currency.
 
     A tip belongs to an order and is added once per transaction of that order. Transactions are
-    first summed per order, so each lookup sees a smaller frame than the one before; those without
-    a tip to look up do not take part in the order lookup.
+    first summed per order, so each lookup sees a smaller frame than the one before.
     """
     keys = ["collective_id", "host_collective_id", "currency", "payment_method_id"]
     measures = ["transaction_count", "total_amount", "platform_tip_amount"]
@@ -66,24 +66,25 @@ def income_rollup(t: Tables, cfg: Config) -> DataFrame:
 
     per_order = (
         _period(t, cfg, "CREDIT", cfg.income_kinds)
+        .withColumn("payment_method_id", F.col("payment_method_id").cast("bigint"))
         .groupBy(*keys, "order_id")
         .agg(F.count("id").alias("transaction_count"), F.sum("amount").alias("total_amount"))
     )
     tips = t.orders.filter("platform_tip_amount IS NOT NULL").select(
-        F.col("id").alias("order_id"), F.col("platform_tip_amount").alias("tip")
+        F.col("id").alias("tip_order_id"), F.col("platform_tip_amount").alias("tip")
     )
     per_method = (
-        per_order.join(tips, "order_id", "left")
+        left_lookup(per_order, tips, "order_id", "tip_order_id", keys)
         .withColumn("platform_tip_amount", F.col("tip") * F.col("transaction_count"))
         .groupBy(*keys)
         .agg(*totals)
     )
     methods = t.payment_methods.select(
-        F.col("id").alias("payment_method_id"), F.col("type").alias("method")
-    )
-    per_account = per_method.join(methods, "payment_method_id", "left").withColumn(
-        "payment_method_type", F.coalesce("method", F.lit(NO_METHOD_LABEL))
+        F.col("id").cast("bigint").alias("method_id"), F.col("type").alias("method")
     )
+    per_account = left_lookup(
+        per_method, methods, "payment_method_id", "method_id", ["collective_id", "currency"]
+    ).withColumn("payment_method_type", F.coalesce("method", F.lit(NO_METHOD_LABEL)))
     return (
         _roll_up_to_parent(per_account, t.collectives, cfg.income_account_types)
         .groupBy("collective_id", "host_collective_id", "payment_method_type", "currency")

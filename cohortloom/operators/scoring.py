@@ -33,54 +33,47 @@ def class_limits(
     count: str = "n",
     user_id: str = "user_id",
 ) -> DataFrame:
-    """Per class: the largest count and the last ``(count, user id)`` of every tile but the last.
+    """Per class: the largest count and the last ``(count, user id)`` of every tile.
 
-    ``counts`` is read three times, so pass a written table.
+    ``counts`` is read several times, so pass a written table.
 
     1. Cells of (count, id block) are counted; a running sum over them gives the ranks each covers.
-    2. A tile ends in exactly one cell. Only these cells, at most ``tiles - 1`` per class, are
-       ordered row by row, each in its own task.
+       A class has at most 1024 cells per distinct count, however many users it has.
+    2. A tile ends in exactly one cell. Only the cells in which a tile ends, at most ``tiles`` per
+       class, are ordered row by row, each in its own task.
     """
     keyed = counts.select(group, count, user_id, _id_block(counts, user_id).alias("block"))
-    cells = keyed.groupBy(group, count, "block").agg(F.count(F.lit(1)).alias("users"))
-    earlier = W.partitionBy(group).orderBy(count, "block").rowsBetween(W.unboundedPreceding, -1)
+    cell = [group, count, "block"]
+    cells = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("users"))
+    in_class = W.partitionBy(group)
+    earlier = in_class.orderBy(count, "block").rowsBetween(W.unboundedPreceding, -1)
     ranked = cells.select(
-        group,
-        count,
-        "block",
+        *cell,
         "users",
         F.coalesce(F.sum("users").over(earlier), F.lit(0)).alias("before"),
-        F.sum("users").over(W.partitionBy(group)).alias("total"),
+        F.sum("users").over(in_class).alias("total"),
+        F.max(count).over(in_class).alias("largest"),
     )
-
     # Rank of the last row of tile i: the first (total % tiles) tiles hold one row more.
-    def last_rank(i: Column) -> Column:
-        small = F.floor(F.col("total") / tiles)
-        return i * small + F.least(i, F.col("total") % tiles)
-
-    ends = F.filter(
-        F.sequence(F.lit(1).cast("bigint"), F.lit(tiles - 1).cast("bigint")),
-        lambda i: (last_rank(i) > F.col("before"))
-        & (last_rank(i) <= F.col("before") + F.col("users")),
-    )
-    cell = [group, count, "block"]
-    ends = ranked.select(*cell, "before", F.explode(ends).alias("tile"), "total").select(
-        *cell, "tile", (last_rank(F.col("tile")) - F.col("before")).alias("position")
+    last_ranks = (
+        f"transform(sequence(1L, {tiles}L), i -> i * (total div {tiles}) "
+        f"+ least(i, total % {tiles}))"
     )
-    # At most (tiles - 1) rows per class on the broadcast side.
+    here = f"filter({last_ranks}, r -> r > before AND r <= before + users)"
+    ends = ranked.select(
+        *cell, "largest", F.expr(f"transform({here}, r -> r - before)").alias("positions")
+    ).filter("size(positions) > 0")
+    # At most one row per tile and class on the broadcast side.
     in_cell = W.partitionBy(*cell).orderBy(user_id)
     last_rows = (
-        keyed.join(F.broadcast(ends.select(*cell).distinct()), cell, "left_semi")
-        .withColumn("position", F.row_number().over(in_cell))
-        .join(F.broadcast(ends), [*cell, "position"])
+        keyed.join(F.broadcast(ends), cell)
+        .withColumn("position", F.row_number().over(in_cell).cast("bigint"))
+        .filter("array_contains(positions, position)")
     )
-    limits = last_rows.groupBy(group).agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col(count).alias("n"), F.col(user_id).alias("id")))
-        ).alias("tile_ends")
+    end = F.struct(F.col(count).alias("n"), F.col(user_id).alias("id"))
+    return last_rows.groupBy(group).agg(
+        F.max("largest").alias("largest"), F.sort_array(F.collect_list(end)).alias("tile_ends")
     )
-    largest = counts.groupBy(group).agg(F.max(count).alias("largest"))
-    return largest.join(F.broadcast(limits), group, "left")
 
 
 def score_classes(counts: DataFrame, cfg: Config) -> DataFrame:
@@ -95,7 +88,7 @@ def score_classes(counts: DataFrame, cfg: Config) -> DataFrame:
     step = 100 // cfg.tiles
     score = F.try_divide(F.log10(F.col("n") + 1), F.log10("largest"))
     return (
-        # One row per class, eleven in all.
+        # One row per class, at most eleven.
         counts.join(F.broadcast(limits), "activity_class")
         .withColumn("log", log_score("n"))
         .withColumn("raw_score", score)
