@@ -72,7 +72,7 @@ def _fit_all(points: DataFrame, runs: list[tuple[int, int]], max_iter: int) -> l
         return _fit(points, run[0], run[1], max_iter)
 
     with ThreadPoolExecutor(max_workers=8) as pool:
-        return list(pool.map(inheritable_thread_target(task), runs))
+        return list(pool.map(inheritable_thread_target(points.sparkSession)(task), runs))
 
 
 def _seeds(cfg: Config) -> list[int]:
