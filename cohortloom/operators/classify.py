@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.config import Config
 from cohortloom.functions.columns import (
-    any_of,
     contribution_label,
     expense_label,
     host_label,
@@ -27,7 +26,7 @@ def user_directory(users: DataFrame, collectives: DataFrame) -> DataFrame:
     """One row per user: id, slug of the user's own account, and whether that account exists."""
     accounts = collectives.select(F.col("id").alias("account_id"), F.col("slug").alias("user_slug"))
     people = users.select(F.col("id").alias("user_id"), "collective_id")
-    found = left_lookup(people, accounts, "collective_id", "account_id", ["user_id"])
+    found = left_lookup(people, accounts, {"collective_id": "account_id"}, ["user_id"])
     return found.select(
         "user_id", "user_slug", F.col("account_id").isNotNull().alias("has_account")
     )
@@ -39,7 +38,8 @@ def account_profiles(collectives: DataFrame) -> DataFrame:
     accounts = collectives.select(
         "id", "slug", "type", "parent_collective_id", "host_collective_id"
     )
-    return left_lookup(accounts, hosts, "host_collective_id", "host_id", ["id"]).drop("host_id")
+    found = left_lookup(accounts, hosts, {"host_collective_id": "host_id"}, ["id"])
+    return found.drop("host_id")
 
 
 def admin_links(members: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def admin_links(members: DataFrame) -> DataFrame:
     return (
         keep_values(members, "role", ["ADMIN"])
         .groupBy(
-            F.col("member_collective_id").alias("payer_id"),
-            F.col("collective_id").alias("payee_id"),
+            F.col("member_collective_id").alias("member_id"),
+            F.col("collective_id").alias("account_id"),
         )
         .agg(F.count(F.lit(1)).alias("admin_links"))
     )
@@ -74,10 +74,11 @@ def relate(facts: DataFrame, collectives: DataFrame, members: DataFrame) -> Data
         F.col("parent_collective_id").alias("payer_parent_id"),
     )
     known = facts.join(payee, F.col("to_id") == F.col("payee_id"))
-    known = left_lookup(known, payer, "from_id", "payer_id", ["user_id", "payee_id"])
-    return known.join(admin_links(members), ["payer_id", "payee_id"], "left").drop(
-        "to_id", "from_id"
-    )
+    spread = ["user_id", "payee_id"]
+    known = left_lookup(known, payer, {"from_id": "payer_id"}, spread)
+    pair = {"payer_id": "member_id", "payee_id": "account_id"}
+    known = left_lookup(known, admin_links(members), pair, spread)
+    return known.drop("to_id", "from_id", "member_id", "account_id")
 
 
 def log_facts(activities: DataFrame, cfg: Config) -> DataFrame:
@@ -118,9 +119,8 @@ def mark_host_payment(facts: DataFrame, payment_methods: DataFrame) -> DataFrame
         F.col("id").cast("bigint").alias("host_method_id")
     )
     keyed = facts.withColumn("payment_method_id", F.col("payment_method_id").cast("bigint"))
-    found = left_lookup(
-        keyed, host_methods, "payment_method_id", "host_method_id", ["user_id", "to_id"]
-    )
+    method = {"payment_method_id": "host_method_id"}
+    found = left_lookup(keyed, host_methods, method, ["user_id", "to_id"])
     return found.withColumn("paid_by_host", F.col("host_method_id").isNotNull()).drop(
         "payment_method_id", "host_method_id"
     )
@@ -159,32 +159,31 @@ def counted_acts(t: Tables, cfg: Config) -> DataFrame:
 
     Facts are first reduced to one row per (user, act, payee, payer) with a count, so a user or an
     account with a large share of the log becomes few rows before any lookup, and the lookups run
-    once for all eleven classes.
+    once for all eleven classes. Only orders look up their user here, because their label depends
+    on the user's own account.
     """
     keys = ["user_id", "act", "to_id", "from_id"]
     size = F.count(F.lit(1)).alias("n")
     acts = log_facts(drop_values(t.activities, "user_id", cfg.exclude_user_ids), cfg)
-    acts = acts.groupBy(*keys).agg(size).withColumn("paid_by_host", F.lit(None).cast("boolean"))
+    acts = acts.groupBy(*keys).agg(size)
     orders = order_facts(t.orders, cfg).groupBy(*keys, "payment_method_id").agg(size)
-    orders = mark_host_payment(orders, t.payment_methods)
+    people = user_directory(t.users, t.collectives).drop("has_account")
+    orders = mark_host_payment(orders, t.payment_methods).join(people, "user_id")
 
-    people = user_directory(t.users, t.collectives)
     is_order = F.col("act") == "order"
-    # The user lookup comes last: the counts are then already partitioned by user.
-    related = relate(acts.unionByName(orders), t.collectives, t.members).join(people, "user_id")
-    related = related.filter(any_of([is_order, F.col("has_account")]))
+    facts = orders.unionByName(acts, allowMissingColumns=True)
+    related = relate(facts, t.collectives, t.members)
     label = F.when(F.col("act") == "expense", expense_label()).when(
         is_order, contribution_label(cfg)
     )
+    # Card and admin acts carry no payer, so they match no membership.
     links = F.greatest(F.coalesce(F.col("admin_links"), F.lit(1)), F.lit(1))
     return related.select(
         "user_id",
-        "user_slug",
         F.when(label.isNull(), F.col("act"))
         .otherwise(measure_of_label(label))
         .alias("activity_class"),
         host_label("host_slug").alias("host"),
         F.when(is_order, host_label("payee_slug")).alias("recipient"),
-        # Card and admin acts carry no payer, so they match no membership.
         (F.col("n") * links).alias("n"),
     ).filter(F.col("activity_class").isNotNull())

@@ -24,15 +24,20 @@ def active_users(t: Tables, cfg: Config) -> DataFrame:
 def class_counts(t: Tables, cfg: Config) -> DataFrame:
     """Per user and class: number of rows, sorted distinct hosts and recipients.
 
-    Recipients are null for classes of the activity log.
+    Recipients are null for classes of the activity log. Each task reduces its own rows before the
+    shuffle by user and class. Users are looked up last, when there is one row per user and class;
+    the log classes need a user with an account.
     """
     recipients = F.array_sort(F.collect_set("recipient"))
-    return (
+    counts = (
         counted_acts(t, cfg)
-        .groupBy("user_id", "user_slug", "activity_class")
+        .groupBy("user_id", "activity_class")
         .agg(
             F.sum("n").alias("n"),
             F.array_sort(F.collect_set("host")).alias("hosts"),
             F.when(F.size(recipients) > 0, recipients).alias("recipients"),
         )
     )
+    people = user_directory(t.users, t.collectives)
+    known = counts.join(people, "user_id").filter("has_account OR recipients IS NOT NULL")
+    return known.select("user_id", "user_slug", "activity_class", "n", "hosts", "recipients")

@@ -74,7 +74,7 @@ def income_rollup(t: Tables, cfg: Config) -> DataFrame:
         F.col("id").alias("tip_order_id"), F.col("platform_tip_amount").alias("tip")
     )
     per_method = (
-        left_lookup(per_order, tips, "order_id", "tip_order_id", keys)
+        left_lookup(per_order, tips, {"order_id": "tip_order_id"}, keys)
         .withColumn("platform_tip_amount", F.col("tip") * F.col("transaction_count"))
         .groupBy(*keys)
         .agg(*totals)
@@ -83,7 +83,7 @@ def income_rollup(t: Tables, cfg: Config) -> DataFrame:
         F.col("id").cast("bigint").alias("method_id"), F.col("type").alias("method")
     )
     per_account = left_lookup(
-        per_method, methods, "payment_method_id", "method_id", ["collective_id", "currency"]
+        per_method, methods, {"payment_method_id": "method_id"}, ["collective_id", "currency"]
     ).withColumn("payment_method_type", F.coalesce("method", F.lit(NO_METHOD_LABEL)))
     return (
         _roll_up_to_parent(per_account, t.collectives, cfg.income_account_types)
@@ -110,7 +110,7 @@ def rates_frame(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def enrich(df: DataFrame, collectives: DataFrame) -> DataFrame:
-    """Add the account's slug, and slug and fee of its host."""
+    """Add the account's slug, and slug and fee of its host. Rows lacking any of them drop out."""
     own = collectives.select(
         F.col("id").alias("collective_id"), F.col("slug").alias("collective_slug")
     )
@@ -119,42 +119,47 @@ def enrich(df: DataFrame, collectives: DataFrame) -> DataFrame:
         F.col("slug").alias("host_collective_slug"),
         "host_fee_percent",
     )
-    return df.join(own, "collective_id", "left").join(host, "host_collective_id", "left")
+    return df.join(own.dropna(), "collective_id").join(host.dropna(), "host_collective_id")
 
 
 def _merge_currencies(df: DataFrame, keys: list[str], amounts: list[str]) -> DataFrame:
-    """Sum over currencies. Rows with an unknown key drop out; missing amounts count as zero."""
-    sums = [F.coalesce(F.sum(a), F.lit(0.0)).alias(a) for a in amounts]
-    merged = (
-        df.dropna(subset=keys)
-        .groupBy(*keys)
-        .agg(F.sum("transaction_count").alias("transaction_count"), *sums)
-    )
-    return merged.withColumns({a: whole_usd(F.col(a)) for a in amounts})
+    """Sum over currencies, in whole dollars; missing amounts count as zero.
+
+    Slugs and fees follow from the ids, so the sums are taken before they are looked up: the lookup
+    of the hosts, some of which hold very many accounts, is then the last step.
+    """
+    sums = [whole_usd(F.coalesce(F.sum(a), F.lit(0.0))).alias(a) for a in amounts]
+    known = df.dropna(subset=["collective_id", "host_collective_id"])
+    return known.groupBy(*keys).agg(F.sum("transaction_count").alias("transaction_count"), *sums)
 
 
 def expenses_in_usd(rollup: DataFrame, collectives: DataFrame, cfg: Config) -> DataFrame:
-    rows = convert(
-        drop_zero(rollup, "total_amount"),
-        rates_frame(rollup, cfg),
-        {"total_amount": "amount_in_usd"},
+    """Expenses per account and host, in whole dollars."""
+    amounts = {"total_amount": "amount_in_usd"}
+    rows = convert(drop_zero(rollup, "total_amount"), rates_frame(rollup, cfg), amounts)
+    keys = ["collective_id", "host_collective_id"]
+    merged = _merge_currencies(rows, keys, list(amounts.values()))
+    return enrich(merged, collectives).select(
+        *ROW_KEYS, "host_fee_percent", "transaction_count", "amount_in_usd"
     )
-    keys = [*ROW_KEYS, "host_fee_percent"]
-    return _merge_currencies(enrich(rows, collectives), keys, ["amount_in_usd"])
 
 
 def income_in_usd(rollup: DataFrame, collectives: DataFrame, cfg: Config) -> DataFrame:
-    rows = convert(
-        drop_zero(rollup, "total_amount"),
-        rates_frame(rollup, cfg),
-        {
-            "total_amount": "amount_in_usd",
-            "platform_tip_amount": "platform_tip_amount_in_usd",
-        },
-    )
-    keys = [*ROW_KEYS, "payment_method_type", "host_fee_percent"]
-    amounts = ["amount_in_usd", "platform_tip_amount_in_usd"]
-    return _merge_currencies(enrich(rows, collectives), keys, amounts)
+    """Income and tips per account, host and payment method, in whole dollars."""
+    amounts = {
+        "total_amount": "amount_in_usd",
+        "platform_tip_amount": "platform_tip_amount_in_usd",
+    }
+    rows = convert(drop_zero(rollup, "total_amount"), rates_frame(rollup, cfg), amounts)
+    keys = ["collective_id", "host_collective_id", "payment_method_type"]
+    merged = _merge_currencies(rows, keys, list(amounts.values()))
+    return enrich(merged, collectives).select(
+        *ROW_KEYS,
+        "payment_method_type",
+        "host_fee_percent",
+        "transaction_count",
+        *amounts.values(),
+    )
 
 
 def drop_spam_and_internal(df: DataFrame, cfg: Config) -> DataFrame:

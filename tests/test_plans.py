@@ -118,7 +118,7 @@ def test_lookup_splits_hot_keys_and_spreads_missing_ones(spark, settings):
         spark__sql__adaptive__coalescePartitions__enabled="false",
     )
     settings(spark__sql__shuffle__partitions="16")
-    found = left_lookup(facts, dim, "k", "account_id", ["fact_id"])
+    found = left_lookup(facts, dim, {"k": "account_id"}, ["fact_id"])
     placed = found.withColumn("task", F.spark_partition_id())
     rows = placed.select("slug", "payload", "task").collect()
     sizes, got = Counter(r.task for r in rows), Counter(r.slug for r in rows)
