@@ -23,13 +23,24 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def first_match(rules: Sequence[tuple[Column, str]], default: str | None = None) -> Column:
-    """Label of the first rule that holds; unknown (null) conditions fall through."""
+def first_match(
+    rules: Sequence[tuple[Column, str]],
+    default: str | None = None,
+    names: dict[str, str] | None = None,
+) -> Column:
+    """Label of the first rule that holds; unknown (null) conditions fall through.
+
+    ``names`` gives other names to the labels; a label without one becomes null.
+    """
+
+    def shown(label: str | None) -> Column:
+        return F.lit(names.get(label) if names else label).cast("string")
+
     condition, label = rules[0]
-    chain = F.when(condition, F.lit(label))
+    chain = F.when(condition, shown(label))
     for condition, label in rules[1:]:
-        chain = chain.when(condition, F.lit(label))
-    return chain if default is None else chain.otherwise(F.lit(default))
+        chain = chain.when(condition, shown(label))
+    return chain if default is None else chain.otherwise(shown(default))
 
 
 def by_value(column: str, choices: dict[str, Column]) -> Column:
@@ -62,14 +73,15 @@ def is_internal() -> Column:
     )
 
 
-def expense_label() -> Column:
+def expense_label(names: dict[str, str] | None = None) -> Column:
     return first_match(
         [(is_internal(), C.INTERNAL_EXPENSE), (F.col("admin_links") > 0, C.OWN_EXPENSE)],
         C.EXPENSE,
+        names,
     )
 
 
-def contribution_label(cfg: Config) -> Column:
+def contribution_label(cfg: Config, names: dict[str, str] | None = None) -> Column:
     """The order of the rules matters: an event paid from host funds is "via host"."""
     own_money = [F.col("payer_slug") == F.col("user_slug")]
     own_money += [F.col("payer_slug").startswith(p) for p in cfg.direct_slug_prefixes]
@@ -83,14 +95,10 @@ def contribution_label(cfg: Config) -> Column:
             (any_of(own_money), C.DIRECT),
         ],
         C.VIA_COLLECTIVE,
+        names,
     )
 
 
-def measure_of_label(label: Column) -> Column:
-    """Count column that a label feeds; null for internal moves, which no class counts."""
-    return first_match([(label == k, v) for k, v in C.MEASURE_OF_LABEL.items()])
-
-
 def log_act(type_col: str, cfg: Config) -> Column:
     """What a log row counts as. Expenses still await their label; other types are final."""
     t = F.col(type_col)

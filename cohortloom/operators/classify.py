@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.config import Config
+from cohortloom.config import MEASURE_OF_LABEL, Config
 from cohortloom.functions.columns import (
     contribution_label,
     expense_label,
     host_label,
     log_act,
-    measure_of_label,
 )
 from cohortloom.operators.filters import drop_values, keep_values, rolling_window
 from cohortloom.operators.lookups import left_lookup
@@ -173,16 +172,17 @@ def counted_acts(t: Tables, cfg: Config) -> DataFrame:
     is_order = F.col("act") == "order"
     facts = orders.unionByName(acts, allowMissingColumns=True)
     related = relate(facts, t.collectives, t.members)
-    label = F.when(F.col("act") == "expense", expense_label()).when(
-        is_order, contribution_label(cfg)
+    # Internal moves feed no class and get none.
+    activity_class = (
+        F.when(is_order, contribution_label(cfg, MEASURE_OF_LABEL))
+        .when(F.col("act") == "expense", expense_label(MEASURE_OF_LABEL))
+        .otherwise(F.col("act"))
     )
     # Card and admin acts carry no payer, so they match no membership.
     links = F.greatest(F.coalesce(F.col("admin_links"), F.lit(1)), F.lit(1))
     return related.select(
         "user_id",
-        F.when(label.isNull(), F.col("act"))
-        .otherwise(measure_of_label(label))
-        .alias("activity_class"),
+        activity_class.alias("activity_class"),
         host_label("host_slug").alias("host"),
         F.when(is_order, host_label("payee_slug")).alias("recipient"),
         (F.col("n") * links).alias("n"),
