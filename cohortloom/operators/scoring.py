@@ -54,15 +54,28 @@ def class_limits(
         F.sum("users").over(in_class).alias("total"),
         F.max(count).over(in_class).alias("largest"),
     )
-    # Rank of the last row of tile i: the first (total % tiles) tiles hold one row more.
-    last_ranks = (
-        f"transform(sequence(1L, {tiles}L), i -> i * (total div {tiles}) "
-        f"+ least(i, total % {tiles}))"
+    # The first (total % tiles) tiles hold one row more than the rest.
+    small, large, extra = f"(total div {tiles})", f"(total div {tiles} + 1)", f"(total % {tiles})"
+
+    def tiles_until(rank: str) -> str:
+        """Number of tiles that end at or before a rank."""
+        rest = f"{extra} + ({rank} - {extra} * {large}) div greatest({small}, 1)"
+        return f"CASE WHEN {rank} <= {extra} * {large} THEN {rank} div {large} ELSE {rest} END"
+
+    ends = (
+        ranked.selectExpr(
+            "*",
+            f"{tiles_until('before')} AS ended",
+            f"{tiles_until('(before + users)')} AS ending",
+        )
+        .filter("ending > ended")
+        .selectExpr(
+            *cell,
+            "largest",
+            f"transform(sequence(ended + 1, ending), "
+            f"i -> i * {small} + least(i, {extra}) - before) AS positions",
+        )
     )
-    here = f"filter({last_ranks}, r -> r > before AND r <= before + users)"
-    ends = ranked.select(
-        *cell, "largest", F.expr(f"transform({here}, r -> r - before)").alias("positions")
-    ).filter("size(positions) > 0")
     # At most one row per tile and class on the broadcast side.
     in_cell = W.partitionBy(*cell).orderBy(user_id)
     last_rows = (
@@ -83,8 +96,9 @@ def score_classes(counts: DataFrame, cfg: Config) -> DataFrame:
     no user has two rows of a class the score is 0.
     """
     limits = class_limits(counts, cfg.tiles)
-    own = F.struct(F.col("n").alias("n"), F.col("user_id").alias("id"))
-    passed = F.size(F.filter(F.col("tile_ends"), lambda end: end < own))
+    # A row's tile is its place among the tile ends of its class.
+    own = F.struct("n", F.col("user_id").alias("id"))
+    tile = F.array_position(F.sort_array(F.array_append("tile_ends", own)), own)
     step = 100 // cfg.tiles
     score = F.try_divide(F.log10(F.col("n") + 1), F.log10("largest"))
     return (
@@ -94,6 +108,6 @@ def score_classes(counts: DataFrame, cfg: Config) -> DataFrame:
         .withColumn("raw_score", score)
         .withColumn("score", F.coalesce("raw_score", F.lit(0.0)))
         .withColumn("rank", rank_bucket(F.col("raw_score"), cfg.rank_width))
-        .withColumn("percentile", (step * (passed + 1)).cast("int"))
+        .withColumn("percentile", (step * tile).cast("int"))
         .drop("raw_score", "largest", "tile_ends")
     )
