@@ -70,6 +70,7 @@ _USD = "amount_in_usd"
 _COUNT = "transaction_count"
 _FEE = "host_fee_label"
 
+# The ten tree maps, with path, value and title.
 TREES = (
     Tree(
         "expense_amount_by_host",

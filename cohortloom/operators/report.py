@@ -30,7 +30,10 @@ def _tree_items(*names: str) -> list[tuple]:
 
 
 def _sections(cfg: Config) -> list[tuple[str, str, list[tuple]]]:
-    """(id, title, items); an item is (title or None, description, result name)."""
+    """(id, title, items); an item is (title or None, description, result name).
+
+    Fixed values: ids, titles and order of the sections.
+    """
     measures = [
         (measure_title(m), f"Users with {measure_title(m)}, and users by number of them", m)
         for m in CHART_MEASURES
