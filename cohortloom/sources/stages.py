@@ -7,30 +7,44 @@ every later read prune columns.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only for a local master."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    A master on one machine without that setting gets one temporary folder for the process, removed
+    at its end. The setting itself is never changed.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="run-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 class StageArea:
-    """Named tables of one run. A name that is saved again gets a new folder."""
+    """Named tables of one run. A name that is saved again gets a new folder.
+
+    Used in a ``with`` statement, or closed by hand, the area deletes its tables. An area that backs
+    a result which is read later must stay open until then.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root or f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+        self.root = f"{root or shared_folder(spark)}/stages-{uuid.uuid4().hex}"
         self.tables: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +54,19 @@ class StageArea:
         self.tables[name] = self.spark.read.schema(df.schema).parquet(path)
         return self.tables[name]
 
+    def close(self) -> None:
+        """Delete what this area wrote, through the file system of its folder."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables.clear()
+
+    def __enter__(self) -> StageArea:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
 
 def read_result(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{name}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalogue.queries import QUERIES
 from check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, con, name):
     assert compare(spark, con, SF, name) == ""
 
@@ -25,7 +26,7 @@ def test_query(spark, con, name):
 def test_oracles_belong_to_queries():
     assert set(oracle_sql()) <= set(queries())
     # Only fitted models have no SQL.
-    assert {n for n in queries() if n not in oracle_sql()} == {
+    assert {n for n in QUERIES if n not in oracle_sql()} == {
         "elbow",
         "kmeans_sizes",
         "cluster_tree",
