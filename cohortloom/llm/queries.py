@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe
+from cohortloom.llm import bpe, language, maxscore, simhash, toxicity
+from cohortloom.sources.stages import StageArea
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,51 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+# A fifth of the ids is held out of training; a row without an id is never learned from.
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels.where(~held_out()))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    found = language.predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = simhash.near_duplicates(docs, SIMHASH_WORDS, SIMHASH_BITS, StageArea(spark))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    rows = vectors.select("vec_id", maxscore.scaled(F.col("embedding"), 256).alias("ints"))
+    return maxscore.top_k(rows, F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
+    "op9_simhash": op9_simhash,
+    "op10_maxscore": op10_maxscore,
 }
 ORACLE: dict[str, str] = {}
