@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, language, maxscore, simhash, toxicity
+from cohortloom.llm import bpe, decontaminate, html_text, language, line_dedup, maxscore, secrets, simhash, substring_dedup, toxicity
 from cohortloom.sources.stages import StageArea
 
 
@@ -29,6 +29,11 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 # A fifth of the ids is held out of training; a row without an id is never learned from.
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
@@ -53,6 +58,49 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.remove_repeats(docs, StageArea(spark))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+REPEAT_BYTES = 400
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = substring_dedup.remove_repeats(docs, REPEAT_BYTES, StageArea(spark), keep=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def named(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def counted(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [counted(k) for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document holds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    rows = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return rows.select("doc_id", F.col("leak.item").alias("item_id"), "leak.distance", F.col("leak.end").alias("passage_end"))
+
+
 SIMHASH_WORDS, SIMHASH_BITS = 4, 4
 
 
@@ -71,8 +119,13 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_secrets": op7_secrets,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_maxscore": op10_maxscore,
 }
