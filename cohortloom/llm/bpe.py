@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 CHUNK_WORDS = 100_000  # words of one recursive query
 CACHE_WORDS = 1_500_000  # contracted words a worker keeps
 LONG_WORD = 400  # bytes
+SLICE_WORDS = 1_000_000  # words of documents that are gathered together
 
 CONTRACT = """
 WITH RECURSIVE t(step, word, pos, tok) AS (
@@ -134,11 +135,12 @@ class Contractor:
     def _forget(self) -> None:
         self.known = pa.table(
             {"word": pa.array([], pa.large_binary()), "ids": pa.array([], pa.large_binary()),
-             "bytes": pa.array([], pa.large_binary()), "n": pa.array([], pa.int64())}
+             "packed": pa.array([], pa.large_binary()), "bytes": pa.array([], pa.large_binary()),
+             "n": pa.array([], pa.int64())}
         )
 
     def lookup(self, words: pa.Array) -> pa.Table:
-        """Ids (decimal, a space after each), bytes and number of tokens of distinct words."""
+        """Ids (decimal, a space after each, and packed), bytes and number of tokens of distinct words."""
         if len(self.known) + len(words) > CACHE_WORDS:
             self._forget()
         at = pc.index_in(words, self.known["word"].combine_chunks())
@@ -177,21 +179,27 @@ class Contractor:
         ids, raw = out["ids"].combine_chunks(), out["raw"].combine_chunks()
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
         text = pc.binary_join_element_wise(ids.flatten().cast(pa.string()), "", " ").cast(pa.large_binary())
-        return self._table(words, _runs(text, ends), _runs(raw.flatten().cast(pa.large_binary()), ends), pa.array(np.diff(ends)))
+        numbers = ids.flatten().cast(pa.int32()).to_numpy()
+        packed = pa.Array.from_buffers(
+            pa.large_binary(), len(words), [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(numbers)]
+        )
+        raw = _runs(raw.flatten().cast(pa.large_binary()), ends)
+        return self._table(words, _runs(text, ends), packed, raw, pa.array(np.diff(ends)))
 
     def _by_heap(self, words: pa.Array) -> pa.Table:
         ids = [self._merge(w) for w in words.to_pylist()]
         return self._table(
             words,
             pa.array(["".join(f"{i} " for i in x) for x in ids], pa.string()),
+            pa.array([np.array(x, dtype=np.int32).tobytes() for x in ids], pa.binary()),
             pa.array([b"".join(self.tokens[i] for i in x) for x in ids], pa.binary()),
             pa.array([len(x) for x in ids], pa.int64()),
         )
 
     @staticmethod
-    def _table(words, ids, raw, n) -> pa.Table:
+    def _table(words, ids, packed, raw, n) -> pa.Table:
         big = pa.large_binary()
-        return pa.table({"word": words, "ids": ids.cast(big), "bytes": raw.cast(big), "n": n.cast(pa.int64())})
+        return pa.table({"word": words, "ids": ids.cast(big), "packed": packed.cast(big), "bytes": raw.cast(big), "n": n.cast(pa.int64())})
 
     def _merge(self, word: bytes) -> list[int]:
         """The same contraction of one long word, by a heap of (rank, place)."""
@@ -246,55 +254,62 @@ def _contractor(shared) -> Contractor:
     return _workers[key]
 
 
-def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
+OUTPUTS = {"token_ids": T.ArrayType(T.IntegerType()), "ids_text": T.StringType(), "decoded": T.BinaryType()}
+
+
+def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", keep: tuple[str, ...] = (), outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
     """Encode whole texts and decode the ids again.
 
-    Columns: those of ``keep``, ``n_tokens``, ``ids_text`` (decimal ids joined by one space) or, with
-    ``ids``, ``token_ids`` (array of int), and ``decoded`` (binary).
+    Columns: those of ``keep``, ``n_tokens``, and of ``outputs``: ``token_ids`` (array of int), ``ids_text``
+    (decimal ids joined by one space), ``decoded`` (binary).
     """
-    keep = [] if keep is None else keep
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(vocab.shipped())
+    shared = df.sparkSession.sparkContext.broadcast(vocab.shipped())
     # Unicode white space, as the libraries of such tokenizers use.
     split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?U){vocab.pattern}"), F.lit(0))
     pieces = df.select(F.struct(*keep).alias("row") if keep else F.lit(True).alias("row"), split.alias("words"))
-    result = T.ArrayType(T.IntegerType()) if ids else T.StringType()
-    schema = T.StructType(
-        [T.StructField("row", pieces.schema["row"].dataType), T.StructField("n_tokens", T.LongType()),
-         T.StructField("token_ids" if ids else "ids_text", result), T.StructField("decoded", T.BinaryType())]
-    )
+    schema = T.StructType([T.StructField("row", pieces.schema["row"].dataType), T.StructField("n_tokens", T.LongType())])
+    for name in outputs:
+        schema = schema.add(name, OUTPUTS[name])
 
     def run(batches):
         for batch in batches:
-            if len(batch):
-                # a batch of few rows can hold long texts
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *_documents(_contractor(shared), batch.column(1), ids)], names=schema.names
-                )
+            n = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(batch):  # at least one document, then as many as fit
+                before = n[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(n, before + SLICE_WORDS, side="right")))
+                some = batch.slice(at, end - at)
+                columns = _documents(_contractor(shared), some.column(1), outputs)
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=schema.names)
+                at = end
 
     out = pieces.mapInArrow(run, schema)
     rest = [c for c in schema.names if c != "row"]
-    return out.select(*([F.col(f"row.`{c}`").alias(c) for c in keep]), *rest)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), *rest)
 
 
-def _documents(contractor: Contractor, lists: pa.ListArray, ids: bool) -> list[pa.Array]:
+def _documents(contractor: Contractor, lists: pa.ListArray, outputs: tuple[str, ...]) -> list[pa.Array]:
     flat = lists.flatten().dictionary_encode()
     found = contractor.lookup(flat.dictionary.cast(pa.large_binary()))
     at = flat.indices
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
-    def joined(column: str, tail: int) -> list[bytes]:
+    def joined(column: str) -> pa.Array:
         """Each document's words end to end."""
-        words = _runs(found[column].combine_chunks().take(at), ends)
-        return [x[: len(x) - tail] if x else x for x in words.to_pylist()]
+        return _runs(found[column].combine_chunks().take(at), ends)
 
     counts = np.concatenate([[0], np.cumsum(found["n"].to_numpy()[at.to_numpy(zero_copy_only=False)])]).astype(np.int64)
-    text = joined("ids", 1)
-    if ids:
-        numbers = pa.array([np.array(x.split(), dtype=np.int32) for x in text], pa.list_(pa.int32()))
-    else:
-        numbers = pa.array([x.decode() for x in text], pa.string())
-    return [pa.array(counts[ends[1:]] - counts[ends[:-1]], pa.int64()), numbers, pa.array(joined("bytes", 0), pa.binary())]
+    counts = counts[ends]
+    out: list[pa.Array] = [pa.array(np.diff(counts), pa.int64())]
+    for name in outputs:
+        if name == "ids_text":
+            out.append(pa.array([x[:-1].decode() for x in joined("ids").to_pylist()], pa.string()))
+        elif name == "decoded":
+            out.append(pa.array(joined("bytes").to_pylist(), pa.binary()))
+        else:
+            numbers = pa.Array.from_buffers(pa.int32(), int(counts[-1]), [None, joined("packed").buffers()[2]])
+            out.append(pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), numbers))
+    return out
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

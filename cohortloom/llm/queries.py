@@ -18,14 +18,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, ids: bool = False) -> DataFrame:
     """Number of tokens of each document, and digests of its ids and of the decoded bytes."""
     vocab = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.encode(docs, vocab, keep=["doc_id"]).select(
+    outputs = ("ids_text", "decoded", *(("token_ids",) if ids else ()))
+    return bpe.encode(docs, vocab, keep=("doc_id",), outputs=outputs).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids_text", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(("token_ids",) if ids else ()),
     )
 
 
