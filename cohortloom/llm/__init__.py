@@ -1,15 +1 @@
 """Operators for building training data from documents, pages and vectors."""
-
-from __future__ import annotations
-
-
-def queries() -> dict:
-    from cohortloom.llm.queries import QUERIES
-
-    return dict(QUERIES)
-
-
-def oracle() -> dict:
-    from cohortloom.llm.queries import ORACLE
-
-    return dict(ORACLE)
