@@ -120,12 +120,15 @@ def repeated_chunks(df: DataFrame, area: StageArea, text: str = "text", key: str
     return area.save(gone.groupBy("id").agg(F.collect_set("chunk").alias("chunks")), "removed")
 
 
-def remove_repeats(df: DataFrame, area: StageArea, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with the repeated chunks taken out of its text, and ``n_lines``, ``n_removed`` (lines)."""
-    gone = repeated_chunks(df, area, text, key).select(F.col("id").alias("_id"), F.col("chunks").alias("_chunks"))
-    names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    joined = df.select(*names).join(gone, F.col(key) == F.col("_id"), "left")
-    rows = joined.select(F.struct(*names).alias("row"), F.col(text).alias("text"), "_chunks")
+def remove_repeats(
+    df: DataFrame, area: StageArea, text: str = "text", key: str = "doc_id", counts: tuple[str, str] | None = ("n_lines", "n_removed")
+) -> DataFrame:
+    """``df`` with the repeated chunks taken out of its text, and with ``counts`` its lines before and
+    how many of them were removed."""
+    gone = repeated_chunks(df, area, text, key)
+    names = [c for c in df.columns if c not in (counts or ())]
+    named = df.select(F.struct(*names).alias("row"), F.col(text).alias("text"), F.col(key).alias("id"))
+    rows = named.join(gone, "id", "left").select("row", "text", "chunks")
     schema = T.StructType(
         [T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.StringType()),
          T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -146,4 +149,5 @@ def remove_repeats(df: DataFrame, area: StageArea, text: str = "text", key: str
 
     done = rows.mapInArrow(run, schema)
     back = [F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names]
-    return done.select(*back, "n_lines", "n_removed")
+    sizes = [F.col(c).alias(out) for c, out in zip(("n_lines", "n_removed"), counts or (), strict=False)]
+    return done.select(*back, *sizes)

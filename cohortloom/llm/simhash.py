@@ -4,8 +4,8 @@ A fingerprint has 64 majority bits over the hashes of a text's word shingles. Eq
 one class from the start, so copies cost one row however many there are. Two fingerprints within
 ``bits`` differing bits agree in at least one of ``bits + 1`` blocks of their bits; a bucket holds
 the fingerprints that agree in a block. A bucket of more than ``BUCKET`` fingerprints is split again
-by blocks of its remaining bits, by the same argument, until every bucket is small: no pair is lost
-and no task holds an unbounded group.
+by blocks of the bits that vary in it, by the same argument, until every bucket is small: no pair is
+lost and no task holds an unbounded group.
 
 Within the buckets of a task, the trie is joined with itself: pairs of nodes go down one bit at a
 time, a pair of unlike children counts one differing bit, and pairs beyond the budget are dropped.
@@ -85,58 +85,53 @@ def near_duplicates(
 
 def links(classes: DataFrame, bits: int, area: StageArea) -> DataFrame:
     """(u, v): links of distinct fingerprints with the same components as all links."""
-    level = dict(enumerate(_split(range(64), bits + 1)))
-    rows, parts = _keyed(classes, level), []
+    masks = F.array(*(F.lit(m).cast("long") for m in _blocks(-1, bits + 1)))
+    rows, parts = _keyed(classes.select("fp", F.explode(masks).alias("mask"))), []
     while True:
         rows = area.save(rows, "keys")
-        large = area.save(rows.groupBy("path", "key").count().where(F.col("count") > BUCKET).drop("count"), "large")
+        varying = F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying")
+        sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n"), varying)
+        # Fingerprints that vary in no more bits than the budget are few, and all linked.
+        large = area.save(sizes.where((F.col("n") > BUCKET) & (F.bit_count("varying") > bits)), "large")
         if large.isEmpty():
             parts.append(area.save(_joined(rows, bits), "links"))
             break
-        parts.append(area.save(_joined(rows.join(large, ["path", "key"], "left_anti"), bits), "links"))
-        hot = rows.join(large, ["path", "key"], "left_semi")
-        level, rows = _deeper(hot, level, bits + 1)
+        parts.append(area.save(_joined(rows.join(large, ["mask", "key"], "left_anti"), bits), "links"))
+        rows = _deeper(rows, large, bits + 1)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out.distinct()
 
 
-def _mask(positions) -> int:
-    """Bits as a signed number."""
-    value = sum(1 << i for i in positions)
-    return value - (1 << 64) if value >= 1 << 63 else value
+def _blocks(varying: int, blocks: int) -> list[int]:
+    """The bits set in a signed number, dealt to blocks."""
+    places = [i for i in range(64) if varying >> i & 1]
+    values = [sum(1 << int(i) for i in c) for c in np.array_split(np.array(places, dtype=int), blocks)]
+    return [v - (1 << 64) if v >> 63 else v for v in values]
 
 
-def _split(open_bits, blocks: int) -> list[tuple[int, ...]]:
-    """The bits that stay open when one of the blocks of the open bits is taken as key."""
-    cuts = np.array_split(np.array(list(open_bits), dtype=int), blocks)
-    return [tuple(i for i in open_bits if i not in set(c.tolist())) for c in cuts]
+def _keyed(rows: DataFrame) -> DataFrame:
+    """The bits that a bucket shares: those of its mask."""
+    return rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
-def _keyed(fps: DataFrame, level: dict[int, tuple[int, ...]]) -> DataFrame:
-    """A row for each path: the path's number and the bits that the bucket shares."""
-    closed = [(i, _mask(set(range(64)) - set(rest))) for i, rest in level.items()]
-    masks = F.array(*(F.struct(F.lit(i).alias("path"), F.lit(m).cast("long").alias("mask")) for i, m in closed))
-    rows = fps.select("fp", F.explode(masks).alias("m"))
-    return rows.select(F.col("m.path").alias("path"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp")
+def _deeper(rows: DataFrame, large: DataFrame, blocks: int) -> DataFrame:
+    """The rows of large buckets under longer keys: a block more of the bits that vary in them."""
 
+    def run(batches):
+        for batch in batches:
+            found = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            out = [(m, k, m | block) for m, k, v in found for block in _blocks(v, blocks)]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["mask", "key", "next"])
 
-def _deeper(hot: DataFrame, level: dict[int, tuple[int, ...]], blocks: int):
-    """The rows of large buckets under longer keys; ``level`` has the open bits of each path."""
-    nxt: dict[int, tuple[int, ...]] = {}
-    options = []
-    for path, rest in level.items():
-        for more in _split(rest, blocks):
-            options.append((path, len(nxt), _mask(set(range(64)) - set(more))))
-            nxt[len(nxt)] = more
-    paths = hot.sparkSession.createDataFrame(options, "path int, next int, mask long")
-    rows = hot.join(F.broadcast(paths), "path")  # blocks ** depth rows
-    return nxt, rows.select(F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    paths = large.select("mask", "key", "varying").mapInArrow(run, "mask long, key long, next long")
+    return _keyed(rows.join(paths, ["mask", "key"]).select("fp", F.col("next").alias("mask")))
 
 
 def _joined(rows: DataFrame, bits: int) -> DataFrame:
-    dealt = rows.repartition("path", "key").sortWithinPartitions("path", "key", "fp")
+    dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
 
     def run(batches):
         held: list[np.ndarray] = []

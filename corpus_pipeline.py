@@ -19,15 +19,23 @@ from cohortloom.llm.queries import SIMHASH_BITS, SIMHASH_WORDS, token_digests, t
 from cohortloom.sources.stages import StageArea
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """A name that no column has."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="_score").where(F.col("_score") < 0.5).select(*docs.columns)
+    score = fresh("score", docs)
+    return toxicity.score(docs, model, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks of lines that an earlier one has."""
-    kept = line_dedup.remove_repeats(docs, StageArea(spark))
+    kept = line_dedup.remove_repeats(docs, StageArea(spark), counts=None)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
@@ -40,15 +48,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = StageArea(spark).save(found.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("n")), "first")
     kept = named.join(first.select("doc_id"), "doc_id", "left_semi")
     if not first.where("n > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        kept = kept.withColumn("_nth", nth).where("_nth = 1")
+        nth = fresh("nth", docs)
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        kept = kept.withColumn(nth, place).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = fresh("leaks", docs)
+    found = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=leaks)
+    return found.where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
