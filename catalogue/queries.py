@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,21 +30,22 @@ from cohortloom.operators.features import (
 from cohortloom.operators.filters import activity_range
 from cohortloom.operators.hierarchy import TREES, host_account_totals, smallest_expenses, top_hosts
 from cohortloom.operators.money import expense_rollup, income_rollup
-from cohortloom.operators.power import (
-    add_power_features,
-    best_powers,
-    fit_fixed_grid,
-    fixed_grid,
-    power_likelihoods,
-    value_counts,
-)
+from cohortloom.operators.power import add_power_features, fit_power_scales
 from cohortloom.operators.report import headline_numbers, manifest
 from cohortloom.operators.sampling import group_links, sample_per_group
 from cohortloom.plans import cohort, moneyflow
 from cohortloom.plans.report import cluster_links
 from cohortloom.sources.sample import CONFIG, SampleTables
 from cohortloom.sources.stages import StageArea
-from cohortloom.sources.tables import write_list_text
+from cohortloom.sources.tables import (
+    account_columns,
+    cohort_export_schema,
+    load_cohort_export,
+    read_rollup,
+    small_table,
+    write_list_text,
+    write_rollup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,10 +75,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 @register
 def account_dim(spark, sf_dir):
-    t = SampleTables(spark, sf_dir)
-    return t.collectives.select(
-        "id", "slug", "type", "host_collective_id", "parent_collective_id", "host_fee_percent"
-    )
+    return SampleTables(spark, sf_dir).collectives.select(*account_columns())
 
 
 @register
@@ -198,12 +198,50 @@ def bottom_expenses(spark, sf_dir):
     return smallest_expenses(moneyflow.expense_flow(SampleTables(spark, sf_dir), CONFIG).expenses)
 
 
+# --- Exports: results written as CSV with their titles, read back and analysed ------------------
+
+
+def _exported_rollup(spark, stages: StageArea, df: DataFrame, name: str) -> DataFrame:
+    path = f"{stages.root}/{name}"
+    write_rollup(df, name, path)
+    return read_rollup(spark, name, path)
+
+
+def _money_from_exports(spark, sf_dir) -> moneyflow.MoneyFlow:
+    t, stages = SampleTables(spark, sf_dir), StageArea(spark)
+    expenses = _exported_rollup(spark, stages, expense_rollup(t, CONFIG), "expense_rollup")
+    income = _exported_rollup(spark, stages, income_rollup(t, CONFIG), "income_rollup")
+    return moneyflow.money_from_rollups(expenses, income, t.collectives, CONFIG, stages)
+
+
+@register
+def expenses_from_exports(spark, sf_dir):
+    return _money_from_exports(spark, sf_dir).expenses
+
+
+@register
+def income_from_exports(spark, sf_dir):
+    return _money_from_exports(spark, sf_dir).income
+
+
+@register
+def cohort_from_export(spark, sf_dir):
+    """Active users of an exported cohort table, with their totals."""
+    t, stages = SampleTables(spark, sf_dir), StageArea(spark)
+    wide = write_list_text(cohort.wide_cohort(t, CONFIG, stages))
+    path = f"{stages.root}/cohort_export"
+    wide.toDF(*cohort_export_schema().names).write.options(header="true", escape='"').csv(path)
+    users = stages.save(load_cohort_export(spark, path), "all_users")
+    active = cohort.active_of(users, CONFIG, stages)
+    return active.select("user_id", "user_slug", *MEASURES, "total_contributions", "total_expenses", "total_activities")
+
+
 # --- User statistics ---------------------------------------------------------------------------
 
 
 def _users(spark, sf_dir) -> DataFrame:
     """All users, for queries that read them once."""
-    return cohort.all_users(SampleTables(spark, sf_dir), CONFIG)
+    return cohort.all_users(SampleTables(spark, sf_dir), CONFIG, StageArea(spark))
 
 
 def _active(spark, sf_dir) -> DataFrame:
@@ -261,17 +299,21 @@ def class_histogram(spark, sf_dir):
 ALL_SCALED = (*FEATURE_MEASURES, MODIFIER)
 
 
+PRECISION = 1e-4  # of the powers that SQL reproduces
+
+
 @register
 def yeo_johnson_lambda(spark, sf_dir):
-    values = value_counts(_active(spark, sf_dir), ALL_SCALED)
-    best = best_powers(power_likelihoods(values, {m: fixed_grid() for m in ALL_SCALED}))
-    return rounded(best.drop("low", "high"), 4)
+    scales = fit_power_scales(_active(spark, sf_dir), ALL_SCALED, PRECISION)
+    rows = [(s.measure, s.power, s.log_likelihood, s.mean, s.deviation) for s in scales]
+    schema = "measure string, power double, log_likelihood double, mean double, deviation double"
+    return rounded(small_table(spark, rows, schema), 4)
 
 
 @register
 def yeo_johnson_features(spark, sf_dir):
     active = _active(spark, sf_dir)
-    scales = fit_fixed_grid(active, ALL_SCALED)
+    scales = fit_power_scales(active, ALL_SCALED, PRECISION)
     featured = add_power_features(active.select("user_id", *ALL_SCALED), scales)
     return rounded(featured.drop(*ALL_SCALED), 5)
 
@@ -316,7 +358,8 @@ def cluster_histogram(spark, sf_dir):
 
 @register
 def cluster_user_profiles(spark, sf_dir):
-    return rounded(clusters.user_profiles(_clustered(spark, sf_dir).users, CONFIG))
+    clustered = _clustered(spark, sf_dir)
+    return rounded(clusters.user_profiles(clustered.users, clustered.model, CONFIG))
 
 
 @register
@@ -327,8 +370,71 @@ def cluster_sample_links(spark, sf_dir):
 @register
 def pca_map(spark, sf_dir):
     active = _active(spark, sf_dir)
-    mapped = clusters.project(active, fit_fixed_grid(active, CLUSTER_MEASURES))
-    return rounded(mapped.select("user_id", "user_slug", "x", "y"))
+    mapped = clusters.project(active, fit_power_scales(active, CLUSTER_MEASURES))
+    return rounded(mapped.select("user_id", "user_slug", *PROFILE_MEASURES, "x", "y"))
+
+
+# What does not depend on the start of k-means.
+
+
+@register
+def elbow_of_one(spark, sf_dir):
+    """The cost of a single cluster."""
+    stages = StageArea(spark)
+    points, _ = cohort.points_of(_active(spark, sf_dir), stages)
+    return rounded(clusters.elbow(points, replace(CONFIG, elbow_ks=(1,))), 4)
+
+
+@register
+def feature_totals(spark, sf_dir):
+    """Sum and sum of squares of every feature: those of standardized values."""
+    active = _active(spark, sf_dir)
+    featured = clusters.with_features(active, fit_power_scales(active, CLUSTER_MEASURES))
+    x = vector_to_array("features")
+    parts = F.array(*(F.struct(F.lit(m).alias("measure"), x[i].alias("x")) for i, m in enumerate(CLUSTER_MEASURES)))
+    rows = featured.select(F.explode(parts).alias("f")).select("f.measure", "f.x")
+    totals = rows.groupBy("measure").agg(F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+    return rounded(totals, 4)
+
+
+@register
+def cluster_checks(spark, sf_dir):
+    """Invariants of a fit: sizes, nearest centres, numbering, leaders, and counts on the map."""
+    fitted = _clustered(spark, sf_dir)
+    centers = {fitted.model.numbers[p]: [float(v) for v in c] for p, c in enumerate(fitted.model.model.clusterCenters())}
+    x = vector_to_array("features")
+    featured = clusters.with_features(fitted.users, fitted.scales)
+
+    def distance(center):
+        return sum(((x[i] - v) * (x[i] - v) for i, v in enumerate(center)), F.lit(0.0))
+
+    least = F.least(*(distance(c) for c in centers.values()))
+    own = F.coalesce(*(F.when(F.col("cluster") == n, distance(c)) for n, c in centers.items()))
+    sizes = [r.users for r in clusters.cluster_sizes(fitted.users).orderBy("cluster").collect()]  # one row per cluster
+    mapped = clusters.project(fitted.users, fitted.scales)
+    sums = mapped.agg(*(F.sum(m).alias(m) for m in PROFILE_MEASURES)).first()
+    wrong = sum(
+        1
+        for m in PROFILE_MEASURES
+        if any(c[CLUSTER_MEASURES.index(m)] > centers[fitted.model.leader(m)][CLUSTER_MEASURES.index(m)] for c in centers.values())
+    )
+    rows = [
+        ("users", sum(sizes)),
+        ("clusters", len(sizes)),
+        ("users_nearer_to_another_centre", featured.filter(own > least + 1e-9).count()),
+        ("clusters_larger_than_the_one_before", sum(b > a for a, b in zip(sizes, sizes[1:]))),
+        ("clusters_led_by_another_measure", wrong),
+        *((f"map_{m}", sums[m]) for m in PROFILE_MEASURES),
+    ]
+    return small_table(spark, rows, "metric string, value bigint")
+
+
+@register
+def cluster_name_table(spark, sf_dir):
+    """An analyst's names and order; the cluster without a name is called by its number."""
+    cfg = replace(CONFIG, cluster_names={1: ("many", "The Many"), 2: ("few", "The Few")}, cluster_display_order=("few", "many"))
+    numbers = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") % 3 + 1).cast("int").alias("cluster"))
+    return clusters.add_cluster_names(numbers.distinct(), cfg).select("cluster", "cluster_name", "cluster_full_name", "display_order")
 
 
 # The same group operators, with the market segment of a user's account in place of the cluster:

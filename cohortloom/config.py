@@ -16,27 +16,27 @@ from cohortloom.rates import USD_RATES
 EXPENSE_TYPES = ("collective.expense.created",)
 VIRTUAL_CARD_TYPES = ("virtualcard.purchase",)
 HOST_ADMIN_TYPES = (
-    "agreement.created",
-    "agreement.edited",
     "collective.approved",
-    "collective.expense.incomplete",
+    "collective.rejected",
     "collective.expense.paid",
-    "collective.expense.putOnHold",
-    "collective.expense.reApprovalRequested",
-    "collective.expense.releasedFromHold",
+    "collective.expense.incomplete",
     "collective.expense.scheduledForPayment",
-    "collective.expense.unscheduledForPayment",
-    "collective.rejected",
     "collective.virtualcard.added",
     "collective.virtualcard.deleted",
-    "collective.virtualcard.request.approved",
     "collective.virtualcard.request.rejected",
+    "collective.virtualcard.request.approved",
+    "collective.expense.putOnHold",
+    "collective.expense.releasedFromHold",
+    "collective.expense.reApprovalRequested",
+    "collective.expense.unscheduledForPayment",
+    "agreement.created",
+    "agreement.edited",
 )
 COLLECTIVE_ADMIN_TYPES = (
+    "collective.created",
     "collective.apply",
     "collective.core.member.edited",
     "collective.core.member.removed",
-    "collective.created",
     "collective.expense.approved",
     "collective.expense.unapproved",
     "collective.update.created",
@@ -148,57 +148,13 @@ PROFILE_MEASURES = FEATURE_MEASURES[:10]
 MODIFIER = "host_admin_activity_modifier"
 CLUSTER_MEASURES = PROFILE_MEASURES + (MODIFIER,)
 
-# --- Fixed values: names of the clusters, and the order in which they are shown -----------------
-CLUSTER_NAMES = {
-    1: ("dir_cont_single", "One Time Contributors"),
-    2: ("col_ad_basic", "Basic Collective Admins"),
-    3: ("host_ad_basic", "Basic Host Admins"),
-    4: ("event_cont", "Event Participants"),
-    5: ("col_ad_cont_self", "Collective Admins Contribute to Own Collectives"),
-    6: ("org_contr", "Organization Contributors"),
-    7: ("exp_sub", "Expense Submitters"),
-    8: ("col_ad_cont_via_col", "Collective Admins with Contributions via Collective"),
-    9: ("host_ad_high_acti", "Highly Active Host Admins"),
-    10: ("col_ad_exp_self", "Collective Admins Expenses to Own Collectives"),
-    11: ("host_ad_mod_act", "Moderately Active Host Admins"),
-    12: ("dir_contr_repeat", "Repeated Direct Contributors"),
-    13: ("host_ad_low_act", "Low Activity Host Admins"),
-}
-CLUSTER_DISPLAY_ORDER = (
-    "dir_cont_single",
-    "dir_contr_repeat",
-    "event_cont",
-    "org_contr",
-    "col_ad_basic",
-    "col_ad_cont_self",
-    "col_ad_exp_self",
-    "col_ad_cont_via_col",
-    "host_ad_basic",
-    "host_ad_mod_act",
-    "host_ad_low_act",
-    "host_ad_high_acti",
-    "exp_sub",
-)
-# Clusters profiled by their most active users: (cluster, measure, title).
+# Users profiled by activity: each pick takes the cluster whose centre leads in a measure, and shows
+# its most active users by that measure. (measure, title)
 TOP_PROFILES = (
-    ("host_ad_high_acti", "host_admin_activities", "Host admin: High activity"),
-    ("host_ad_mod_act", "host_admin_activities", "Host admin: Moderate activity"),
-    ("col_ad_basic", "collective_admin_activities", "Collective admin: Basic"),
-    (
-        "col_ad_cont_via_col",
-        "collective_admin_activities",
-        "Collective admin: Contributions via collective",
-    ),
-    ("exp_sub", "expense_activities", "Expense submitter"),
-)
-# Clusters that feed the mixed random sample.
-SAMPLED_CLUSTERS = (
-    "event_cont",
-    "col_ad_cont_self",
-    "col_ad_exp_self",
-    "host_ad_low_act",
-    "dir_contr_repeat",
-    "exp_sub",
+    ("host_admin_activities", "Host admin"),
+    ("collective_admin_activities", "Collective admin"),
+    ("collective_contributions", "Contributions via collective"),
+    ("expense_activities", "Expense submitter"),
 )
 SAMPLE_TITLE = "Random sample of users"
 
@@ -215,8 +171,8 @@ class Config:
     money_as_of: str | datetime | None = None
     money_months: int = 12
 
-    # Activity log and orders. Excluded ids are staff accounts.
-    exclude_user_ids: tuple[int, ...] = (43478, 12457)
+    # Activity log and orders. Excluded ids are the staff's, empty by default.
+    exclude_user_ids: tuple[int, ...] = ()
     expense_types: tuple[str, ...] = EXPENSE_TYPES
     virtual_card_types: tuple[str, ...] = VIRTUAL_CARD_TYPES
     host_admin_types: tuple[str, ...] = HOST_ADMIN_TYPES
@@ -229,7 +185,7 @@ class Config:
     tiles: int = 20
 
     # Users. Blocked accounts are those with scripted activity.
-    blocked_slugs: tuple[str, ...] = ("hon-community-thailand", "heroes-of-newerth-community")
+    blocked_slugs: tuple[str, ...] = ()
     # The list of virtual card hosts is not searched for blocked accounts.
     blocked_list_columns: tuple[str, ...] = tuple(
         c for c in LIST_COLUMNS if c != "virtual_card_purchases_hosts"
@@ -246,8 +202,10 @@ class Config:
     max_iter: int = 1000
     seed: int = 42
     elbow_ks: tuple[int, ...] = tuple(range(1, 20))
-    cluster_names: dict = field(default_factory=lambda: dict(CLUSTER_NAMES))
-    cluster_display_order: tuple[str, ...] = CLUSTER_DISPLAY_ORDER
+    # An analyst's names for the clusters of a saved model: number -> (short, full), and the order in
+    # which the short names are shown. Without them a cluster is called by its number.
+    cluster_names: dict = field(default_factory=dict)
+    cluster_display_order: tuple[str, ...] = ()
     users_per_cluster: int = 8
     links_per_cluster: int = 10
     profile_url: str = "https://example.org/"
@@ -260,6 +218,8 @@ class Config:
     usd_rates: dict = field(default_factory=lambda: dict(USD_RATES))
     # Slug of the account that hosts the platform's own funds; set it to your own.
     platform_host_slug: str = "platform-internal"
+    # Slugs of the hosts whose share the headline numbers state apart.
+    main_hosts: tuple[str, ...] = ()
     spam_slug_pattern: str = r"-\d+\.\d+$"
     min_transactions: int = 5
     host_methods: tuple[str, ...] = ("host", "blank")

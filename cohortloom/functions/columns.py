@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -166,11 +167,15 @@ def whole_usd(amount: Column) -> Column:
 
 
 def to_usd(cents: str, rate: str, currency: str) -> Column:
-    """Cents to dollars; an amount in a currency without a rate is an error."""
-    known = F.when(F.col(rate).isNotNull(), F.col(rate)).otherwise(
-        F.raise_error(F.concat(F.lit("no exchange rate for "), F.col(currency))).cast("double")
+    """Cents to dollars, in decimals, so that sums do not depend on their order.
+
+    An amount in a currency without a rate is an error.
+    """
+    exact = F.col(rate).cast("decimal(17,10)")
+    known = F.when(F.col(rate).isNotNull(), exact).otherwise(
+        F.raise_error(F.concat(F.lit("no exchange rate for "), F.col(currency))).cast("decimal(17,10)")
     )
-    return F.col(cents) / 100 * known
+    return F.col(cents).cast("decimal(17,0)") * (known * F.lit(Decimal("0.01")))
 
 
 def profile_link(base_url: str, slug: Column) -> Column:

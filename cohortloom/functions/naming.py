@@ -17,7 +17,7 @@ def title_to_snake(title: str) -> str:
 
 def camel_to_snake(name: str) -> str:
     """``"HostCollectiveId"`` -> ``"host_collective_id"``, ``"countryISO"`` -> ``"country_iso"``."""
-    return _WORD_START.sub("_", name).lower().replace("_i_d", "_id")
+    return _WORD_START.sub("_", name).lower()
 
 
 def rename_titles(df: DataFrame) -> DataFrame:

@@ -99,6 +99,22 @@ def log_facts(activities: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
+def reduced_log(activities: DataFrame, cfg: Config) -> DataFrame:
+    """All log rows of the window as (user, act, payee, payer) with their number.
+
+    Rows that count as nothing have no act; they only show that a user was there.
+    """
+    recent = rolling_window(activities, "created_at", cfg.activity_as_of, cfg.activity_window)
+    act = log_act("type", cfg)
+    acts = recent.select(
+        "user_id",
+        act.alias("act"),
+        F.when(act.isNotNull(), F.col("collective_id")).alias("to_id"),
+        F.when(act == "expense", F.col("from_collective_id")).alias("from_id"),
+    )
+    return acts.groupBy("user_id", "act", "to_id", "from_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def order_facts(orders: DataFrame, cfg: Config) -> DataFrame:
     """Orders of the window that were paid, are active, or were cancelled."""
     recent = rolling_window(orders, "updated_at", cfg.order_as_of, cfg.order_window)
@@ -153,18 +169,21 @@ def classify_contributions(t: Tables, cfg: Config) -> DataFrame:
     )
 
 
-def counted_acts(t: Tables, cfg: Config) -> DataFrame:
+def counted_acts(t: Tables, cfg: Config, log: DataFrame | None = None) -> DataFrame:
     """Long frame of everything that counts: user, class, host, recipient and number of rows.
 
     Facts are first reduced to one row per (user, act, payee, payer) with a count, so a user or an
     account with a large share of the log becomes few rows before any lookup, and the lookups run
     once for all eleven classes. Only orders look up their user here, because their label depends
-    on the user's own account.
+    on the user's own account. ``log`` is the reduced log, if it was written before.
     """
     keys = ["user_id", "act", "to_id", "from_id"]
     size = F.count(F.lit(1)).alias("n")
-    acts = log_facts(drop_values(t.activities, "user_id", cfg.exclude_user_ids), cfg)
-    acts = acts.groupBy(*keys).agg(size)
+    if log is None:
+        acts = log_facts(drop_values(t.activities, "user_id", cfg.exclude_user_ids), cfg)
+        acts = acts.groupBy(*keys).agg(size)
+    else:
+        acts = drop_values(log, "user_id", cfg.exclude_user_ids).filter("act IS NOT NULL")
     orders = order_facts(t.orders, cfg).groupBy(*keys, "payment_method_id").agg(size)
     people = user_directory(t.users, t.collectives).drop("has_account")
     orders = mark_host_payment(orders, t.payment_methods).join(people, "user_id")

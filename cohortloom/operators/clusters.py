@@ -2,7 +2,7 @@
 
 Users with the same counts are the same point, and most users share a few points. The points are
 therefore counted first, and k-means runs on distinct points with their number of users as weight,
-which has the same cost and the same centres.
+which minimizes the same cost.
 """
 
 from __future__ import annotations
@@ -22,11 +22,9 @@ from cohortloom.config import (
     CLUSTER_MEASURES,
     PROFILE_MEASURES,
     SAMPLE_TITLE,
-    SAMPLED_CLUSTERS,
     TOP_PROFILES,
     Config,
 )
-from cohortloom.functions.columns import by_value
 from cohortloom.operators.power import PowerScale
 from cohortloom.operators.sampling import sample_per_group, top_per_group
 from cohortloom.sources.stages import StageArea
@@ -94,9 +92,18 @@ class ClusterModel:
         numbered = predicted.withColumn("cluster", numbers[F.col("prediction")])
         return add_cluster_names(numbered.drop("prediction"), cfg)
 
+    def leader(self, measure: str) -> int:
+        """Number of the cluster whose centre is largest in a measure; of equals the first."""
+        place = CLUSTER_MEASURES.index(measure)
+        centers = self.model.clusterCenters()
+        return min(self.numbers.items(), key=lambda pair: (-centers[pair[0]][place], pair[1]))[1]
+
 
 def cluster_names_frame(spark: SparkSession, cfg: Config) -> DataFrame:
-    """Number, names and place of each named cluster."""
+    """Number, names and place of each named cluster.
+
+    Numbers follow the sizes of one fit, so names belong to a saved model and its analyst.
+    """
     place = {name: i + 1 for i, name in enumerate(cfg.cluster_display_order)}
     rows = [(k, s, f, place.get(s)) for k, (s, f) in sorted(cfg.cluster_names.items())]
     schema = "cluster int, cluster_name string, cluster_full_name string, display_order int"
@@ -204,30 +211,28 @@ def _profile_columns(title: str | Column, position: str = "position") -> list[Co
 def top_users(
     clustered: DataFrame,
     cfg: Config,
-    picks: Sequence[tuple[str, str, str]] = TOP_PROFILES,
-    group: str = "cluster_name",
+    picks: Sequence[tuple[str | int, str, str]],
+    group: str = "cluster",
 ) -> DataFrame:
-    """The most active users of some clusters, each by the measure that defines the cluster.
+    """The most active users of some clusters, each by one measure.
 
-    ``picks`` lists (cluster, measure, title).
+    ``picks`` lists (cluster, measure, title); a cluster may be picked by several measures.
     """
-    chosen = clustered.filter(F.col(group).isin(*[p[0] for p in picks]))
-    measure = by_value(group, {p[0]: F.col(p[1]) for p in picks})
-    title = by_value(group, {p[0]: F.lit(p[2]) for p in picks})
-    ranked = top_per_group(
-        chosen.withColumn("_measure", measure),
-        group,
-        [F.desc("_measure"), "user_id"],
-        cfg.users_per_cluster,
+    listed = F.array(
+        *(
+            F.struct(F.lit(g).alias("g"), F.lit(i).alias("pick"), F.lit(title).alias("title"), F.col(m).cast("double").alias("by"))
+            for i, (g, m, title) in enumerate(picks)
+        )
     )
-    return ranked.select(*_profile_columns(title))
+    chosen = clustered.filter(F.col(group).isin(*{p[0] for p in picks}))
+    picked = chosen.withColumn("_pick", F.explode(F.filter(listed, lambda p: p["g"] == F.col(group))))
+    picked = picked.withColumns({"_n": F.col("_pick.pick"), "_by": F.col("_pick.by"), "_title": F.col("_pick.title")})
+    ranked = top_per_group(picked, "_n", [F.desc("_by"), "user_id"], cfg.users_per_cluster)
+    return ranked.select(*_profile_columns(F.col("_title")))
 
 
 def mixed_sample(
-    clustered: DataFrame,
-    cfg: Config,
-    names: Sequence[str] = SAMPLED_CLUSTERS,
-    group: str = "cluster_name",
+    clustered: DataFrame, cfg: Config, names: Sequence[str | int], group: str = "cluster"
 ) -> DataFrame:
     """A random sample of random samples of some clusters."""
     chosen = clustered.filter(F.col(group).isin(*names))
@@ -238,6 +243,9 @@ def mixed_sample(
     return drawn.select(*_profile_columns(SAMPLE_TITLE))
 
 
-def user_profiles(clustered: DataFrame, cfg: Config) -> DataFrame:
-    """All profiled users: the most active of some clusters, and a mixed sample."""
-    return top_users(clustered, cfg).unionByName(mixed_sample(clustered, cfg))
+def user_profiles(clustered: DataFrame, model: ClusterModel, cfg: Config) -> DataFrame:
+    """All profiled users: the most active ones of the clusters that lead in a measure, and a mixed
+    sample of the other clusters."""
+    picks = [(model.leader(m), m, title) for m, title in TOP_PROFILES]
+    rest = sorted(set(model.numbers.values()) - {p[0] for p in picks})
+    return top_users(clustered, cfg, picks).unionByName(mixed_sample(clustered, cfg, rest or [p[0] for p in picks]))

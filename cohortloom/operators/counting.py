@@ -11,26 +11,31 @@ from cohortloom.operators.filters import rolling_window
 from cohortloom.sources.tables import Tables
 
 
-def active_users(t: Tables, cfg: Config) -> DataFrame:
+def active_users(t: Tables, cfg: Config, log: DataFrame | None = None) -> DataFrame:
     """Distinct users with any log row in the window, with the slug of their account.
 
-    Users are made distinct before the lookups, so no lookup sees a hot user.
+    Users are made distinct before the lookups, so no lookup sees a hot user. ``log`` is the reduced
+    log, if it was written before.
     """
-    recent = rolling_window(t.activities, "created_at", cfg.activity_as_of, cfg.activity_window)
+    if log is None:
+        log = rolling_window(t.activities, "created_at", cfg.activity_as_of, cfg.activity_window)
+    recent = log
     people = user_directory(t.users, t.collectives).filter("has_account")
     return recent.select("user_id").distinct().join(people, "user_id").select("user_id", "user_slug")
 
 
-def class_counts(t: Tables, cfg: Config) -> DataFrame:
+def class_counts(t: Tables, cfg: Config, log: DataFrame | None = None) -> DataFrame:
     """Per user and class: number of rows, sorted distinct hosts and recipients.
 
-    Recipients are null for classes of the activity log. Each task reduces its own rows before the
-    shuffle by user and class. Users are looked up last, when there is one row per user and class;
-    the log classes need a user with an account.
+    Recipients are null for classes of the activity log. Rows are first summed per user, class, host
+    and recipient, which splits the rows of a user with very many; the lists are then built from
+    distinct pairs. Users are looked up last, when there is one row per user and class; the log
+    classes need a user with an account.
     """
     recipients = F.array_sort(F.collect_set("recipient"))
+    pairs = counted_acts(t, cfg, log).groupBy("user_id", "activity_class", "host", "recipient")
     counts = (
-        counted_acts(t, cfg)
+        pairs.agg(F.sum("n").alias("n"))
         .groupBy("user_id", "activity_class")
         .agg(
             F.sum("n").alias("n"),

@@ -128,7 +128,7 @@ def _merge_currencies(df: DataFrame, keys: list[str], amounts: list[str]) -> Dat
     Slugs and fees follow from the ids, so the sums are taken before they are looked up: the lookup
     of the hosts, some of which hold very many accounts, is then the last step.
     """
-    sums = [whole_usd(F.coalesce(F.sum(a), F.lit(0.0))).alias(a) for a in amounts]
+    sums = [whole_usd(F.coalesce(F.sum(a), F.lit(0).cast("decimal(38,12)"))).alias(a) for a in amounts]
     known = df.dropna(subset=["collective_id", "host_collective_id"])
     return known.groupBy(*keys).agg(F.sum("transaction_count").alias("transaction_count"), *sums)
 

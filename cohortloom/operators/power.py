@@ -94,7 +94,10 @@ def power_likelihoods(values: DataFrame, grids: dict[str, PowerGrid]) -> DataFra
     )
     moments = sums.selectExpr(
         "*", "sum_y / total AS mean", "sum_yy / total - pow(sum_y / total, 2) AS variance"
-    ).withColumn("varies", F.expr("varies AND variance > 0"))
+    ).withColumn(
+        # Far powers can leave the range of doubles; they are not the best.
+        "varies", F.expr("varies AND variance > 0 AND variance < double('infinity')")
+    )
     likelihood = "-total / 2 * ln(variance) + (power - 1) * jacobian"
     return moments.selectExpr(
         "measure",
@@ -110,7 +113,7 @@ def power_likelihoods(values: DataFrame, grids: dict[str, PowerGrid]) -> DataFra
 def best_powers(likelihoods: DataFrame) -> DataFrame:
     """The most likely power per measure; of equally likely ones the smallest.
 
-    A constant measure has no likelihood and gets power 1.
+    A constant measure has no likelihood and gets power 1; so does an empty one.
     """
     fit = "struct(power, log_likelihood, mean, deviation, low, high)"
     order = "CASE WHEN log_likelihood IS NOT NULL THEN struct(log_likelihood, -power) END"
@@ -124,61 +127,45 @@ def best_powers(likelihoods: DataFrame) -> DataFrame:
     )
 
 
-def fixed_grid(low: int = -2, high: int = 2, ticks: int = 100) -> PowerGrid:
-    """``low``, ``low + 1 / ticks``, ... ``high``."""
-    return PowerGrid(0.0, low * ticks, high * ticks, float(ticks))
-
-
-def _wide_grids(values: DataFrame, points: int, top: float) -> dict[str, PowerGrid]:
-    """Per measure, a grid that holds the best power.
-
-    For a measure that is mostly zero the best power is near ``-total / sum ln(n + 1)``, which may
-    be far below -2; the grid starts at twice that.
-    """
-    x = F.col("value")
-    sums = values.groupBy("measure").agg(
-        F.sum("users").alias("total"), F.sum(F.col("users") * F.log1p(F.abs(x))).alias("logs")
-    )
-    grids = {}
-    for r in sums.collect():  # one row per measure
-        low = -max(2.0, 2.0 * r.total / r.logs) if r.logs else -2.0
-        grids[r.measure] = PowerGrid(low, 0, points, points / (top - low))
-    return grids
+FIRST_POWERS = 8  # the search begins with the whole powers from -8 to 8
 
 
 def fit_power_scales(
-    users: DataFrame,
-    measures: Sequence[str],
-    precision: float = 1e-6,
-    points: int = 200,
-    top: float = 4.0,
+    users: DataFrame, measures: Sequence[str], precision: float = 1e-6
 ) -> list[PowerScale]:
-    """Fit all measures together: a wide grid, then ever finer ones around each best power.
+    """Fit all measures together.
 
-    Every round is one small aggregation that returns one row per measure.
+    Whole powers are tried first, over a range that grows on either side while the best one lies on
+    its edge; then a hundredth of the step around the best, until the step is ``precision``. The
+    likelihood has one peak, so each round holds the next one's best. Every round is one small
+    aggregation that returns one row per measure.
     """
     values = value_counts(users, measures).persist()
-    half = points // 2
     try:
-        grids = _wide_grids(values, points, top)
-        while True:
-            best = _best(values, grids)
-            if all(1 / g.ticks <= precision for g in grids.values()):
-                return [best[m] for m in measures]
-            grids = {
-                m: PowerGrid(best[m].power, -half, half, half * g.ticks) for m, g in grids.items()
-            }
+        grids = {m: PowerGrid(0.0, -FIRST_POWERS, FIRST_POWERS, 1.0) for m in measures}
+        best: dict[str, PowerScale] = {}
+        while grids:
+            best |= _best(values.filter(F.col("measure").isin(*grids)), grids)
+            grids = {m: g for m, old in grids.items() if (g := _wider(old, best.get(m)))}
+        step = 1.0
+        while step > precision:
+            step /= 100
+            around = {m: PowerGrid(s.power, -100, 100, round(1 / step)) for m, s in best.items()}
+            best = _best(values, around) if around else best
+        return [best[m] for m in measures if m in best]
     finally:
         values.unpersist()
 
 
-def fit_fixed_grid(
-    users: DataFrame, measures: Sequence[str], grid: PowerGrid | None = None
-) -> list[PowerScale]:
-    """Fit all measures on one fixed grid."""
-    grid = grid or fixed_grid()
-    best = _best(value_counts(users, measures), {m: grid for m in measures})
-    return [best[m] for m in measures]
+def _wider(grid: PowerGrid, best: PowerScale | None) -> PowerGrid | None:
+    """A grid twice as far on the side on whose edge the best power lies."""
+    if best is None or best.log_likelihood is None:
+        return None
+    if best.power <= grid.first:
+        return PowerGrid(grid.base, 2 * grid.first, grid.last, grid.ticks)
+    if best.power >= grid.last:
+        return PowerGrid(grid.base, grid.first, 2 * grid.last, grid.ticks)
+    return None
 
 
 def _best(values: DataFrame, grids: dict[str, PowerGrid]) -> dict[str, PowerScale]:

@@ -38,15 +38,15 @@ def _sections(cfg: Config) -> list[tuple[str, str, list[tuple]]]:
         (measure_title(m), f"Users with {measure_title(m)}, and users by number of them", m)
         for m in CHART_MEASURES
     ]
-    full_names = {short: full for short, full in cfg.cluster_names.values()}
+    names = {n: cfg.cluster_names.get(n, (f"Cluster {n}",) * 2) for n in range(1, cfg.clusters + 1)}
+    place = {short: i for i, short in enumerate(cfg.cluster_display_order)}
+    shown = sorted(names, key=lambda n: (place.get(names[n][0], len(place)), n))
     clusters = [
-        (full_names[short], f"Average activity scores of {full_names[short]}", "cluster_profile")
-        for short in cfg.cluster_display_order
-        if short in full_names
+        (names[n][1], f"Average activity scores of {names[n][1]}", "cluster_profile") for n in shown
     ]
     profiles = [
         (title, f"The most active users by {measure_title(measure)}", "user_profiles")
-        for _, measure, title in TOP_PROFILES
+        for measure, title in TOP_PROFILES
     ]
     profiles.append((SAMPLE_TITLE, "Users drawn from several clusters", "user_profiles"))
     return [
@@ -133,18 +133,28 @@ def _money_totals(money: MoneyFlow, cfg: Config) -> list[DataFrame]:
     """One-row frames of the totals of both clean frames."""
     has_fee = F.col("host_fee_percent") > 0
     crowd = ~F.col("payment_method_type").isin(*cfg.untipped_methods)
+    main = F.col("host_collective_slug").isin(*cfg.main_hosts) if cfg.main_hosts else F.lit(False)
     tip = F.col("platform_tip_amount_in_usd")
     usd = F.col("amount_in_usd")
+    paid = F.col("transaction_count")
 
     def total(column):
         return F.coalesce(F.sum(column), F.lit(0)).cast("double")
 
     expenses = money.expenses.agg(
-        total(F.col("transaction_count")).alias("expenses_paid"), total(usd).alias("usd_paid_out")
+        total(paid).alias("expenses_paid"),
+        total(usd).alias("usd_paid_out"),
+        total(F.when(main, paid)).alias("expenses_paid_main_hosts"),
+        total(F.when(main, usd)).alias("usd_paid_out_main_hosts"),
+    ).withColumn(
+        "expenses_other_hosts_percent",
+        percent_of(F.col("expenses_paid") - F.col("expenses_paid_main_hosts"), F.col("expenses_paid")),
     )
     income = money.income.agg(
         total(usd).alias("usd_received"),
+        total(F.when(main, usd)).alias("usd_received_main_hosts"),
         total(tip).alias("usd_tips"),
+        total(F.when(main, tip)).alias("usd_tips_main_hosts"),
         total(F.when(has_fee, tip)).alias("usd_tips_host_fee"),
         total(F.when(~has_fee, tip)).alias("usd_tips_no_host_fee"),
         total(F.when(crowd, usd)).alias("usd_crowdfunding"),
@@ -152,8 +162,22 @@ def _money_totals(money: MoneyFlow, cfg: Config) -> list[DataFrame]:
     return [expenses, income]
 
 
+def _largest_shares(money: MoneyFlow) -> DataFrame:
+    """The largest share that one host has of the expenses, and of the tips, in percent."""
+
+    def share(df: DataFrame, value: str, name: str) -> DataFrame:
+        hosts = df.groupBy("host_collective_slug").agg(F.sum(value).cast("double").alias("v"))
+        top = hosts.agg(F.max("v").alias("most"), F.sum("v").alias("all"))
+        return top.select(F.lit(name).alias("metric"), percent_of(F.col("most"), F.col("all")).alias("value"))
+
+    expenses = share(money.expenses, "transaction_count", "expenses_largest_host_percent")
+    return expenses.unionByName(
+        share(money.income, "platform_tip_amount_in_usd", "usd_tips_largest_host_percent")
+    )
+
+
 def headline_numbers(all_users: DataFrame, money: MoneyFlow, cfg: Config) -> DataFrame:
-    """The totals that the report quotes, one per row."""
+    """The totals that the report quotes, one per row; those of the main hosts apart."""
     users = funnel(all_users, cfg).select(
         F.concat(F.col("stage"), F.lit("_users")).alias("metric"),
         F.col("users").cast("double").alias("value"),
@@ -161,4 +185,4 @@ def headline_numbers(all_users: DataFrame, money: MoneyFlow, cfg: Config) -> Dat
     totals = [
         df.unpivot([], df.columns, "metric", "value") for df in _money_totals(money, cfg)
     ]
-    return reduce(DataFrame.unionByName, [users, *totals])
+    return reduce(DataFrame.unionByName, [users, *totals, _largest_shares(money)])

@@ -1,33 +1,23 @@
 """Scores, ranks and percentile tiles of the class counts.
 
-Nothing here puts all users into one task: maxima and tile limits come from a histogram whose size
-does not grow with the number of users, and the counts themselves are scored where they lie.
+Nothing here puts all users into one task: ranks come from the sizes of sorted parts, and the counts
+themselves are scored where they lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.config import Config
 from cohortloom.functions.columns import log_score, rank_bucket
-
-_ID_BLOCKS = 1024
-
-
-def _id_block(counts: DataFrame, user_id: str) -> Column:
-    """Block of the id range, in id order. Ids are unique within a class, so no block holds more
-    than 1/1024 of the id range."""
-    low, high = counts.agg(F.min(user_id), F.max(user_id)).first()
-    if low is None:
-        return F.lit(0)
-    width = (high - low) // _ID_BLOCKS + 1
-    return F.expr(f"(`{user_id}` - {low}) div {width}")
+from cohortloom.sources.stages import StageArea
 
 
 def class_limits(
     counts: DataFrame,
+    stages: StageArea,
     tiles: int = 20,
     group: str = "activity_class",
     count: str = "n",
@@ -35,24 +25,27 @@ def class_limits(
 ) -> DataFrame:
     """Per class: the largest count and the last ``(count, user id)`` of every tile.
 
-    ``counts`` is read several times, so pass a written table.
+    ``counts`` is read more than once, so pass a written table.
 
-    1. Cells of (count, id block) are counted; a running sum over them gives the ranks each covers.
-       A class has at most 1024 cells per distinct count, however many users it has.
-    2. A tile ends in exactly one cell. Only the cells in which a tile ends, at most ``tiles`` per
-       class, are ordered row by row, each in its own task.
+    1. The rows are dealt out by ranges of (class, count, user id), which makes parts of about equal
+       size whatever the ids and counts are, and written with the number of their part.
+    2. A running sum over the sizes of the parts of a class, at most one row per part and class,
+       gives the ranks that each part holds.
+    3. Only parts in which a tile ends, at most ``tiles`` per class, are ranked row by row, each in
+       its own task.
     """
-    keyed = counts.select(group, count, user_id, _id_block(counts, user_id).alias("block"))
-    cell = [group, count, "block"]
-    cells = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("users"))
+    ranged = counts.select(group, count, user_id).repartitionByRange(group, count, user_id)
+    keyed = stages.save(ranged.withColumn("part", F.spark_partition_id()), "ranged_counts")
+    cell = [group, "part"]
+    cells = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("users"), F.max(count).alias("top"))
     in_class = W.partitionBy(group)
-    earlier = in_class.orderBy(count, "block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = in_class.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     ranked = cells.select(
         *cell,
         "users",
         F.coalesce(F.sum("users").over(earlier), F.lit(0)).alias("before"),
         F.sum("users").over(in_class).alias("total"),
-        F.max(count).over(in_class).alias("largest"),
+        F.max("top").over(in_class).alias("largest"),
     )
     # The first (total % tiles) tiles hold one row more than the rest.
     small, large, extra = f"(total div {tiles})", f"(total div {tiles} + 1)", f"(total % {tiles})"
@@ -77,7 +70,7 @@ def class_limits(
         )
     )
     # At most one row per tile and class on the broadcast side.
-    in_cell = W.partitionBy(*cell).orderBy(user_id)
+    in_cell = W.partitionBy(*cell).orderBy(count, user_id)
     last_rows = (
         keyed.join(F.broadcast(ends), cell)
         .withColumn("position", F.row_number().over(in_cell).cast("bigint"))
@@ -89,13 +82,13 @@ def class_limits(
     )
 
 
-def score_classes(counts: DataFrame, cfg: Config) -> DataFrame:
+def score_classes(counts: DataFrame, cfg: Config, stages: StageArea) -> DataFrame:
     """Add log, score, rank and percentile to the long counts.
 
     The score divides log10(n + 1) by the largest log10(n) of the class, so it can exceed 1; where
     no user has two rows of a class the score is 0.
     """
-    limits = class_limits(counts, cfg.tiles)
+    limits = class_limits(counts, stages, cfg.tiles)
     # A row's tile is its place among the tile ends of its class.
     own = F.struct("n", F.col("user_id").alias("id"))
     tile = F.array_position(F.sort_array(F.array_append("tile_ends", own)), own)

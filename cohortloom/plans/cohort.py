@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from cohortloom.config import CLUSTER_MEASURES, FEATURE_MEASURES, MODIFIER, Config
 from cohortloom.operators.assembly import cohort_table, user_counts
+from cohortloom.operators.classify import reduced_log
 from cohortloom.operators.clusters import ClusterModel, cluster_points, fit_clusters
 from cohortloom.operators.counting import active_users, class_counts
 from cohortloom.operators.features import (
@@ -23,19 +24,31 @@ from cohortloom.sources.stages import StageArea
 from cohortloom.sources.tables import Tables
 
 
+def _log(t: Tables, cfg: Config, stages: StageArea) -> DataFrame:
+    """The reduced log, written once for all that is counted from it."""
+    return stages.tables.get("log") or stages.save(reduced_log(t.activities, cfg), "log")
+
+
+def _counts(t: Tables, cfg: Config, stages: StageArea) -> DataFrame:
+    """The class counts, written once; they are read several times."""
+    known = stages.tables.get("class_counts")
+    return known or stages.save(class_counts(t, cfg, _log(t, cfg, stages)), "class_counts")
+
+
 def scored_classes(t: Tables, cfg: Config, stages: StageArea) -> DataFrame:
-    """Long frame with scores. The counts are written: scoring reads them several times."""
-    return score_classes(stages.save(class_counts(t, cfg), "class_counts"), cfg)
+    """Long frame with scores."""
+    return score_classes(_counts(t, cfg, stages), cfg, stages)
 
 
 def wide_cohort(t: Tables, cfg: Config, stages: StageArea) -> DataFrame:
     """The cohort table in the order of the user ids."""
-    return cohort_table(active_users(t, cfg), scored_classes(t, cfg, stages)).orderBy("user_id")
+    active = active_users(t, cfg, _log(t, cfg, stages))
+    return cohort_table(active, scored_classes(t, cfg, stages)).orderBy("user_id")
 
 
-def all_users(t: Tables, cfg: Config) -> DataFrame:
+def all_users(t: Tables, cfg: Config, stages: StageArea) -> DataFrame:
     """Every user with log rows in the window: ids, counts and lists."""
-    return user_counts(active_users(t, cfg), class_counts(t, cfg))
+    return user_counts(active_users(t, cfg, _log(t, cfg, stages)), _counts(t, cfg, stages))
 
 
 @dataclass(frozen=True)
@@ -59,12 +72,17 @@ class Cohort:
 
 
 def stage_users(t: Tables, cfg: Config, stages: StageArea) -> DataFrame:
-    return stages.save(all_users(t, cfg), "all_users")
+    return stages.save(all_users(t, cfg, stages), "all_users")
 
 
 def stage_active(t: Tables, cfg: Config, stages: StageArea) -> DataFrame:
     """Active users, written apart: every fit reads their counts again."""
-    return stages.save(active_cohort(stage_users(t, cfg, stages), cfg), "active_users")
+    return active_of(stage_users(t, cfg, stages), cfg, stages)
+
+
+def active_of(users: DataFrame, cfg: Config, stages: StageArea) -> DataFrame:
+    """Active users of a table of all users, counted here or exported earlier."""
+    return stages.save(active_cohort(users, cfg), "active_users")
 
 
 def fit_scales(active: DataFrame) -> Scales:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.config import Config
+from cohortloom.config import PROFILE_MEASURES, Config
 from cohortloom.operators import stats
 from cohortloom.operators.clusters import (
     cluster_profile,
@@ -23,6 +23,9 @@ from cohortloom.sources.stages import StageArea, read_result
 from cohortloom.sources.tables import Tables
 
 
+MAP_COLUMNS = ("user_id", "user_slug", *PROFILE_MEASURES, "cluster", "cluster_full_name", "x", "y")
+
+
 def cluster_links(clustered: DataFrame, cfg: Config) -> DataFrame:
     """Links to the profiles of some random users of each cluster."""
     slim = clustered.select("cluster", "user_id", "user_slug")
@@ -50,8 +53,8 @@ def build_results(
         "cluster_profile": cluster_profile(cohorts),
         "cluster_histogram": stats.cluster_histogram(cohorts, cfg),
         "cluster_links": cluster_links(cohorts, cfg),
-        "user_profiles": user_profiles(cohorts, cfg),
-        "pca_map": mapped.select("user_id", "user_slug", "cluster", "cluster_full_name", "x", "y"),
+        "user_profiles": user_profiles(cohorts, clustered.model, cfg),
+        "pca_map": mapped.select(*MAP_COLUMNS),
         "top_hosts": top_hosts(money.income),
         "smallest_expenses": smallest_expenses(money.expenses),
         "headline_numbers": headline_numbers(users, money, cfg),

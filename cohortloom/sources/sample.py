@@ -27,6 +27,15 @@ SOURCE_SCHEMAS = {
 
 VIEWS = {
     "collectives": """
+SELECT id, concat('Account ', CAST(id AS STRING)) AS name,
+ CASE id % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'BE' ELSE CAST(NULL AS STRING) END AS country_iso,
+ CASE id % 2 WHEN 0 THEN 'USD' ELSE 'EUR' END AS currency,
+ CASE WHEN id % 5 = 0 THEN CAST(NULL AS STRING) ELSE concat('About ', slug) END AS description,
+ CASE WHEN id % 7 = 0 THEN '50.85,4.35' ELSE CAST(NULL AS STRING) END AS geo_location_lat_long,
+ host_collective_id, host_fee_percent, type = 'ORGANIZATION' AS is_host_account,
+ CASE WHEN id % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('First, a "quoted" line', chr(10), 'then another of ', slug) END AS long_description,
+ parent_collective_id, CASE WHEN id % 6 = 0 THEN CAST(5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS platform_fee_percent,
+ slug, type FROM (
 SELECT c_custkey AS id,
  CASE WHEN c_custkey % 23 = 5 THEN concat('incognito-', CAST(c_custkey AS STRING)) WHEN c_custkey % 29 = 7 THEN concat('guest-', CAST(c_custkey AS STRING)) ELSE concat('user-', CAST(c_custkey AS STRING)) END AS slug,
  CASE WHEN c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0 THEN 'ORGANIZATION' ELSE 'USER' END AS type,
@@ -44,6 +53,7 @@ SELECT 2000000 + p_partkey,
  CASE WHEN p_partkey % 10 IN (0, 1, 2) AND p_partkey >= 10 THEN 2000004 + p_partkey - p_partkey % 10 ELSE CAST(NULL AS BIGINT) END,
  CASE WHEN p_partkey % 14 = 6 THEN CAST(0 AS DOUBLE) ELSE CAST(NULL AS DOUBLE) END
 FROM {part}
+) accounts
 """,
     "users": "SELECT c_custkey AS id, c_custkey AS collective_id FROM {customer}",
     "members": """
@@ -111,6 +121,10 @@ CONFIG = Config(
     blocked_slugs=("blocked-17",),
     platform_host_slug="platform-internal",
     usd_rates={"USD": 1.0, "EUR": 1.08, "GBP": 1.25, "SEK": 0.108},
+    main_hosts=("host-1", "host-4"),
+    # Low enough that the sample has users on both sides.
+    modifier_threshold=5,
+    histogram_cap=8,
 )
 
 

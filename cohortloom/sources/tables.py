@@ -53,6 +53,31 @@ def account_columns() -> list[str]:
     return [camel_to_snake(c) for c in schema_of("collectives").names]
 
 
+# Tables whose text can hold line breaks; such a CSV file is read by one task.
+FREE_TEXT = ("collectives",)
+
+
+def csv_options(free_text: bool = False) -> dict[str, str]:
+    """A header is required and must name the columns in the order of the schema; a row that does not
+    fit the schema is an error."""
+    options = {"header": "true", "enforceSchema": "false", "mode": "FAILFAST", "escape": '"'}
+    return options | ({"multiLine": "true"} if free_text else {})
+
+
+def jdbc_options(
+    url: str, table: str, partition_column: str, lower: int | str, upper: int | str, partitions: int
+) -> dict[str, str]:
+    """Options for a table read by ``partitions`` tasks, each with a range of one column."""
+    return {
+        "url": url,
+        "dbtable": table,
+        "partitionColumn": partition_column,
+        "lowerBound": str(lower),
+        "upperBound": str(upper),
+        "numPartitions": str(partitions),
+    }
+
+
 def read_table(
     spark: SparkSession,
     name: str,
@@ -63,11 +88,16 @@ def read_table(
 ) -> DataFrame:
     """Scan one operational table and keep ``columns`` (snake case), or all of them.
 
-    ``source`` is any Spark source (parquet, orc, csv, json, jdbc, ...); ``options`` go to it.
+    ``source`` is any Spark source (parquet, orc, csv, json, jdbc, ...); ``options`` go to it. A
+    database needs the options of :func:`jdbc_options` and no path.
     """
+    if source == "csv":
+        options = csv_options(name in FREE_TEXT) | options
     reader = spark.read.format(source).options(**options)
     if source != "jdbc":
         reader = reader.schema(schema_of(name))
+    elif path or "dbtable" not in options:
+        raise ValueError(f"{name}: a database is read by its options, not by a path")
     df = rename_camel(reader.load(path) if path else reader.load())
     return df.select(*columns) if columns else df
 
@@ -81,10 +111,23 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(arrow)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options: str) -> DataFrame:
-    """CSV export with a header. Quoted line breaks need ``multiLine="true"``, which reads a file
-    in one task; keep large exports in Parquet."""
-    return spark.read.options(header="true", escape='"', **options).schema(schema).csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str, free_text: bool = False, **options: str
+) -> DataFrame:
+    """CSV export with a header. With ``free_text``, quoted line breaks are read, each file by one
+    task; keep large exports in Parquet."""
+    return spark.read.options(**(csv_options(free_text) | options)).schema(schema).csv(path)
+
+
+def read_rollup(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """An exported roll-up: ``expense_rollup`` or ``income_rollup``."""
+    return rename_camel(read_csv(spark, path, schema_of(name)))
+
+
+def write_rollup(df: DataFrame, name: str, path: str) -> None:
+    """Write a roll-up as the CSV that :func:`read_rollup` reads."""
+    titles = schema_of(name).names
+    df.select(*[F.col(camel_to_snake(c)).alias(c) for c in titles]).write.options(header="true", escape='"').csv(path)
 
 
 def cohort_export_schema() -> StructType:
@@ -146,10 +189,21 @@ class Tables:
     transactions: DataFrame
 
     @classmethod
-    def read(cls, spark: SparkSession, root: str, source: str = "parquet", **options) -> Tables:
+    def read(
+        cls,
+        spark: SparkSession,
+        root: str | None = None,
+        source: str = "parquet",
+        of_table: dict[str, dict[str, str]] | None = None,
+        **options,
+    ) -> Tables:
+        """All tables: folders below ``root``, or for a database ``of_table``, the options of each."""
+        own = of_table or {}
         return cls(
             **{
-                f.name: read_table(spark, f.name, f"{root}/{f.name}", source=source, **options)
+                f.name: read_table(
+                    spark, f.name, root and f"{root}/{f.name}", source=source, **(options | own.get(f.name, {}))
+                )
                 for f in fields(cls)
             }
         )

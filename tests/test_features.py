@@ -7,7 +7,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.config import CLUSTER_MEASURES, FEATURE_MEASURES, LIST_COLUMNS, MEASURES, MODIFIER
+from cohortloom.config import (
+    CLUSTER_MEASURES,
+    FEATURE_MEASURES,
+    LIST_COLUMNS,
+    MEASURES,
+    MODIFIER,
+    SAMPLE_TITLE,
+    TOP_PROFILES,
+)
 from cohortloom.operators import stats
 from cohortloom.operators.clusters import (
     cluster_points,
@@ -18,6 +26,7 @@ from cohortloom.operators.clusters import (
     mixed_sample,
     project,
     top_users,
+    user_profiles,
 )
 from cohortloom.operators.features import (
     active_cohort,
@@ -25,7 +34,7 @@ from cohortloom.operators.features import (
     fit_log_scales,
     ordered_columns,
 )
-from cohortloom.operators.power import add_power_features, fit_fixed_grid, fit_power_scales
+from cohortloom.operators.power import add_power_features, fit_power_scales
 from cohortloom.operators.sampling import group_links, sample_per_group, top_per_group
 from tests.helpers import CFG, config, plan_of
 
@@ -93,10 +102,10 @@ def test_constant_measure_scales_to_zero(spark):
     df = active_cohort(users_frame(spark, [{"event_orders": 3}, {"event_orders": 3}]), CFG)
     row = add_log_features(df, fit_log_scales(df)).first()
     assert (row.event_orders_norm_log, row.event_orders_score) == (0, 0)
-    for scales in (fit_power_scales(df, FEATURE_MEASURES), fit_fixed_grid(df, FEATURE_MEASURES)):
-        assert {s.power for s in scales} == {1.0}
-        row = add_power_features(df, scales).first()
-        assert (row.event_orders_yeojohnson, row.event_orders_yeojohnson_scaled) == (0, 0)
+    scales = fit_power_scales(df, FEATURE_MEASURES)
+    assert {s.power for s in scales} == {1.0}
+    row = add_power_features(df, scales).first()
+    assert (row.event_orders_yeojohnson, row.event_orders_yeojohnson_scaled) == (0, 0)
 
 
 def likelihood(xs, power):
@@ -116,7 +125,21 @@ def test_power_fit_is_the_best_power(random_users):
             assert best >= likelihood(data[s.measure], s.power + step)
 
 
-def test_rare_measures_have_powers_far_below_the_fixed_grid(spark):
+@pytest.mark.parametrize(
+    "xs, power", [([10] * 950 + [1] * 50, 11.7), ([0] * 960 + [1] * 30 + [2] * 10, None), ([0] * 300 + [1], None)]
+)
+def test_powers_have_no_bound(spark, xs, power):
+    """The best power is found wherever it lies, on either side."""
+    df = users_frame(spark, [{"event_orders": x} for x in xs])
+    (scale,) = fit_power_scales(df, ["event_orders"])
+    assert not -8 < scale.power < 8
+    if power:
+        assert scale.power == pytest.approx(power, abs=0.1)
+    around = [scale.power + d for d in np.linspace(-5, 5, 201)]
+    assert likelihood(xs, scale.power) >= max(likelihood(xs, p) for p in around) - 1e-6
+
+
+def test_rare_measures_have_powers_far_below_zero(spark):
     rng = random.Random(3)
     rows = [{"event_orders": rng.choice([1, 2]) if i % 25 == 0 else 0, "direct_contributions": 1 + i % 3} for i in range(400)]
     df = active_cohort(users_frame(spark, rows), CFG)
@@ -181,7 +204,16 @@ def test_clusters(random_users, stages):
         users.select("user_id", "cluster")
     ).isEmpty()
     profile = cluster_profile(users).collect()
-    assert [r.display_order for r in profile] == sorted(r.display_order for r in profile)
+    assert [r.cluster for r in profile] == [1, 2, 3, 4]
+    assert {r.cluster_name for r in profile} == {"Cluster 1", "Cluster 2", "Cluster 3", "Cluster 4"}
+    # Profiled clusters lead in the measure that their title states.
+    for measure, _ in TOP_PROFILES:
+        at = CLUSTER_MEASURES.index(measure)
+        number_at = {n: p for p, n in model.numbers.items()}
+        centers = model.model.clusterCenters()
+        assert centers[number_at[model.leader(measure)]][at] == max(c[at] for c in centers)
+    shown = user_profiles(users, model, cfg).collect()
+    assert {r.title for r in shown} == {t for _, t in TOP_PROFILES} | {SAMPLE_TITLE}
     bins = stats.cluster_histogram(users, cfg)
     assert bins.agg(F.max("activities")).first()[0] == 10
 
@@ -267,9 +299,9 @@ def test_links(spark):
 def test_profiles(random_users):
     logged = add_log_features(random_users, fit_log_scales(random_users))
     named = logged.withColumn("cluster_name", F.expr("CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END"))
-    top = top_users(named, CFG, [("even", "event_orders", "Even")]).collect()
+    top = top_users(named, CFG, [("even", "event_orders", "Even")], "cluster_name").collect()
     best = [r.user_id for r in named.filter("user_id % 2 = 0").orderBy(F.desc("event_orders"), "user_id").limit(8).collect()]
     assert [r.user_id for r in sorted(top, key=lambda r: r.position)] == best
-    mixed = mixed_sample(named, CFG, ["even", "odd"]).collect()
+    mixed = mixed_sample(named, CFG, ["even", "odd"], "cluster_name").collect()
     assert sorted(r.position for r in mixed) == list(range(1, 9))
     assert len({r.user_id for r in mixed}) == 8

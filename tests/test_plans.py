@@ -13,14 +13,14 @@ from cohortloom.operators.classify import counted_acts
 from cohortloom.operators.counting import class_counts
 from cohortloom.operators.lookups import left_lookup
 from cohortloom.operators.money import expense_rollup, income_rollup
-from cohortloom.plans.cohort import scored_classes
+from cohortloom.plans.cohort import all_users, scored_classes, wide_cohort
 from cohortloom.sources.sample import CONFIG, SampleTables
 from tests.helpers import plan_of
 
 SF = "/root/testdata/sf0.001"
 # These fit models; their plans are those of the frames they start from.
 FITTED = {"elbow", "kmeans_sizes", "cluster_tree", "cluster_profile", "cluster_histogram"}
-FITTED |= {"cluster_user_profiles", "cluster_sample_links", "pca_map"}
+FITTED |= {"cluster_user_profiles", "cluster_sample_links", "pca_map", "cluster_checks", "elbow_of_one", "feature_totals"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - FITTED))
@@ -76,6 +76,14 @@ def test_log_and_orders_are_scanned_once(spark):
     assert sum("orders.parquet" in s for s in scans(plan)) == 1
 
 
+def test_all_users_and_the_cohort_table_share_one_scan(spark, stages):
+    t = SampleTables(spark, SF)
+    users, wide = all_users(t, CONFIG, stages), wide_cohort(t, CONFIG, stages)
+    assert list(stages.tables).count("log") == 1
+    for df in (users, wide):
+        assert not any("events.parquet" in s or "orders.parquet" in s for s in scans(plan_of(df)))
+
+
 def test_facts_are_reduced_before_every_lookup(spark):
     """Below the first join of the fact side there is a partial aggregation."""
     t = SampleTables(spark, SF)

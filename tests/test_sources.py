@@ -15,12 +15,15 @@ from cohortloom.sources.tables import (
     Tables,
     account_columns,
     cohort_export_schema,
+    jdbc_options,
     kept_columns,
     load_cohort_export,
     read_csv,
+    read_rollup,
     read_table,
     schema_of,
     write_list_text,
+    write_rollup,
 )
 from tests.helpers import config
 
@@ -42,11 +45,62 @@ def test_read_table_renames_and_projects(spark, tmp_path, source):
     )
     options = {"header": "true"} if source == "csv" else {}
     full.write.format(source).options(**options).save(path)
-    df = read_table(spark, "collectives", path, ["slug", "id"], source, **options)
+    df = read_table(spark, "collectives", path, ["slug", "id"], source)
     assert df.columns == ["slug", "id"]
     assert sorted(tuple(r) for r in df.collect()) == [("slug-0", 0), ("slug-1", 1), ("slug-2", 2)]
 
 
+def csv_file(folder, text):
+    (folder / "part.csv").write_text(text)
+    return str(folder)
+
+
+def test_csv_reads_quoted_line_breaks(spark, tmp_path):
+    names = schema_of("collectives").names
+    cells = {"id": "1", "slug": "a", "longDescription": '"one ""quoted""\ntwo"'}
+    path = csv_file(tmp_path, ",".join(names) + "\n" + ",".join(cells.get(n, "") for n in names) + "\n")
+    rows = read_table(spark, "collectives", path, ["id", "slug", "long_description"], "csv").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", 'one "quoted"\ntwo')]
+
+
+@pytest.mark.parametrize(
+    "text", ["CollectiveId,id\n1,2\n", "1,2\n3,4\n", "id,CollectiveId\nx,2\n"], ids=["swapped", "no header", "text"]
+)
+def test_csv_that_does_not_fit_is_an_error(spark, tmp_path, text):
+    with pytest.raises(Exception, match="(?i)header|malformed|parse"):
+        read_table(spark, "users", csv_file(tmp_path, text), source="csv").collect()
+
+
+def test_database_options(spark):
+    options = jdbc_options("jdbc:x", "public.Users", "id", 1, 100, 8)
+    assert options["numPartitions"] == "8" and options["dbtable"] == "public.Users"
+    with pytest.raises(ValueError, match="not by a path"):
+        Tables.read(spark, "folder", source="jdbc", of_table={"activities": options})
+    with pytest.raises(ValueError, match="not by a path"):
+        Tables.read(spark, source="jdbc")
+
+
+def test_rollup_files(spark, tmp_path):
+    rows = [(1, 2, "blank", "USD", 3, 400, None)]
+    names = "collective_id bigint, host_collective_id bigint, payment_method_type string, currency string, transaction_count bigint, total_amount bigint, platform_tip_amount bigint"
+    write_rollup(spark.createDataFrame(rows, names), "income_rollup", f"{tmp_path}/r")
+    assert [tuple(r) for r in read_rollup(spark, "income_rollup", f"{tmp_path}/r").collect()] == rows
+
+
+def test_stages_are_deleted_when_closed(spark, tmp_path):
+    with StageArea(spark, str(tmp_path)) as area:
+        area.save(spark.range(3), "t")
+        assert list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
+
+
+def test_default_settings_drop_nothing():
+    from cohortloom.config import Config
+
+    assert Config().exclude_user_ids == Config().blocked_slugs == ()
+    assert not Config().cluster_names
+
+
 def test_tables_read_a_deployment(spark, tmp_path):
     for name in Tables.__dataclass_fields__:
         spark.createDataFrame([], schema_of(name)).write.parquet(f"{tmp_path}/{name}")
@@ -80,7 +134,7 @@ def test_cohort_export_round_trip(spark, tmp_path, stages):
     write_list_text(wide).toDF(*titles).write.csv(path, header=True)
     loaded = load_cohort_export(spark, path)
     assert loaded.columns == kept_columns()
-    assert loaded.exceptAll(all_users(t, CONFIG)).isEmpty()
+    assert loaded.exceptAll(all_users(t, CONFIG, stages)).isEmpty()
     assert loaded.count() == wide.count()
 
 
