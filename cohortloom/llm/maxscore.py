@@ -15,7 +15,8 @@ The shards' best are merged with a window.
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors
 count as padded with zeros; rows that repeat an id and vector count once; a query's own id is never
 its candidate; ties go to the smaller id; fewer candidates than k give all; an empty table gives an
-empty result. Null ids take no part. Whole components must fit 31 bits.
+empty result. Null ids take no part. Scores are
+64-bit whole numbers.
 """
 
 from __future__ import annotations
@@ -93,14 +94,14 @@ def _pack(ids: np.ndarray, vectors: list[list[int]], part: int) -> pa.RecordBatc
             "part": pa.array([part], pa.int32()),
             "n": pa.array([len(whole)], pa.int32()),
             "ids": pa.array([whole[:, 0].tobytes()], pa.binary()),
-            "data": pa.array([np.ascontiguousarray(whole[:, 1:]).astype(np.int32, casting="same_kind").tobytes()], pa.binary()),
+            "data": pa.array([np.ascontiguousarray(whole[:, 1:]).tobytes()], pa.binary()),
         }
     )
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], dtype=np.int64)
-    return ids, np.frombuffer(row["data"], dtype=np.int32).reshape(row["n"], -1).astype(np.int64)
+    return ids, np.frombuffer(row["data"], dtype=np.int64).reshape(row["n"], -1)
 
 
 def _search(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
