@@ -3,10 +3,10 @@
 The features of a text are the distinct byte n-grams of its lower-cased form, hashed to
 ``2 ** HASH_BITS`` buckets. Over all labelled training rows Spark counts in how many texts of either
 label a bucket occurs; a bucket's ratio is the logarithm of its smoothed share of label 1 over that
-of label 0. Buckets that occur in fewer than ``MIN_ROWS`` texts, or whose ratio is within
-``MIN_Z`` standard errors of 0, say nothing and are left out. A logistic regression is then fitted
-over the ratios of the buckets present; its intercept is moved to the label shares of all training
-rows.
+of label 0. Buckets that occur in fewer than ``MIN_ROWS`` texts, or with less than ``MIN_EVIDENCE`` for a
+link to the label, or with a ratio below ``MIN_RATIO``, say little and are left out. A logistic regression is then fitted
+over the ratios of the buckets present; its intercept is set so that 0.5 parts the labels best, each
+with its share of all training rows.
 
 The classifier is learned from a sample of bounded size: about ``LEARN`` rows of each label for the
 ratios and ``SAMPLE`` of each for the regression, drawn by a hash of the id. The drawn labels are
@@ -25,17 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_BITS = 20
-SIZES = (4, 5, 6, 7)  # bytes of an n-gram
+SIZES = (4, 5, 6)  # bytes of an n-gram
 MIN_ROWS = 3
-MIN_Z = 2.5
+MIN_EVIDENCE = 12.0  # likelihood ratio statistic
+MIN_RATIO = 1.0  # of a bucket, as a logarithm; weaker ones follow the lengths of the texts
 SMOOTHING = 0.5
-LEARN = 20_000  # training rows of each label for the ratios
-SAMPLE = 4_000  # of these, rows of each label for the regression
+LEARN = 6_000  # training rows of each label for the ratios
+SAMPLE = 3_000  # of these, rows of each label for the regression
 PENALTY = 1e-3
 ROUNDS = 300
 BLANKS = bytes(32 if c < 33 else c for c in range(256))
@@ -86,24 +88,58 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     shares = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     zeros, ones = shares.get(0, 0), shares.get(1, 0)
     weights = np.zeros(1 << HASH_BITS, dtype=np.float32)
+    share = ones / max(1, zeros + ones)
+    prior = Model(weights, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     if not zeros or not ones:
-        share = ones / max(1, zeros + ones)
-        return Model(weights, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return prior
     # About 2 * LEARN small rows, whatever the number of labels.
-    chosen = F.broadcast(_thinned(rows, shares, LEARN))
-    learn = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
-    table = _counts(learn).where(F.col("n0") + F.col("n1") >= MIN_ROWS).toArrow()
-    bucket, n0, n1 = (table.column(c).to_numpy() for c in ("bucket", "n0", "n1"))
-    a, b = n1 + SMOOTHING, n0 + SMOOTHING
-    most = [min(LEARN, n) + 2 * SMOOTHING for n in (zeros, ones)]
-    ratio = np.log(a / most[1]) - np.log(b / most[0])
-    clear = np.abs(ratio) >= MIN_Z * np.sqrt(1 / a + 1 / b)
+    chosen = _thinned(rows, shares, LEARN)
+    drawn = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = [drawn.get(0, 0), drawn.get(1, 0)]
+    learn = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    # Only buckets that tell the labels apart reach the driver.
+    ratio = F.ln((F.col("n1") + SMOOTHING) / (most[1] + 2 * SMOOTHING)) - F.ln((F.col("n0") + SMOOTHING) / (most[0] + 2 * SMOOTHING))
+    told = _counts(learn).where((F.col("n0") + F.col("n1") >= MIN_ROWS) & (_evidence(*most) >= MIN_EVIDENCE))
+    table = told.select("bucket", ratio.alias("ratio")).where(F.abs("ratio") >= MIN_RATIO).toArrow()
     scale = np.zeros(1 << HASH_BITS, dtype=np.float32)
-    scale[bucket[clear]] = ratio[clear]
-    sample = _present(_thinned(learn, {i: min(LEARN, n) for i, n in shares.items()}, SAMPLE), scale).toArrow()
-    y = sample.column("label").to_numpy()
-    beta, shift = _regress(sample.column("found").to_pylist(), y, scale)
-    return Model((beta * scale).astype(np.float32), float(shift + np.log(ones / zeros)))
+    scale[table.column("bucket").to_numpy()] = table.column("ratio").to_numpy()
+    sample = _present(_thinned(learn, drawn, SAMPLE), scale).toArrow()
+    if not len(sample):  # labels of no text
+        return prior
+    y, found = sample.column("label").to_numpy(), sample.column("found").combine_chunks()
+    size = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+    cols = found.flatten().to_numpy()
+    beta = _regress(cols, size, y, scale)
+    weights = (beta * scale).astype(np.float32)
+    z = np.bincount(np.repeat(np.arange(len(y)), size), weights[cols], minlength=len(y))
+    return Model(weights, -_boundary(z, y, zeros, ones))
+
+
+def _boundary(z: np.ndarray, y: np.ndarray, zeros: int, ones: int) -> float:
+    """The value that parts the labels of the sample best, each label with its share of all training
+    rows; of equally good ranges the middle of the widest, where it is positive."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    cost = np.where(y == 1, ones / max(1, y.sum()), -zeros / max(1, (y == 0).sum()))
+    wrong = np.concatenate([[0.0], np.cumsum(cost)])  # label 1 below, less label 0 below
+    edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
+    width = np.where(wrong <= wrong.min() + 1e-9, np.diff(edges), -1)
+    best = int(np.argmax(width))
+    low, high = edges[best], edges[best + 1]
+    # A text without evidence (0) stays below the boundary if that is as good.
+    return float((max(low, 0) + high) / 2 if high > 0 else (low + high) / 2)
+
+
+def _evidence(zeros: int, ones: int):
+    """Likelihood ratio statistic of a bucket's occurrence against the label."""
+    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
+    share = (n0 + n1) / (zeros + ones)
+
+    def term(n, total, part):
+        return F.when(n > 0, n * F.ln(n / (total * part))).otherwise(0.0)
+
+    seen = term(n0, zeros, share) + term(n1, ones, share)
+    return 2 * (seen + term(zeros - n0, zeros, 1 - share) + term(ones - n1, ones, 1 - share))
 
 
 def _thinned(rows: DataFrame, shares: dict[int, int], most: int) -> DataFrame:
@@ -143,12 +179,13 @@ def _present(rows: DataFrame, scale: np.ndarray) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "label int, found array<int>")
 
 
-def _regress(found: list[list[int]], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression over the scaled features: accelerated gradient steps on the whole sample."""
-    size = np.array([len(f) for f in found])
-    cols = np.concatenate([np.array(f, dtype=np.int64) for f in found]) if size.sum() else np.zeros(0, np.int64)
+def _regress(cols: np.ndarray, size: np.ndarray, y: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Logistic regression over the scaled features: accelerated gradient steps on the whole sample.
+
+    ``cols``: the buckets of one row after the other; ``size``: how many each row has.
+    """
     used, cols = np.unique(cols, return_inverse=True)
-    row = np.repeat(np.arange(len(found)), size)
+    row = np.repeat(np.arange(len(y)), size)
     values = scale[used][cols].astype(np.float64)
     n = len(y)
     weight = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum()))) / n
@@ -167,7 +204,7 @@ def _regress(found: list[list[int]], y: np.ndarray, scale: np.ndarray) -> tuple[
         w, c, t = w2, c2, t2
     beta = np.zeros(len(scale))
     beta[used] = w
-    return beta, c
+    return beta
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:

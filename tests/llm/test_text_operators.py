@@ -153,7 +153,7 @@ def test_toxicity_is_learned(spark):
 
 def test_toxicity_cases(spark):
     words = ["good day to you", "fine words here", "you rotten zork", "a zork you are"]
-    docs = texts(spark, words * 30 + ["", None, "zork " * 50_000, "fine " * 50_000])
+    docs = texts(spark, words * 30 + ["", None, "a zork you are " * 20_000, "fine " * 50_000])
     labels = spark.createDataFrame([(i, int("zork" in words[i % 4])) for i in range(120)] + [(3, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     rows = {r.doc_id: r for r in toxicity.score(docs.withColumn("row", F.lit(1)), model).collect()}
