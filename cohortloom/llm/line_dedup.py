@@ -113,9 +113,9 @@ def repeated_chunks(df: DataFrame, area: StageArea, text: str = "text", key: str
     bodies = area.save(_written(docs, bitmap(repeated)), "bodies")
     # Written tables: a hash with very many copies can be split.
     where = repeated.select("hash", "first.id", "first.place")
-    one = bodies.join(where, ["hash", "id", "place"]).groupBy("hash", "id", "place").agg(F.min("body").alias("kept"))
+    one = bodies.join(where.hint("merge"), ["hash", "id", "place"]).groupBy("hash", "id", "place").agg(F.min("body").alias("kept"))
     kept = area.save(one.select("hash", F.struct("id", "place").alias("first"), "kept"), "kept")
-    same = bodies.join(kept, "hash").where((F.col("body") == F.col("kept")) & (F.struct("id", "place") != F.col("first")))
+    same = bodies.join(kept.hint("merge"), "hash").where((F.col("body") == F.col("kept")) & (F.struct("id", "place") != F.col("first")))
     gone = area.save(same.select("id", F.struct("place", "hash").alias("chunk")), "gone")
     return area.save(gone.groupBy("id").agg(F.collect_set("chunk").alias("chunks")), "removed")
 
@@ -128,7 +128,8 @@ def remove_repeats(
     gone = repeated_chunks(df, area, text, key)
     names = [c for c in df.columns if c not in (counts or ())]
     named = df.select(F.struct(*names).alias("row"), F.col(text).alias("text"), F.col(key).alias("id"))
-    rows = named.join(gone, "id", "left").select("row", "text", "chunks")
+    # The list may be small or not; the plan is the same at every size.
+    rows = named.join(gone.hint("merge"), "id", "left").select("row", "text", "chunks")
     schema = T.StructType(
         [T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.StringType()),
          T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]

@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = docs.where("doc_id IS NOT NULL")
     found = simhash.near_duplicates(named, SIMHASH_WORDS, SIMHASH_BITS, StageArea(spark))
     first = StageArea(spark).save(found.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("n")), "first")
-    kept = named.join(first.select("doc_id"), "doc_id", "left_semi")
+    kept = named.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not first.where("n > 1").isEmpty():
         nth = fresh("nth", docs)
         place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
