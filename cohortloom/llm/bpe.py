@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_WORDS = 100_000  # words of one recursive query
-CACHE_WORDS = 1_500_000  # contracted words a worker keeps
+CHUNK_WORDS = 50_000  # words of one recursive query
+CACHE_WORDS = 700_000  # contracted words a worker keeps
 LONG_WORD = 400  # bytes
 SLICE_WORDS = 1_000_000  # words of documents that are gathered together
 
