@@ -38,7 +38,7 @@ from cohortloom.llm.bits import BITMAP, bitmap
 from cohortloom.sources.stages import StageArea
 
 GRAM = 64
-TEXT = 1 << 20
+TEXT = 1 << 18
 SPLIT = 250
 BASE = 0x9E3779B97F4A7C55
 MIX = 0xD6E8FEB86659FD93
@@ -163,7 +163,16 @@ def _extended(lo: np.ndarray, hi: np.ndarray, char: np.ndarray, lf: np.ndarray)
 def _suffixes(symbol: np.ndarray, length: int) -> np.ndarray:
     """Places by their suffixes; order beyond ``length`` symbols does not matter."""
     n = len(symbol)
+    base = int(symbol.max()) + 2
     rank, depth = symbol, 1
+    if base**4 < 1 << 62:  # four symbols in one number
+        after = np.concatenate([symbol + 1, np.zeros(3, dtype=np.int64)])
+        rank = ((after[:n] * base + after[1 : n + 1]) * base + after[2 : n + 2]) * base + after[3 : n + 3]
+        depth = 4
+        order = np.argsort(rank)
+        step = np.diff(rank[order], prepend=rank[order[0]]) != 0
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(step)
     while True:
         after = np.zeros(n, dtype=np.int64)
         after[:-depth] = rank[depth:] + 1
@@ -222,10 +231,9 @@ def _bodies(docs: DataFrame, wanted: np.ndarray, length: int) -> DataFrame:
         for batch in batches:
             rows = []
             for k1, k2, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if len(raw) >= length:
+                if len(raw) >= length and _is_set(shared.value, _spot(b"", k1, k2, 0)):
                     for a, d, at, n, body in zip(*_cut(raw, length, GRAM), strict=True):
-                        spot = _spot(d, k1, k2, int(at))
-                        if shared.value[spot >> 3] >> (7 - (spot & 7)) & 1:
+                        if _is_set(shared.value, _spot(d, k1, k2, int(at))):
                             rows.append((int(a), d, int(a), d, 0, int(n), body))
             yield _batch(rows)
 
@@ -244,11 +252,18 @@ def _spot(digest: bytes, k1: int, k2: int, start: int) -> int:
     return xxhash.xxh3_64_intdigest(name) % BITMAP
 
 
+def _is_set(bits: np.ndarray, spot: int) -> bool:
+    return bool(bits[spot >> 3] >> (7 - (spot & 7)) & 1)
+
+
 def _spots(reps: DataFrame) -> DataFrame:
+    """The bits of the segments and of the documents that hold them."""
+
     def run(batches):
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([_spot(*r) for r in rows], pa.int64())], names=["hash"])
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            spots = [_spot(*r) for r in rows] + list({_spot(b"", k1, k2, 0) for _, k1, k2, _ in rows})
+            yield pa.RecordBatch.from_arrays([pa.array(spots, pa.int64())], names=["hash"])
 
     return reps.select("digest", "first.k1", "first.k2", "first.start").mapInArrow(run, "hash long")
 
@@ -381,7 +396,7 @@ def remove_repeats(df: DataFrame, length: int, area: StageArea, text: str = "tex
         row.alias("row"), F.xxhash64(row, raw).alias("k1"), F.xxhash64(raw, F.lit(1), row).alias("k2"), raw.alias("raw")
     )
     found = repeated_starts(named.select("k1", "k2", "raw"), length, area)
-    joined = named.join(found, ["k1", "k2"], "left").select("row", "raw", "ranges")
+    joined = named.join(found.hint("merge"), ["k1", "k2"], "left").select("row", "raw", "ranges")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType(
         [T.StructField("row", named.schema["row"].dataType), T.StructField("kept", T.BinaryType()),
