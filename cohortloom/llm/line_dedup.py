@@ -1,9 +1,14 @@
 """Line dedup: content-defined chunks of lines that repeat anywhere are kept once.
 
-A rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is 0 modulo ``SPREAD``, so
-the same lines give the same chunks wherever they stand. A chunk of two or more lines that occurs
-more than once, in one document or in several, stays where it occurs first (smallest id, then place)
-and is removed elsewhere, after its bytes were compared with the first occurrence.
+A line of ``LETTERS`` letters is a chunk of its own. Among the shorter lines between, a rolling hash
+over the hashes of ``WINDOW`` lines ends a chunk of two or more where it is 0 modulo ``SPREAD``; a
+single short line joins the short lines before it, else the long line after it, so that a bracket or
+an empty line is no chunk. The same lines thus give the same chunks wherever they stand. A chunk that
+occurs more than once, in one document or in several, stays where it occurs first (smallest id, then
+place) and is removed elsewhere, after its bytes were compared with the first occurrence.
+
+Not found: a long line with a single short line before it that differs, and short lines at the ends of
+a repeated run whose chunks reach beyond it.
 
 Spark first groups numbers only: hash, id and place of each chunk, with minima formed before the
 shuffle. A bitmap of the repeated hashes, of ``BITMAP`` bits whatever the corpus, then tells the scan
@@ -19,6 +24,8 @@ other columns are kept, ``n_chars`` is not touched here.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,9 +36,11 @@ from pyspark.sql import types as T
 from cohortloom.llm.bits import BITMAP, bitmap
 from cohortloom.sources.stages import StageArea
 
-WINDOW = 2  # lines of the rolling hash
-SPREAD = 4  # lines of a chunk on average
-LEAST = 2  # lines of a chunk that can be removed
+LETTERS = 30  # letters of a line that is a chunk of its own
+WINDOW = 2  # lines of the rolling hash over shorter lines
+SPREAD = 2  # lines of a chunk of these beyond the second, on average
+LEAST = 1  # lines of a chunk that can be removed
+LONG = re.compile(r"(?:[\W\d_]*+[^\W\d_]){%d}" % LETTERS)
 STEP = 0x9E3779B97F4A7C15
 FULL = (1 << 64) - 1
 
@@ -40,17 +49,35 @@ def chunks(text: str | None) -> list[list[str]]:
     """The lines of a text, chunk by chunk."""
     if not text:
         return []
-    out: list[list[str]] = [[]]
+    out: list[list[str]] = []
+    short: list[str] = []  # lines that no chunk has yet
     window: list[int] = []
+    after_short = False  # the last chunk is of short lines that stand directly before
+
+    def single() -> bool:
+        if len(short) == 1 and after_short:
+            out[-1].append(short.pop())
+        return len(short) == 1
+
     for line in text.split("\n"):
-        out[-1].append(line)
+        if LONG.match(line):
+            if single():
+                out.append([short.pop(), line])
+            else:
+                out += [short, [line]] if short else [[line]]
+            short, window, after_short = [], [], False
+            continue
+        short.append(line)
         window = [*window[-WINDOW + 1 :], xxhash.xxh3_64_intdigest(line)]
         rolling = 0
         for h in window:
             rolling = (rolling * STEP + h) & FULL
-        if len(out[-1]) >= LEAST and ((rolling * STEP) & FULL) >> 40 & (SPREAD - 1) == 0:
-            out.append([])
-    return out if out[-1] else out[:-1]
+        if len(short) >= 2 and ((rolling * STEP) & FULL) >> 40 & (SPREAD - 1) == 0:
+            out.append(short)
+            short, after_short = [], True
+    if single() and out:
+        out[-1].append(short.pop())
+    return [*out, short] if short else out
 
 
 def chunk_hash(lines: list[str]) -> int:
@@ -59,7 +86,7 @@ def chunk_hash(lines: list[str]) -> int:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(id, place, hash) of every chunk of several lines."""
+    """(id, place, hash) of every chunk."""
 
     def run(batches):
         for batch in batches:

@@ -97,6 +97,38 @@ def test_equal_hashes_of_different_lines_are_not_removed(spark, stages, monkeypa
     assert [r.id for r in gone] == [3]
 
 
+def test_long_lines_that_repeat_between_others_are_removed(spark, stages):
+    """Brute force over lines, without chunks()."""
+    rng = random.Random(11)
+
+    def line():
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(8))
+
+    shared = [[line() for _ in range(n)] for n in (1, 2, 3, 5, 8) for _ in range(6)]
+    docs = {i: [*(line() for _ in range(3)), *shared[i % 30], "}", *(line() for _ in range(3))] for i in range(90)}
+    seen, want = set(), {}
+    for i, lines in docs.items():
+        want[i] = "\n".join(x for x in lines if x not in seen)
+        seen |= set(lines) - {"}"}
+    rows = line_dedup.remove_repeats(texts(spark, ["\n".join(x) for x in docs.values()]), stages).collect()
+    assert {r.doc_id: r.text for r in rows} == want
+
+
+def test_share_of_repeated_lines_that_is_found(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    seen, repeated, found, chunk = set(), 0, 0, set()
+    for d in sorted(docs):
+        gone = []
+        for c in line_dedup.chunks(docs[d]):
+            gone += [tuple(c) in chunk] * len(c)
+            chunk.add(tuple(c))
+        for line, out in zip((docs[d] or "").split("\n"), gone, strict=False):
+            if sum(x.isalpha() for x in line) >= 30:
+                repeated, found = repeated + (line in seen), found + (line in seen and out)
+                seen.add(line)
+    assert repeated > 500 and found / repeated > 0.95
+
+
 # --- Substrings ----------------------------------------------------------------------------------
 
 
