@@ -1,14 +1,16 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is scanned for three kinds of secrets. Then its layers are unwrapped until nothing new
-appears: percent escapes and Unicode escapes give a new layer of the whole text, each base64 run that
-holds text, or gzip or zlib data, a layer of its own. Each layer is scanned like the text itself, and
-spans found there are mapped back to the characters they came from (all of the run for compressed
-data). A layer that was seen before at the same place is not entered again, so cycles end.
+appears: percent escapes and Unicode escapes give a new layer of the whole text, each base64 run a
+layer for each of the four places where a group of four characters can begin, and gzip or zlib data at
+any place of it a layer of its own. Runs that only line ends part are read as one; bytes that are not
+UTF-8 become replacement characters. Each layer is scanned like the text itself, and spans found there
+are mapped back to the characters they came from (up to the end of the run for compressed data). A
+layer that was seen before at the same place is not entered again, so cycles end.
 
-One pass over whole texts, no shuffle; memory is bounded by the layers of one text. A compressed
-layer is read up to ``LAYER`` bytes, so that a small text cannot fill a task's memory; what lies
-beyond is not scanned.
+One pass over whole texts, no shuffle. Compressed data is unpacked to its end, all members of it, in
+pieces of ``LAYER`` bytes that overlap by ``OVERLAP``; one piece is held at a time. A secret
+or an encoded run that is longer than the overlap may be seen in parts.
 
 Cases: a null text is an empty text; it has no spans. Repeated rows are scanned alike; other columns,
 whatever their names, are not touched.
@@ -17,8 +19,11 @@ whatever their names, are not touched.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LAYER = 64 << 20
+LAYER = 4 << 20  # bytes of unpacked data that are scanned at once
+OVERLAP = 1 << 20  # of these, bytes of the piece before
+SLICE = 1 << 16  # bytes given to the unpacker at once, and taken
 RUN = 16  # characters of the shortest base64 run that is tried
 
 KINDS = ("assign", "access", "hex")
@@ -35,7 +42,11 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
+BASE64 = re.compile(
+    r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]++(?=[=\r\n"'`<]|\Z))*={0,2}"""
+)
+WRAPPED = re.compile(rb"\n[\x20\t]*[A-Za-z0-9+/_-]++[=\r\n\"'`<]|\n[\x20\t]*[A-Za-z0-9+/_-]++\Z")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
@@ -43,7 +54,8 @@ ONE_ESCAPE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
 WORDS = (b"passw", b"secret", b"token", b"api")
 IN_HEX = bytes(49 if chr(c) in "0123456789abcdef" else 48 for c in range(256))
 IN_BASE64 = bytes(49 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 48 for c in range(256))
-SAFE = str.maketrans("-_", "+/")
+SAFE = bytes.maketrans(b"-_", b"+/")
+BETWEEN = b" \t\r\n"
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -135,45 +147,113 @@ def _escapes(run: str):
     return "".join(chr(u) if u < 0x110000 and not 0xD800 <= u < 0xE000 else "\ufffd" for u in units), starts
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """The content of gzip or zlib data; None if it is neither."""
-    if not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(data, LAYER) or None
-    except zlib.error:
-        return None
-
+def _members(source: Callable[[], Iterable[bytes]], used: list[int]) -> Iterator[bytes]:
+    """The content of gzip or zlib data, all members of it, in pieces; what is broken ends it.
 
-def _readable(data: bytes) -> str | None:
+    ``used`` gets the number of bytes up to the end of the last whole member.
+    """
+    got, read = zlib.decompressobj(47), 0
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and (text.isprintable() or all(c.isprintable() or c.isspace() for c in text)) else None
-
-
-def _runs(layer: Layer):
-    """The layers inside base64 runs."""
+        for piece in source():
+            for at in range(0, len(piece), SLICE):
+                data = piece[at : at + SLICE]
+                read += len(data)
+                while data:
+                    if got.eof:
+                        got = zlib.decompressobj(47)
+                        data = data.lstrip(b"\0")  # padding between members
+                        continue
+                    if out := got.decompress(data, SLICE):
+                        yield out
+                    data = got.unused_data if got.eof else got.unconsumed_tail
+                    if got.eof:
+                        used[0] = read - len(data)
+        if out := got.flush():
+            yield out
+    except zlib.error:
+        return
+
+
+def _pieces(stream: Iterable[bytes]) -> Iterator[bytes]:
+    """Overlapping pieces of bounded size that cover the stream."""
+    held, new = bytearray(), 0
+    for data in stream:
+        held += data
+        new += len(data)
+        if len(held) >= LAYER:
+            yield bytes(held)
+            del held[:-OVERLAP]
+            new = 0
+    if new:
+        yield bytes(held)
+
+
+def _contents(data: bytes, used: list[int]) -> Iterator[bytes]:
+    """Pieces of what was packed once, twice ...; data that unpacks to itself ends."""
+    level = partial(_members, partial(iter, [data]), used)
+    heads = set()
+    while True:
+        head = bytearray()
+        for x in level():
+            head += x
+            if len(head) >= SLICE:
+                break
+        if not head or bytes(head) in heads:
+            return
+        heads.add(bytes(head))
+        yield from _pieces(level())
+        if not PACKED.match(head):
+            return
+        level = partial(_members, level, [0])
+
+
+def _decoded(data: bytes) -> tuple[str, np.ndarray]:
+    """Text with a replacement character for each byte that is not UTF-8, and bytes of each character."""
+    code = np.frombuffer(data.decode(errors="surrogateescape").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    wrong = code >> 11 == 0xD800 >> 11
+    sizes = np.where(wrong, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+    return np.where(wrong, np.uint32(0xFFFD), code).astype("<u4").tobytes().decode("utf-32-le"), sizes
+
+
+def _runs(layer: Layer) -> Iterator[Layer]:
+    """The layers inside base64 runs, which may be glued to what stands before: four alignments are
+    tried, and packed data at every place."""
     for m in BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        data = base64.b64decode(body.translate(SAFE) + "=" * (-len(body) % 4))
-        whole = layer.place(m.start(), m.end())
-        depth = 0
-        while (inner := _unpacked(data)) is not None:
-            data, depth = inner, depth + 1
-        text = _readable(data)
-        if text is None:
+        if m.end() - m.start() < RUN:
             continue
-        if depth:
-            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
+        run = m.group().encode()
+        body = run.translate(SAFE, BETWEEN + b"=")
+        if len(body) < RUN:
             continue
-        sizes = np.array([len(c.encode()) for c in text])
-        ends = np.cumsum(sizes)
-        lo, hi = layer.bounds(m.start(), m.start() + len(body))
-        yield Layer(text, lo[(ends - sizes) * 4 // 3], hi[np.minimum(-(-ends * 4 // 3), len(body)) - 1])
+        at = np.flatnonzero(np.frombuffer(run.translate(IN_BASE64), dtype=np.uint8) == 49)
+        lo, hi = (x[at] for x in layer.bounds(m.start(), m.end()))
+        last = layer.place(m.start(), m.end())[1]
+        for k in range(4):
+            n = len(body) - k
+            n -= n % 4 == 1
+            data = base64.b64decode(body[k : k + n] + b"=" * (-n % 4))
+            done = 0
+            for p in PACKED.finditer(data):
+                if p.start() < done:
+                    continue
+                used, first = [0], int(lo[k + p.start() * 4 // 3])
+                for piece in _contents(data[p.start() :], used):
+                    text = piece.decode(errors="replace")
+                    yield Layer(text, np.broadcast_to(np.int64(first), len(text)), np.broadcast_to(np.int64(last), len(text)))
+                done = p.start() + used[0]
+            text, sizes = _decoded(data)
+            ends = np.cumsum(sizes)
+            yield Layer(text, lo[k + (ends - sizes) * 4 // 3], hi[k + np.minimum(-(-ends * 4 // 3), n) - 1])
+
+
+def _inner(layer: Layer, raw: bytes) -> Iterator[Layer]:
+    """The layers directly inside a layer, one at a time."""
+    if b"%" in raw and (got := _rewritten(layer, PERCENT, _percent)):
+        yield got
+    if b"\\" in raw and (got := _rewritten(layer, ESCAPE, _escapes)):
+        yield got
+    if b"1" * RUN in raw.translate(IN_BASE64) or WRAPPED.search(raw):
+        yield from _runs(layer)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -181,27 +261,28 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     raw = text.encode()
     base = sorted(scan(text, raw))
-    found, seen, todo = set(base), {(text, 0, len(text))}, [(Layer(text), raw)]
+    found, seen, todo = set(base), {(_digest(raw), 0, len(text))}, [_inner(Layer(text), raw)]
     while todo:
-        layer, raw = todo.pop()
-        inner: list[Layer] = []
-        if b"%" in raw and (got := _rewritten(layer, PERCENT, _percent)):
-            inner.append(got)
-        if b"\\" in raw and (got := _rewritten(layer, ESCAPE, _escapes)):
-            inner.append(got)
-        if b"1" * RUN in raw.translate(IN_BASE64):
-            inner += _runs(layer)
-        for one in inner:
-            name = (one.text, *one.place(0, len(one.text))) if one.text else ("", 0, 0)
-            if name in seen:
-                continue
-            seen.add(name)
-            raw = one.text.encode()
-            found.update(_span(one.place(s, e), k) for s, k, e in scan(one.text, raw))
-            todo.append((one, raw))
+        one = next(todo[-1], None)
+        if one is None:
+            todo.pop()
+            continue
+        if not one.text:
+            continue
+        raw = one.text.encode()
+        name = (_digest(raw), *one.place(0, len(one.text)))
+        if name in seen:
+            continue
+        seen.add(name)
+        found.update(_span(one.place(s, e), k) for s, k, e in scan(one.text, raw))
+        todo.append(_inner(one, raw))
     return base, sorted(found)
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def _span(place: tuple[int, int], kind: int) -> Span:
     return place[0], kind, place[1]
 
