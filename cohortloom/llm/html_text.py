@@ -29,11 +29,15 @@ from pyspark.sql import types as T
 
 from cohortloom.llm.html_examples import PAGES
 
-# Elements whose content is not text of the page.
-SILENT = "script|style|noscript|template|svg|math|title|textarea|select|button|option|iframe|object|canvas|audio|video"
+# Elements whose content is not text of the page; these run on to their end tag, whatever stands between.
+RAW = "script|style|title|textarea"
+# These end with their end tag, or with the element that they stand in.
+SILENT = frozenset("noscript template svg math select datalist button option optgroup iframe object canvas audio video".split())
+# Of these, those that a new paragraph does not end.
+SCOPES = frozenset("noscript template svg math select datalist button iframe object".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
-    rf"|<(?P<silent>{SILENT})\b[^>]*(?:/>|>(?:.*?</(?P=silent)\s*>|.*$))"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*(?:/>|>(?:.*?</(?P=raw)\s*>|.*$))"
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<more2>[^>]*)>",
     re.DOTALL | re.IGNORECASE,
@@ -90,9 +94,11 @@ class _Reader:
     anchors: int = 0
     leaf: tuple[str, bool] = ("", False)  # tag and other of the open leaf
     has_main: bool = False
+    quiet: int = -1  # place of the first silent element on the stack
+    base: int = 0  # elements on the stack when the leaf began; above it are silent ones
 
     def add(self, text: str) -> None:
-        if text:
+        if text and self.quiet < 0:
             self.parts.append(text)
             if self.anchors:
                 self.linked += len(text.strip())
@@ -112,6 +118,36 @@ class _Reader:
             self.parts.clear()
         self.linked = 0
 
+    def drop(self, place: int) -> None:
+        """End the elements from a place of the stack on."""
+        del self.stack[place:]
+        if self.quiet >= place:
+            self.quiet = -1
+
+    def find(self, *tags: str) -> int:
+        return next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] in tags), -1)
+
+    def hush(self, tag: str) -> None:
+        """Open a silent element, or any element inside of one."""
+        if tag == "option" and self.stack and self.stack[-1][0] == "option":
+            self.drop(len(self.stack) - 1)
+        if self.quiet < 0:
+            self.quiet = len(self.stack)
+        self.stack.append((tag, False, False, False))
+
+    def speak(self, tag: str) -> None:
+        """Close a silent element."""
+        if 0 <= self.quiet <= (i := self.find(tag)):
+            self.drop(i)
+
+    def ends_quiet(self, tag: str, closing: bool) -> bool:
+        """Whether a block's tag also ends the silent elements that are open."""
+        if self.leaf[0] and (closing and self.leaf[0] == tag and self.find(tag) < self.quiet):
+            return True
+        if closing:
+            return 0 <= self.find(tag) < self.quiet
+        return self.leaf[0] == "p" and all(x[0] in SILENT and x[0] not in SCOPES for x in self.stack[self.base :])
+
     def open(self, tag: str, more: str) -> None:
         names = [w.lower() for m in NAMES.finditer(more) for w in WORDS.findall("".join(x or "" for x in m.groups()))] if "=" in more else []
         inside = any(m for _, m, _, _ in self.stack)
@@ -126,23 +162,21 @@ class _Reader:
             main = other = hard = False
         self.has_main |= main
         if tag in LEAVES:
-            self.leaf = (tag, other)
+            self.leaf, self.base = (tag, other), len(self.stack)
             return
         self.leaf = ("", False)
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in HOLDERS:
                 break
             if self.stack[i][0] in ITEMS.get(tag, ()):
-                del self.stack[i:]
+                self.drop(i)
                 break
         self.stack.append((tag, main, other, hard))
 
     def close(self, tag: str) -> None:
         self.leaf = ("", False)
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if (i := self.find(tag)) >= 0:
+            self.drop(i)
 
 
 def read(page: str | None) -> tuple[list[Block], bool]:
@@ -156,6 +190,23 @@ def read(page: str | None) -> tuple[list[Block], bool]:
         if not tag:
             continue
         closing = bool(m["close"] or m["close2"])
+        if tag in SILENT:
+            if closing:
+                r.speak(tag)
+            elif not (m["more"] or m["more2"] or "").endswith("/"):
+                r.hush(tag)
+            continue
+        if r.quiet >= 0:
+            if tag not in BLOCKS:
+                continue
+            if not r.ends_quiet(tag, closing):
+                if closing:
+                    r.speak(tag)
+                elif tag != "hr":
+                    r.hush(tag)
+                continue
+            if r.leaf[0]:
+                r.drop(max(r.base, r.quiet))
         if tag in BLOCKS:
             r.cut()
             if closing:

@@ -114,6 +114,19 @@ def test_main_text(page, text):
     assert html_text.main_text(page, TREE) == text
 
 
+@pytest.mark.parametrize("element", [
+    "<datalist><option value=a><option value=b></datalist>", "<video-player src=a></video-player>", "<svg-icon name=x></svg-icon>",
+    "<title-bar></title-bar>", "<button-group></button-group>", "<select><option>no<option>no</select>", "<svg><path d=''/></svg>",
+    "<p>three <button>no</p>", "<p>three <video src=a><p>four", "<div><video src=a>no</div>", "<object><p>no</p><div>no</object>", "<svg/>",
+    "<template><article><p>no</p></article></template>", "<p>three <button><p>no</p>no</button> four</p>", "<noscript><p>no</noscript>",
+])
+def test_silent_elements_end(element):
+    """With their end tag or their parent, not with the page."""
+    words = [x for x in ("three", "four") if x in element]
+    page = f"<article><p>one</p>{element}<p>two</p></article><article><p>last</p></article>"
+    assert html_text.main_text(page, TREE).split() == ["one", *words, "two", "last"]
+
+
 def test_tree_fits_its_table():
     x, y = html_text.labelled()
     assert (TREE.decide(x) == (y > 0)).all()
