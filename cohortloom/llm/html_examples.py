@@ -49,6 +49,10 @@ PAGES: tuple[tuple[str, str], ...] = (
            f"<main><h1>{_BREAD[0]}</h1>{_p(_BREAD[1:])}</main>{_SIDE}{_FORM}{_FOOT}"), " ".join(_BREAD)),
     (_page(f"{_MENU}<article><header><h1>{_STARS[0]}</h1></header>{_p(_STARS[1:3])}{_AD}{_p(_STARS[3:])}{_COMMENTS}</article>{_FOOT}"), " ".join(_STARS)),
     (_page(f"{_COOKIE}<article><h1>{_BREAD[0]}</h1>{_p(_BREAD[1:3])}{_SIDE}{_p(_BREAD[3:])}{_FORM}</article>{_COMMENTS}{_FOOT}"), " ".join(_BREAD)),
+    # containers named by their layout or state
+    (_page(f'<div class="layout has-sidebar with-footer">{_MENU}<article class="post comments-open"><h1>Flood</h1>{_p(_RIVER)}</article>{_SIDE}{_FOOT}</div>'),
+     " ".join(("Flood", *_RIVER))),
+    (_page(f'{_MENU}<div class="related-topic"><article><h1>{_BREAD[0]}</h1>{_p(_BREAD[1:])}</article>{_COMMENTS}</div>{_FOOT}'), " ".join(_BREAD)),
     # links inside the main text
     (_page(f'{_MENU}<article><h1>Flood</h1><p><a href="/r">{_RIVER[0]}</a></p>{_p(_RIVER[1:])}<ul><li>{_STARS[2]}</li><li>Boots.</li></ul></article>{_FOOT}'),
      " ".join(("Flood", *_RIVER, _STARS[2], "Boots."))),

@@ -12,7 +12,9 @@ never become text. Character references are decoded, white space inside a block
 the kept blocks are joined by one space in page order.
 
 Cases: a null page is an empty page, whose text is empty; pages that break off or do not close their
-elements are read as far as they go; repeated rows are read alike.
+elements are read as far as they go; repeated rows are read alike. A name such as ``related`` on a
+container marks all inside as something else, but if that leaves a page without any main text, an
+article or main element inside is the main text, unless the container is a nav, footer, aside or holds comments.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 HOLDERS = frozenset("ul ol dl table menu div section article main body".split())
 MAIN = frozenset("article main".split())
 OTHER = frozenset("nav footer aside form menu dialog search".split())
-# Of these even an article inside is not the main text: teasers, comments.
+# Of these even an article inside is not the main text.
 HARD = frozenset("nav footer aside".split())
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -65,9 +67,12 @@ OTHER_NAMES = frozenset(
     "replies respond discussion sidebar widget related recommended menu nav navbar navigation navi breadcrumb breadcrumbs "
     "pagination pager footer foot header masthead topbar toolbar search copyright legal toc tags hidden".split()
 )
-HARD_NAMES = frozenset(
-    "comment comments disqus reply replies respond discussion sidebar widget related recommended footer".split()
-)
+# Of these neither: comments, and teasers on a page that has its main text elsewhere.
+COMMENT_NAMES = frozenset("comment comments disqus reply replies respond discussion".split())
+HARD_NAMES = COMMENT_NAMES | frozenset("sidebar widget related recommended footer".split())
+# A name with one of these first or last tells the state of an element, not what it is.
+STATES_FIRST = frozenset("has no with without".split())
+STATES_LAST = frozenset("open opened closed enabled disabled".split())
 # Parts of an article, if named inside one.
 INNER_NAMES = frozenset("header masthead".split())
 MAIN_NAMES = frozenset("article articlebody main content post story entry".split())
@@ -83,12 +88,25 @@ class Block:
     main: bool
     other: bool
     heading: bool
+    lenient: bool = False  # as ``other``, where a main element opens anew what is no comment
+
+
+def _kinds(more: str) -> list[str]:
+    """The words in the names of an element."""
+    out: list[str] = []
+    for m in NAMES.finditer(more):
+        for name in "".join(x or "" for x in m.groups()).split():
+            words = [w.lower() for w in WORDS.findall(name)]
+            if len(words) > 1 and (words[0] in STATES_FIRST or words[-1] in STATES_LAST):
+                continue
+            out += words
+    return out
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, bool, bool, bool]] = field(default_factory=list)  # tag, main, other, hard
+    stack: list[tuple[str, bool, bool, bool, bool]] = field(default_factory=list)  # tag, main, other, hard, firm
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     anchors: int = 0
@@ -108,13 +126,14 @@ class _Reader:
             raw = "".join(self.parts)
             text = " ".join(html.unescape(raw).split())
             if text:
-                main = other = hard = False
-                for _, m, o, h in self.stack:
-                    main, hard = main or m, hard or h
+                main = other = hard = lenient = firm = False
+                for tag, m, o, h, f in self.stack:
+                    main, hard, firm = main or m, hard or h, firm or f
                     other = hard or o or (other and not m)
-                self.blocks.append(
-                    Block(text, text.count(" ") + 1, min(1.0, self.linked / len(text)), main, other or self.leaf[1], self.leaf[0] in HEADINGS)
-                )
+                    lenient = firm or (not m and tag not in MAIN and (o or lenient))
+                links = min(1.0, self.linked / len(text))
+                named = self.leaf[1]
+                self.blocks.append(Block(text, text.count(" ") + 1, links, main, other or named, self.leaf[0] in HEADINGS, lenient or named))
             self.parts.clear()
         self.linked = 0
 
@@ -133,7 +152,7 @@ class _Reader:
             self.drop(len(self.stack) - 1)
         if self.quiet < 0:
             self.quiet = len(self.stack)
-        self.stack.append((tag, False, False, False))
+        self.stack.append((tag, False, False, False, False))
 
     def speak(self, tag: str) -> None:
         """Close a silent element."""
@@ -149,17 +168,18 @@ class _Reader:
         return self.leaf[0] == "p" and all(x[0] in SILENT and x[0] not in SCOPES for x in self.stack[self.base :])
 
     def open(self, tag: str, more: str) -> None:
-        names = [w.lower() for m in NAMES.finditer(more) for w in WORDS.findall("".join(x or "" for x in m.groups()))] if "=" in more else []
-        inside = any(m for _, m, _, _ in self.stack)
+        names = _kinds(more) if "=" in more else []
+        inside = any(x[1] for x in self.stack)
         if inside:
             names = [w for w in names if w not in INNER_NAMES]
         other = tag in OTHER or any(w in OTHER_NAMES for w in names)
         hard = tag in HARD or any(w in HARD_NAMES for w in names)
+        firm = tag in HARD or any(w in COMMENT_NAMES for w in names)
         main = tag in MAIN or (not other and tag in ("div", "section") and any(w in MAIN_NAMES for w in names))
         if tag == "header" and not inside:
             other = True  # of the page; that of an article holds its heading
         if tag in ("body", "html"):
-            main = other = hard = False
+            main = other = hard = firm = False
         self.has_main |= main
         if tag in LEAVES:
             self.leaf, self.base = (tag, other), len(self.stack)
@@ -171,7 +191,7 @@ class _Reader:
             if self.stack[i][0] in ITEMS.get(tag, ()):
                 self.drop(i)
                 break
-        self.stack.append((tag, main, other, hard))
+        self.stack.append((tag, main, other, hard, firm))
 
     def close(self, tag: str) -> None:
         self.leaf = ("", False)
@@ -221,6 +241,9 @@ def read(page: str | None) -> tuple[list[Block], bool]:
             r.add(" ")
     r.add(page[at:])
     r.cut()
+    if not any(b.main and not b.other for b in r.blocks):
+        for b in r.blocks:
+            b.other = b.other and (not b.main or b.lenient)
     return r.blocks, r.has_main
 
 

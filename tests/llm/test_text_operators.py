@@ -127,6 +127,17 @@ def test_silent_elements_end(element):
     assert html_text.main_text(page, TREE).split() == ["one", *words, "two", "last"]
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-footer", "comments-open", "related-topic", "widget", "page-banner"])
+def test_names_of_containers(name):
+    body = "<p>Some words of a text.</p><p>And some more of them.</p>"
+    want = "Some words of a text. And some more of them."
+    side = "<aside><p>Side.</p></aside><section id='comments'><article><p>Nice piece, I liked it a lot.</p></article></section>"
+    assert html_text.main_text(f"<div class='{name}'><article>{body}</article>{side}</div>", TREE) == want
+    assert html_text.main_text(f"<article class='post {name}'>{body}</article>{side}", TREE) == want
+    teaser = "<div class='related'><article><p>A teaser of another text on this page.</p></article></div>"
+    assert html_text.main_text(f"<main>{body}</main>{teaser}", TREE) == want
+
+
 def test_tree_fits_its_table():
     x, y = html_text.labelled()
     assert (TREE.decide(x) == (y > 0)).all()
