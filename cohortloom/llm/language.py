@@ -8,8 +8,9 @@ statistics are frozen once learned, so the code length of a text under a languag
 over its positions, and the prediction is the language with the shortest code.
 
 Learned from a sample of bounded size, about ``SAMPLE`` rows of each language drawn by a hash of the
-id; Spark counts their n-grams and only counts reach the driver. The model is a table over the contexts seen in
-any language, broadcast once; scoring reads every whole text in one pass without a shuffle.
+id; Spark counts their n-grams and only counts reach the driver. The model has the
+code lengths of the grams seen in any language and the escapes of their contexts, all 256 bytes apart,
+and is broadcast once; scoring reads every whole text in one pass without a shuffle.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without a training row every
 text is ``und``; ties go to the first language by name; repeated rows are predicted alike.
@@ -28,41 +29,68 @@ from pyspark.sql import types as T
 
 ORDER = 3  # bytes of the longest context
 SAMPLE = 600  # training rows of each language
-SYMBOLS = 63  # distinct bytes with counts of their own; the rest share one symbol
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Frozen statistics.
+    """Frozen statistics, by the length of the context.
 
-    ``symbol`` maps a byte to its symbol; ``node`` maps ``ORDER`` symbols to the longest context known
-    to any language; ``cost`` has the code length in bits of each symbol after each context in each
-    language; ``short`` maps the shorter contexts of the first ``ORDER`` positions to their nodes.
+    ``grams`` are the sorted codes of a context and a byte that any language has, ``costs`` their code
+    lengths in bits in each language; ``contexts`` are the sorted codes of the contexts, and ``escapes``
+    the bits to add to the code length after the next shorter one for a byte that no language has there.
     """
 
     languages: tuple[str, ...]
-    symbol: np.ndarray
-    node: np.ndarray
-    cost: np.ndarray
-    short: tuple[np.ndarray, ...]
+    grams: tuple[np.ndarray, ...]
+    costs: tuple[np.ndarray, ...]
+    contexts: tuple[np.ndarray, ...]
+    escapes: tuple[np.ndarray, ...]
+
+    @property
+    def symbol(self) -> np.ndarray:
+        """Columns of ``cost``: one for each byte that was seen, and one for all that never were."""
+        out = np.full(256, len(self.grams[0]))
+        out[self.grams[0]] = np.arange(len(self.grams[0]))
+        return out
+
+    @property
+    def cost(self) -> np.ndarray:
+        """Code lengths after all known contexts in each language; large."""
+        columns = np.append(self.grams[0], 255)  # which no UTF-8 has
+        every = [self.after((c[:, None] * 256 + columns).ravel(), i) for i, c in enumerate(self.contexts)]
+        return np.concatenate(every).reshape(-1, len(columns), len(self.languages))
+
+    def after(self, code: np.ndarray, order: int) -> np.ndarray:
+        """Code lengths of bytes after contexts of ``order`` bytes, in each language."""
+        out = np.zeros((len(code), len(self.languages)), dtype=np.float32)
+        left = np.arange(len(code))
+        for i in range(order, -1, -1):
+            here = code[left] & ((1 << 8 * (i + 1)) - 1)
+            at, known = _found(self.grams[i], here)
+            out[left[known]] += self.costs[i][at[known]]
+            left, here = left[~known], here[~known]
+            if not len(left):
+                return out
+            at, known = _found(self.contexts[i], here >> 8)
+            out[left[known]] += self.escapes[i][at[known]]
+        out[left] += 8  # below the empty context all bytes are alike
+        return out
 
     def bits(self, text: str) -> np.ndarray:
         """Exact code length of a text under each language."""
-        s = self.symbol[np.frombuffer(text.encode(), dtype=np.uint8)]
+        # Bytes that were never seen are alike, as contexts too: as the padding, if that is none of the bytes.
+        seen = self.grams[0].tolist()
+        table = bytearray([0 if 0 not in seen else 255]) * 256
+        for b in seen:
+            table[b] = b
+        raw = text.encode().translate(table)
         total = np.zeros(len(self.languages))
-        size = self.cost.shape[1]
-        for i in range(min(ORDER, len(s))):
-            total += self.cost[self.short[i][_code(s[:i], size)], s[i]]
-        if len(s) > ORDER:
-            context = s[: len(s) - ORDER].astype(np.int64)
-            for i in range(1, ORDER):
-                context = context * size + s[i : len(s) - ORDER + i]
-            after = s[ORDER:]
-            for at in range(0, len(after), 1 << 20):
-                here = slice(at, at + (1 << 20))
-                total += self.cost[self.node[context[here]], after[here]].sum(axis=0, dtype=np.float64)
+        for i in range(min(ORDER, len(raw))):
+            total += self.after(np.array([int.from_bytes(raw[: i + 1], "big")]), i)[0]
+        for at in range(0, len(raw) - ORDER, 1 << 20):
+            total += self.after(_windows(raw[at : at + (1 << 20) + ORDER]), ORDER).sum(axis=0, dtype=np.float64)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -73,11 +101,10 @@ class Model:
         return self.languages[best], float(1 / np.exp2(-np.minimum(bits - bits[best], 1000)).sum())
 
 
-def _code(symbols, size: int) -> int:
-    value = 0
-    for s in symbols:
-        value = value * size + int(s)
-    return value
+def _found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in sorted keys, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -122,50 +149,40 @@ def _windows(raw: bytes) -> np.ndarray:
 
 def _frozen(langs: list[str], gram: np.ndarray, n: np.ndarray) -> Model:
     names = tuple(sorted(set(langs)))
+    if not names:
+        return Model((), (), (), (), ())
     which = np.array([names.index(x) for x in langs], dtype=np.int64)
-    last = gram & 255
-    common = np.argsort(-np.bincount(last, n, minlength=256), kind="stable")[:SYMBOLS]
-    common = common[np.bincount(last, n, minlength=256)[common] > 0]
-    size = len(common) + 1
-    symbol = np.full(256, size - 1, dtype=np.int64)
-    symbol[common] = np.arange(len(common))
-    spread = np.log2(max(1, 256 - len(common)))  # bits that tell the bytes of the shared symbol apart
-    parts = [symbol[(gram >> (8 * (ORDER - i))) & 255] for i in range(ORDER + 1)]
-    uniform = np.full((1, size), 1.0)
-    uniform[0, -1] = max(1, 256 - len(common))
-    bottom = np.repeat(uniform / uniform.sum(), len(names), axis=0)[None]  # below the empty context
-    rows, nodes = [], []
+    grams, costs, contexts, escapes = [], [], [], []
     for order in range(ORDER + 1):
-        code = np.zeros(len(gram), dtype=np.int64)
-        for i in range(ORDER - order, ORDER):
-            code = code * size + parts[i]
-        context, place = np.unique(code, return_inverse=True)
-        count = np.zeros((len(context), len(names), size))
-        np.add.at(count, (place, which, parts[ORDER]), n)
-        if order == 0:
-            below = np.repeat(bottom, len(context), axis=0)
-        else:
-            below = np.concatenate(rows)[nodes[-1][context % size ** (order - 1)]]
-        rows.append(_escaped(count, below))
-        # an unknown context is its longest known ending
-        table = np.tile(nodes[-1], size) if order else np.zeros(1, dtype=np.int64)
-        table[context] = np.arange(len(context)) + sum(len(r) for r in rows[:-1])
-        nodes.append(table)
-    cost = -np.log2(np.concatenate(rows)) if rows and names else np.zeros((1, 0, size))
-    cost = np.ascontiguousarray(cost.transpose(0, 2, 1))
-    cost[:, -1] += spread
-    return Model(names, symbol.astype(np.uint8), nodes[ORDER].astype(np.int32), cost.astype(np.float32), tuple(nodes[:ORDER]))
-
-
-def _escaped(count: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Probabilities after a context, from counts there and the probabilities after the shorter one."""
-    n, q = count.sum(axis=2, keepdims=True), (count > 0).sum(axis=2, keepdims=True)
-    unseen = np.where(count > 0, 0, below)
-    left = unseen.sum(axis=2, keepdims=True)
-    full = left <= 0  # nothing is left to escape to
-    escape = np.where(full, 0, q / np.maximum(n + q, 1))
-    seen = count / np.maximum(np.where(full, n, n + q), 1)
-    return np.where(n > 0, seen + escape * unseen / np.where(full, 1, left), below)
+        keys, place = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        count = np.zeros((len(keys), len(names)))
+        np.add.at(count, (place, which), n)
+        context, of = np.unique(keys >> 8, return_inverse=True)
+        # The end of a known gram is a known gram of the shorter context.
+        below = chance[np.searchsorted(grams[-1], keys & ((1 << 8 * order) - 1))] if order else np.full(count.shape, 1 / 256)
+        chance, escape = _escaped(count, below, of, len(context))
+        grams.append(keys)
+        costs.append((-np.log2(chance)).astype(np.float32))
+        contexts.append(context)
+        escapes.append((-np.log2(escape)).astype(np.float32))
+    return Model(names, tuple(grams), tuple(costs), tuple(contexts), tuple(escapes))
+
+
+def _escaped(count: np.ndarray, below: np.ndarray, of: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of grams, from their counts and those after the shorter context, and the factor
+    of each context for bytes not seen there; ``of`` has the context of each gram."""
+
+    def summed(values):
+        out = np.zeros((contexts, count.shape[1]))
+        np.add.at(out, of, values)
+        return out
+
+    n, q = summed(count), summed(count > 0)
+    left = np.maximum(1 - summed(np.where(count > 0, below, 0)), 1e-12)
+    full = q >= 256  # nothing is left to escape to
+    escape = np.where((n > 0) & ~full, q / np.maximum(n + q, 1) / left, 1)
+    seen = count / np.maximum(np.where(full, n, n + q), 1)[of]
+    return np.where(count > 0, seen, escape[of] * below), escape
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -259,6 +259,17 @@ def test_language_is_learned(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
 
 
+def test_rare_bytes_tell_languages_apart(spark):
+    """Many scripts in the sample, and two languages whose only difference is a rare letter."""
+    common = "".join(chr(x) for first in (0x61, 0x3B1, 0x430, 0x5D0, 0x4E00, 0x3041, 0xAC00) for x in range(first, first + 24))
+    rows = [(i, common * 20, x) for i, x in enumerate(["many", "near", "next"])]
+    rows += [(3, "\u0259 \u0259", "near"), (4, "\u0283 \u0283", "next"), (5, "\u0259 \u0283", "many")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    used = sorted({b for _, text, _ in rows for b in text.encode()})
+    assert len(used) > 63 and len(set(model.symbol[used].tolist())) == len(used)
+    assert [model.predict(x)[0] for x in ("\u0259", "\u0283", "\u0259 \u0259", "\u0283 \u0283")] == ["near", "next"] * 2
+
+
 def test_held_out_split(spark):
     rows = spark.range(1000).select(F.col("id").alias("doc_id")).withColumn("h", held_out()).collect()
     import zlib as z
