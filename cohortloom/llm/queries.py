@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, decontaminate, html_text, language, line_dedup, maxscore, secrets, simhash, substring_dedup, toxicity
+from cohortloom.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    language,
+    line_dedup,
+    maxscore,
+    periodic,
+    secrets,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from cohortloom.sources.stages import StageArea
 
 
@@ -119,6 +131,43 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(rows, F.col("vec_id") % 50 == 0, 5)
 
 
+def repeated_words(text: str, key: str):
+    """The text with a tenth of the rows, by a hash of the key, made periodic from some word on."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    spec = F.crc32(F.col(key).cast("string"))
+    rest = F.floor(spec / 10)
+
+    def planted(words):
+        n = F.size(words).cast("long")
+        a = rest % n
+        p = 1 + F.floor((n - a) / (3 + rest % 8))
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        at = F.transform(places, lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(at, lambda i: F.get(words, i)), " ")).otherwise("")
+
+    made = F.element_at(F.transform(F.array(words), planted), 1)
+    return F.when((spec % 10 == 0) & F.col(text).isNotNull(), made).otherwise(F.col(text))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", repeated_words("text", "doc_id").alias("text"))
+    found = periodic.with_runs(docs, keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("early"), (-r["period"]).alias("small"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", longest)
+    start, length, period = -F.col("best.early"), F.col("best.length"), -F.col("best.small")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
@@ -130,5 +179,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_maxscore": op10_maxscore,
+    "op11_periodic": op11_periodic,
 }
 ORACLE: dict[str, str] = {}
