@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import (
+    align,
     bpe,
     decontaminate,
     html_text,
@@ -168,6 +169,14 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = align.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    linked = align.align(_table(spark, sf_dir, "documents"), files, keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = align.scored(linked.withColumn("groups_sha256", digest).drop("groups"), StageArea(spark))
+    return found.select("doc_id", *align.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
@@ -180,5 +189,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_maxscore": op10_maxscore,
     "op11_periodic": op11_periodic,
+    "op12_alignment": op12_alignment,
 }
 ORACLE: dict[str, str] = {}
