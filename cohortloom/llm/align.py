@@ -14,6 +14,10 @@ come from an inverted index of bitmaps:
   and never meets in one task. The postings then carry the counts back: by block, each bitmap adds its
   pair's count to its documents, in one array of 65536 numbers.
 
+Texts are cut at single blanks between other characters, where no token of either tokenizer can reach
+across (a piece model with such a token is not cut). A task encodes and aligns each piece once and
+remembers it; texts are put together from their pieces, whose ends are token ends of both.
+
 What is shuffled is the postings, twice, at some two bytes each, and a few numbers of each document.
 Memory is bounded by a block's array, by ``POSTINGS`` links at a time, and by the longest text.
 
@@ -26,8 +30,10 @@ column that has the name of a result makes the result's name start with an under
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -40,8 +46,12 @@ from pyspark.sql import types as T
 from cohortloom.llm.periodic import slices
 from cohortloom.sources.stages import StageArea
 
-SLICE = 1_000_000  # bytes of text that are encoded together
+SLICE = 2_000_000  # bytes of text that are encoded together
 POSTINGS = 2_000_000  # links of distinct pairs whose bitmaps a task builds together
+REMEMBERED = 16_000_000  # characters of pieces and groups that a task remembers at most
+# A blank that begins a token of the first tokenizer whatever stands before it: one before a character
+# that is white space in no version of Unicode. For the second, something else than a blank stands before.
+CUT = re.compile("(?<=[^\\s\u2581]) (?=[!-~\u00c0-\u167f\u1681-\u180d\u1810-\u1fff\u2c00-\u2fff\u3001-\ud7ff\U00010000-\U0010ffff])")
 BLOCK = 1 << 16
 FULL = BLOCK // 8  # bytes of a bitmap that is no list
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -95,46 +105,111 @@ class _Loaded:
         self.bytes_a = [plain(self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
         self.bytes_b = [piece(i) for i in range(self.b.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        # No piece reaches from another character over a blank.
+        self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         most = max(len(self.bytes_a), len(self.bytes_b))
         # Ids as text with what may follow them: another id of the group, the other side, a group, nothing.
         self.shown = [np.array([f"{i}{end}" for i in range(most)], dtype=object) for end in (",", "|", ";", "")]
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers; none where they do not give back the text."""
-        some = [i for i, t in enumerate(texts) if t]
-        a, b = [[] for _ in texts], [[] for _ in texts]
-        spaced = [" " + texts[i] for i in some]
-        found_a = self.a.encode_batch(spaced, add_special_tokens=False)
-        found_b = self.b.encode([texts[i] for i in some], num_threads=1)
-        for i, text, x, y in zip(some, spaced, found_a, found_b, strict=True):
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of both tokenizers, and which texts both give back; the others have no ids."""
+        spaced = [" " + t for t in texts]
+        found_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
+        found_b = self.b.encode(texts, num_threads=1)
+        a, b = [], []
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for text, x, y in zip(spaced, found_a, found_b, strict=True):
             raw, ids = text.encode(), x.ids
-            if raw == b"".join([self.bytes_a[t] for t in ids]) == b"".join([self.bytes_b[t] for t in y]):
-                a[i], b[i] = ids, y
-        return a, b
+            same = raw == b"".join(map(bytes_a, ids)) == b"".join(map(bytes_b, y))
+            a.append(ids if same else [])
+            b.append(y if same else [])
+        return a, b, np.array([len(x) > 0 for x in a], dtype=bool)
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(r) for r in rows], dtype=np.int64)
-    return np.array([t for r in rows for t in r], dtype=np.int64), sizes
+    return np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(sizes.sum())), sizes
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def aligned(tools: _Loaded, texts: list[str | None]) -> tuple[np.ndarray, list[str], pa.Array]:
-    """Counts, groups and linked pairs of each text."""
-    a, sizes_a = _flat((encoded := tools.encode(texts))[0])
-    b, sizes_b = _flat(encoded[1])
+class _Aligner:
+    """Aligns texts piece by piece and remembers the pieces."""
+
+    def __init__(self, tools: _Loaded):
+        self.tools = tools
+        self.base = len(tools.bytes_b)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.size = 0
+        self.counts = np.zeros((len(COUNTS), 0), dtype=np.int64)
+        self.same = np.zeros(0, dtype=bool)
+        self.offsets = np.zeros(1, dtype=np.int64)
+        self.keys, self.links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        if not pieces:
+            return
+        counts, same, groups, sizes, keys, links = aligned(self.tools, pieces)
+        self.known.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces)), strict=True))
+        self.groups += groups
+        self.size += sum(map(len, pieces)) + sum(map(len, groups))
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.same = np.concatenate([self.same, same])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.keys, self.links = np.concatenate([self.keys, keys]), np.concatenate([self.links, links])
+
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], pa.Array]:
+        """Counts, groups and linked pairs of each text."""
+        if self.size > REMEMBERED:
+            self.forget()
+        cut = CUT.split if self.tools.cuts else lambda t: [t]
+        parts = [cut(t) if t else [] for t in texts]
+        self.learn(list({p for part in parts for p in part if p not in self.known}))
+        numbers = [list(map(self.known.__getitem__, part)) for part in parts]
+        if not self.same.all():
+            numbers = [n if self.same[n].all() else [] for n in numbers]
+        at, sizes = _flat(numbers)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        counts = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
+        np.add.at(counts, row, self.counts[:, at].T)
+        groups = [";".join([self.groups[i] for i in n]) for n in numbers]
+
+        first, width = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
+        place = np.arange(width.sum()) + np.repeat(first - (np.cumsum(width) - width), width)
+        whole = np.repeat(row, width) * (len(self.tools.bytes_a) * self.base) + self.keys[place]
+        order = np.argsort(whole, kind="stable")
+        whole, links = whole[order], self.links[place][order]
+        starts = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, dtype=np.int64)
+        row, key = np.divmod(whole[starts], len(self.tools.bytes_a) * self.base)
+        flat = [*np.divmod(key, self.base), np.add.reduceat(links, starts) if len(starts) else links]
+        entries = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in flat], names=PAIR.names)
+        offsets = _starts(np.bincount(row, minlength=len(texts)))
+        return counts.T, groups, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+
+def aligned(tools: _Loaded, texts: list[str]) -> tuple:
+    """Of each text: counts, whether both tokenizers give it back, groups, and linked pairs.
+
+    The pairs of all texts are (number of pairs of each text, a * size of b's vocabulary + b, links).
+    """
+    a, b, same = tools.encode(texts)
+    (a, sizes_a), (b, sizes_b) = _flat(a), _flat(b)
     rows = len(texts)
     # All texts stand one after the other; both tokenizers end a token where a text ends.
     ends_a, ends_b = np.cumsum(tools.sizes_a[a]), np.cumsum(tools.sizes_b[b])
-    row_a, row_b = np.repeat(np.arange(rows), sizes_a), np.repeat(np.arange(rows), sizes_b)
-    at_a, at_b = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)
-    last_a = ends_b[at_a] == ends_a if len(a) else np.zeros(0, dtype=bool)
-    last_b = ends_a[at_b] == ends_b if len(b) else np.zeros(0, dtype=bool)
+    row_a = np.repeat(np.arange(rows), sizes_a)
     edges = np.union1d(ends_a, ends_b)
     in_a, in_b = np.searchsorted(ends_a, edges), np.searchsorted(ends_b, edges)
+    last_a, last_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+    if len(edges):
+        shared = (ends_a[in_a] == edges) & (ends_b[in_b] == edges)
+        last_a[in_a[shared]] = last_b[in_b[shared]] = True
     row = row_a[in_a]
     counts = np.stack(
         [sizes_a, sizes_b, np.bincount(row_a[last_a], minlength=rows), np.bincount(row, minlength=rows)]
@@ -142,10 +217,7 @@ def aligned(tools: _Loaded, texts: list[str | None]) -> tuple[np.ndarray, list[s
 
     base_a, base_b = len(tools.bytes_a), len(tools.bytes_b)
     keys, links = np.unique((row * base_a + a[in_a]) * base_b + b[in_b], return_counts=True)
-    flat = [keys // base_b % base_a, keys % base_b, links]
-    offsets = _starts(np.bincount(keys // (base_a * base_b), minlength=rows))
-    entries = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in flat], names=PAIR.names)
-    pairs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+    row, keys = np.divmod(keys, base_a * base_b)
 
     # Every token's place when the groups are written out: a's ids, then b's ids of each group.
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
@@ -162,7 +234,7 @@ def aligned(tools: _Loaded, texts: list[str | None]) -> tuple[np.ndarray, list[s
         text[place_b[end_b == ending]] = tools.shown[ending][b[end_b == ending]]
     cuts = _starts(sizes_a + sizes_b)
     written = ["".join(text[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    return counts, written, pairs
+    return counts, same, written, np.bincount(row, minlength=rows), keys, links
 
 
 def align(df: DataFrame, files: Tokenizers, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
@@ -174,10 +246,10 @@ def align(df: DataFrame, files: Tokenizers, text: str = "text", keep: Sequence[s
     schema = T.StructType([held.schema["kept"], *(T.StructField(n, t) for n, t in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = files.loaded()
+        aligner = _Aligner(files.loaded())
         for batch in batches:
             for some in slices(batch, 1, SLICE):
-                counts, groups, pairs = aligned(tools, some.column(1).to_pylist())
+                counts, groups, pairs = aligner.rows(some.column(1).to_pylist())
                 arrays = [some.column(0), *(pa.array(c) for c in counts), pa.array(groups, pa.string()), pairs]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
