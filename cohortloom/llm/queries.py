@@ -11,6 +11,7 @@ from cohortloom.llm import (
     bpe,
     decontaminate,
     html_text,
+    jaccard,
     language,
     line_dedup,
     maxscore,
@@ -177,6 +178,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *align.COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = jaccard.near_duplicates(docs, 5, 80, StageArea(spark))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_text": op2_html_text,
@@ -190,5 +197,6 @@ QUERIES = {
     "op10_maxscore": op10_maxscore,
     "op11_periodic": op11_periodic,
     "op12_alignment": op12_alignment,
+    "op13_jaccard": op13_jaccard,
 }
 ORACLE: dict[str, str] = {}
