@@ -1,8 +1,9 @@
 """Yeo-Johnson scaling, fitted by aggregation.
 
 The likelihood of a power depends on a measure's distinct values and how often each occurs. Counts
-repeat heavily, so each measure is first reduced to (value, users); all powers are then tried on
-that small frame at once. Its size is bounded by the number of distinct counts, not by the users.
+repeat heavily, so each measure is first reduced to (value, users), a frame bounded by the number of
+distinct counts, not by the users. Whole powers are tried on it at once; Newton's steps then climb to
+the peak.
 """
 
 from __future__ import annotations
@@ -127,18 +128,95 @@ def best_powers(likelihoods: DataFrame) -> DataFrame:
     )
 
 
-FIRST_POWERS = 8  # the search begins with the whole powers from -8 to 8
+FIRST_POWERS = 32  # the search begins with the whole powers from -32 to 32
+NEWTON_ROUNDS = 30  # far more than are ever needed; halving alone gets there in these
+
+
+def _slopes(values: DataFrame, powers: dict[str, float]) -> DataFrame:
+    """First and second derivative of the log-likelihood by the power, at one power per measure.
+
+    They follow from the derivatives of the transformed values, as sums of one aggregation.
+    """
+    at = by_value("measure", {m: F.lit(p) for m, p in powers.items()})
+    rows = values.withColumn("power", at).selectExpr(
+        "measure",
+        "double(users) AS n",
+        "value",
+        "log1p(abs(value)) AS u",
+        "CASE WHEN value >= 0 THEN power ELSE 2 - power END AS m",
+    )
+    # Around the power 0 the quotients lose their digits; their series do not.
+    z = "(m * u)"
+    rows = rows.selectExpr("*", f"abs({z}) < 1e-3 AS near", f"exp({z}) AS e")
+    rows = rows.selectExpr(
+        "*", f"CASE WHEN near THEN u * (1 + {z} / 2 + {z} * {z} / 6 + {z} * {z} * {z} / 24) ELSE (e - 1) / m END AS g0"
+    )
+    rows = rows.selectExpr(
+        "*", f"CASE WHEN near THEN u * u * (1 / 2D + {z} / 3 + {z} * {z} / 8) ELSE (u * e - g0) / m END AS g1"
+    )
+    rows = rows.selectExpr(
+        "measure", "n", "value", "u", "CASE WHEN value >= 0 THEN g0 ELSE -g0 END AS y", "g1 AS dy",
+        f"(CASE WHEN value >= 0 THEN 1 ELSE -1 END) * (CASE WHEN near THEN u * u * u * (1 / 3D + {z} / 4 + {z} * {z} / 10) ELSE (u * u * e - 2 * g1) / m END) AS ddy",
+    )
+    sums = rows.groupBy("measure").agg(
+        F.expr("sum(n)").alias("total"),
+        F.expr("sum(n * signum(value) * u)").alias("jacobian"),
+        *(
+            F.expr(f"sum(n * {x}) / sum(n)").alias(name)
+            for name, x in (("a", "y"), ("b", "dy"), ("c", "ddy"), ("aa", "y * y"), ("ab", "y * dy"), ("bb", "dy * dy"), ("ac", "y * ddy"))
+        ),
+    )
+    moved = sums.selectExpr(
+        "*", "aa - a * a AS v", "2 * (ab - a * b) AS dv", "2 * (bb + ac - b * b - a * c) AS ddv"
+    )
+    return moved.selectExpr(
+        "measure",
+        "CASE WHEN v > 0 THEN jacobian - total / 2 * (dv / v) END AS slope",
+        "CASE WHEN v > 0 THEN -total / 2 * (ddv / v - (dv / v) * (dv / v)) END AS curvature",
+    )
+
+
+def _climbed(values: DataFrame, best: dict[str, PowerScale], precision: float) -> dict[str, float]:
+    """The peak of each measure's likelihood, from a whole power beside it, by Newton's steps.
+
+    The sign of the slope tells on which side the peak lies; a step that leaves the interval known to
+    hold it is replaced by halving the interval.
+    """
+    ranges = {m: (s.power - 1, s.power + 1) for m, s in best.items() if s.log_likelihood is not None}
+    at = {m: best[m].power for m in ranges}
+    moving = set(at)
+    for _ in range(NEWTON_ROUNDS):
+        if not moving:
+            break
+        rows = _slopes(values.filter(F.col("measure").isin(*moving)), {m: at[m] for m in moving})
+        for r in rows.collect():  # one row per measure
+            low, high = ranges[r.measure]
+            if r.slope is not None and r.slope > 0:
+                low = at[r.measure]
+            elif r.slope is not None and r.slope < 0:
+                high = at[r.measure]
+            ranges[r.measure] = low, high
+            bent = r.slope is not None and r.curvature is not None and r.curvature < 0
+            new = at[r.measure] - r.slope / r.curvature if bent else (low + high) / 2
+            if not low <= new <= high:
+                new = (low + high) / 2
+            # The next step would be about the square of this one.
+            if abs(new - at[r.measure]) < precision**0.5 / 4:
+                moving.discard(r.measure)
+            at[r.measure] = new
+    return at
 
 
 def fit_power_scales(
-    users: DataFrame, measures: Sequence[str], precision: float = 1e-6
+    users: DataFrame, measures: Sequence[str], precision: float = 1e-4
 ) -> list[PowerScale]:
-    """Fit all measures together.
+    """Fit all measures together; powers are whole multiples of ``precision``.
 
     Whole powers are tried first, over a range that grows on either side while the best one lies on
-    its edge; then a hundredth of the step around the best, until the step is ``precision``. The
-    likelihood has one peak, so each round holds the next one's best. Every round is one small
-    aggregation that returns one row per measure.
+    its edge. The likelihood has one peak, so it lies within one of the best whole power, and a few
+    Newton steps reach it. Of the multiples of ``precision`` around the peak the likeliest is taken,
+    so the result does not depend on the order of sums. Every round is one small aggregation that
+    returns one row per measure.
     """
     values = value_counts(users, measures).persist()
     try:
@@ -147,11 +225,13 @@ def fit_power_scales(
         while grids:
             best |= _best(values.filter(F.col("measure").isin(*grids)), grids)
             grids = {m: g for m, old in grids.items() if (g := _wider(old, best.get(m)))}
-        step = 1.0
-        while step > precision:
-            step /= 100
-            around = {m: PowerGrid(s.power, -100, 100, round(1 / step)) for m, s in best.items()}
-            best = _best(values, around) if around else best
+        ticks = round(1 / precision)
+        near = {m: round(p * ticks) / ticks for m, p in _climbed(values, best, precision).items()}
+        while near:
+            around = {m: PowerGrid(p, -1, 1, ticks) for m, p in near.items()}
+            found = _best(values.filter(F.col("measure").isin(*near)), around)
+            best |= found
+            near = {m: s.power for m, s in found.items() if abs(s.power - near[m]) > precision / 2}
         return [best[m] for m in measures if m in best]
     finally:
         values.unpersist()
