@@ -332,7 +332,7 @@ def elbow(spark, sf_dir):
     stages = StageArea(spark)
     active = cohort.stage_active(SampleTables(spark, sf_dir), CONFIG, stages)
     points, _ = cohort.points_of(active, stages)
-    return clusters.elbow(points, CONFIG)
+    return rounded(clusters.elbow(points, CONFIG), 4)
 
 
 @register
@@ -374,7 +374,7 @@ def pca_map(spark, sf_dir):
     return rounded(mapped.select("user_id", "user_slug", *PROFILE_MEASURES, "x", "y"))
 
 
-# What does not depend on the start of k-means.
+# Invariants, whatever the start of k-means.
 
 
 @register
@@ -401,15 +401,13 @@ def feature_totals(spark, sf_dir):
 def cluster_checks(spark, sf_dir):
     """Invariants of a fit: sizes, nearest centres, numbering, leaders, and counts on the map."""
     fitted = _clustered(spark, sf_dir)
-    centers = {fitted.model.numbers[p]: [float(v) for v in c] for p, c in enumerate(fitted.model.model.clusterCenters())}
-    x = vector_to_array("features")
-    featured = clusters.with_features(fitted.users, fitted.scales)
-
-    def distance(center):
-        return sum(((x[i] - v) * (x[i] - v) for i, v in enumerate(center)), F.lit(0.0))
-
-    least = F.least(*(distance(c) for c in centers.values()))
-    own = F.coalesce(*(F.when(F.col("cluster") == n, distance(c)) for n, c in centers.items()))
+    model = fitted.model
+    centers = {model.numbers[p]: c for p, c in enumerate(model.grid_centers)}
+    placed = fitted.users.withColumn("grid", clusters.grid_features(fitted.scales))
+    lists = [[centers[n] for n in sorted(centers)]]
+    far = clusters.distances("grid", "s.centers")
+    placed = placed.select("cluster", F.explode(clusters.center_lists(lists, [0])).alias("s"), "grid").select("cluster", far.alias("d"))
+    farther = placed.filter(F.element_at("d", F.col("cluster")) > F.array_min("d"))
     sizes = [r.users for r in clusters.cluster_sizes(fitted.users).orderBy("cluster").collect()]  # one row per cluster
     mapped = clusters.project(fitted.users, fitted.scales)
     sums = mapped.agg(*(F.sum(m).alias(m) for m in PROFILE_MEASURES)).first()
@@ -421,7 +419,7 @@ def cluster_checks(spark, sf_dir):
     rows = [
         ("users", sum(sizes)),
         ("clusters", len(sizes)),
-        ("users_nearer_to_another_centre", featured.filter(own > least + 1e-9).count()),
+        ("users_nearer_to_another_centre", farther.count()),
         ("clusters_larger_than_the_one_before", sum(b > a for a, b in zip(sizes, sizes[1:]))),
         ("clusters_led_by_another_measure", wrong),
         *((f"map_{m}", sums[m]) for m in PROFILE_MEASURES),

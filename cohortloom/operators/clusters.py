@@ -3,16 +3,20 @@
 Users with the same counts are the same point, and most users share a few points. The points are
 therefore counted first, and k-means runs on distinct points with their number of users as weight,
 which minimizes the same cost.
+
+All of k-means is whole-number arithmetic: features are rounded to ``GRID`` parts of a deviation, and
+so are centres. Sums and costs are then exact, and the fit is the same however the users are stored,
+in whatever order tasks end, and in any other engine. Starts are not random but chosen from the points
+by weight and distance. Every round is one job over the points for all starts (or all numbers of
+clusters) together; it returns a row per start and cluster.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +34,11 @@ from cohortloom.operators.sampling import sample_per_group, top_per_group
 from cohortloom.sources.stages import StageArea
 from cohortloom.sources.tables import small_table
 
+# Parts of a deviation. Distances fit 64 bits up to 14,000 deviations; beyond, Spark's arithmetic fails
+# rather than wrapping around.
+GRID = 1 << 16
+Center = tuple[int, ...]
+
 
 def with_features(df: DataFrame, scales: Sequence[PowerScale]) -> DataFrame:
     """Add the feature vector of the standardized cluster measures."""
@@ -41,62 +50,145 @@ def with_features(df: DataFrame, scales: Sequence[PowerScale]) -> DataFrame:
     return assembled.drop(*inputs)
 
 
+def grid_features(scales: Sequence[PowerScale]) -> Column:
+    """The standardized cluster measures as whole parts of a deviation."""
+    by_name = {s.measure: s for s in scales}
+    return F.array(
+        *(F.floor(by_name[m].standardized() * GRID + 0.5).cast("long") for m in CLUSTER_MEASURES)
+    )
+
+
 def cluster_points(
     users: DataFrame, scales: Sequence[PowerScale], stages: StageArea, rows_per_task: int = 20_000
 ) -> DataFrame:
-    """Distinct points with their number of users.
-
-    The points are written once; all fits read them. They are placed by a hash of their counts and
-    sorted, so sums and random starts do not depend on how the users were stored.
-    """
-    counted = users.groupBy(*CLUSTER_MEASURES).agg(F.count(F.lit(1)).alias("users"))
-    points = stages.save(counted, "cluster_points")
-    partitions = points.count() // rows_per_task + 1
-    placed = points.repartition(partitions, *CLUSTER_MEASURES).sortWithinPartitions(
-        *CLUSTER_MEASURES
+    """Distinct points (x, grid) with their number of users, written once; all rounds read them."""
+    by_name = {s.measure: s for s in scales}
+    counted = stages.save(
+        users.groupBy(*CLUSTER_MEASURES).agg(F.count(F.lit(1)).alias("users")), "cluster_counts"
     )
-    return with_features(placed, scales).select("features", "users")
+    partitions = counted.count() // rows_per_task + 1
+    placed = counted.repartition(partitions, *CLUSTER_MEASURES)
+    x = F.array(*(by_name[m].standardized().cast("double") for m in CLUSTER_MEASURES))
+    return stages.save(placed.select(x.alias("x"), grid_features(scales).alias("grid"), "users"), "cluster_points")
+
+
+def center_lists(lists: Sequence[Sequence[Center]], ids: Sequence[int]) -> Column:
+    """(id, centers) of every start as one literal, which stays out of the generated code."""
+    rows = json.dumps([{"id": i, "centers": [list(c) for c in cs]} for i, cs in zip(ids, lists)])
+    return F.from_json(F.lit(rows), "array<struct<id:int,centers:array<array<bigint>>>>")
 
 
-def _fit(points: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
-    kmeans = KMeans(k=k, seed=seed, maxIter=max_iter, weightCol="users", featuresCol="features")
-    return kmeans.fit(points)
+def _distance(grid: str) -> str:
+    return " + ".join(f"({grid}[{i}] - c[{i}]) * ({grid}[{i}] - c[{i}])" for i in range(len(CLUSTER_MEASURES)))
 
 
-def _fit_all(points: DataFrame, runs: list[tuple[int, int]], max_iter: int) -> list[KMeansModel]:
-    """Fit every (k, seed); independent fits share the cluster."""
+def distances(grid: str, centers: str) -> Column:
+    """Squared distances to all centres."""
+    return F.expr(f"transform({centers}, c -> {_distance(grid)})")
 
-    def task(run):
-        return _fit(points, run[0], run[1], max_iter)
 
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        return list(pool.map(inheritable_thread_target(points.sparkSession)(task), runs))
+def _nearest(grid: str, centers: str) -> Column:
+    """(d, n): squared distance and place of the nearest centre; of equally near ones the first."""
+    return F.expr(f"array_min(transform({centers}, (c, i) -> struct({_distance(grid)} AS d, i AS n)))")
 
 
-def _seeds(cfg: Config) -> list[int]:
-    return [cfg.seed + i for i in range(cfg.restarts)]
+def _near(points: DataFrame, lists: Sequence[Sequence[Center]], ids: Sequence[int]) -> DataFrame:
+    """Every point once for each start, with its nearest centre."""
+    spread = points.select("grid", "users", F.explode(center_lists(lists, ids)).alias("s"))
+    return spread.select(F.col("s.id").alias("id"), "grid", "users", _nearest("grid", "s.centers").alias("near"))
+
+
+def first_centers(points: DataFrame, starts: int, k: int) -> list[list[Center]]:
+    """Starting centres: the heaviest points, one for each start, then the farthest by weight.
+
+    Each next centre is the point with the largest product of users and squared distance from the
+    centres so far; of equal ones the one with the smallest features. The first centres of a start
+    with fewer clusters are the same. A start ends early when every point is a centre.
+    """
+    heavy = points.orderBy(F.desc("users"), "grid").limit(starts).select("grid").collect()
+    lists = [[tuple(r.grid)] for r in heavy]
+    growing = list(range(len(lists)))
+    for _ in range(k - 1):
+        if not growing:
+            break
+        near = _near(points, [lists[i] for i in growing], growing)
+        far = F.col("users").cast("double") * F.col("near.d").cast("double")
+        scored = near.select("id", F.struct((-far).alias("score"), "grid").alias("far"))
+        chosen = scored.groupBy("id").agg(F.min("far").alias("far"))
+        growing = []
+        for r in chosen.collect():  # one row per start
+            if r.far.score < 0:
+                lists[r.id].append(tuple(r.far.grid))
+                growing.append(r.id)
+    return lists
+
+
+@dataclass
+class Fit:
+    """A state of one start: its centres, what they cost, and how many users each has."""
+
+    centers: list[Center]
+    cost: int | None = None
+    sizes: dict[int, int] = field(default_factory=dict)
+
+
+def refine(points: DataFrame, starts: dict[int, list[Center]], max_iter: int) -> dict[int, Fit]:
+    """Move the centres of every start to the mean of their users as long as the cost falls.
+
+    Means are rounded to whole parts; a centre without users stays where it is.
+    """
+    best: dict[int, Fit] = {}
+    now = dict(starts)
+    total = [F.expr(f"sum(users * grid[{i}])").alias(f"s{i}") for i in range(len(CLUSTER_MEASURES))]
+    for _ in range(max_iter):
+        if not now:
+            break
+        near = _near(points, list(now.values()), list(now))
+        sums = near.groupBy("id", F.col("near.n").alias("n")).agg(
+            F.sum("users").alias("users"),
+            F.sum(F.col("near.d").cast("decimal(20,0)") * F.col("users")).alias("cost"),
+            *total,
+        )
+        rows: dict[int, dict] = {}
+        for r in sums.collect():  # one row per start and cluster
+            rows.setdefault(r.id, {})[r.n] = r
+        moved = {}
+        for i, found in rows.items():
+            cost = sum(int(r.cost) for r in found.values())
+            if i in best and cost >= best[i].cost:
+                continue
+            best[i] = Fit(now[i], cost, {n: r.users for n, r in found.items()})
+            moved[i] = [
+                tuple((2 * r[f"s{d}"] + r.users) // (2 * r.users) for d in range(len(center))) if (r := found.get(n)) else center
+                for n, center in enumerate(now[i])
+            ]
+        now = moved
+    return best
 
 
 @dataclass(frozen=True)
 class ClusterModel:
     """The best of several k-means fits, with a numbering that does not depend on the start."""
 
-    model: KMeansModel
-    numbers: dict[int, int]
+    grid_centers: list[Center]
+    numbers: dict[int, int]  # place in the list of centres -> number from 1
     cost: float
 
+    def centers(self) -> list[list[float]]:
+        """Centres in deviations."""
+        return [[x / GRID for x in c] for c in self.grid_centers]
+
     def assign(self, users: DataFrame, scales: Sequence[PowerScale], cfg: Config) -> DataFrame:
         """Add ``cluster`` (from 1) and its short and full name."""
-        predicted = self.model.transform(with_features(users, scales)).drop("features")
         numbers = F.create_map(*[F.lit(v) for pair in self.numbers.items() for v in pair])
-        numbered = predicted.withColumn("cluster", numbers[F.col("prediction")])
-        return add_cluster_names(numbered.drop("prediction"), cfg)
+        held = users.withColumns({"_grid": grid_features(scales), "_centers": center_lists([self.grid_centers], [0])[0]["centers"]})
+        numbered = held.withColumn("cluster", numbers[_nearest("_grid", "_centers")["n"]])
+        return add_cluster_names(numbered.drop("_grid", "_centers"), cfg)
 
     def leader(self, measure: str) -> int:
         """Number of the cluster whose centre is largest in a measure; of equals the first."""
         place = CLUSTER_MEASURES.index(measure)
-        centers = self.model.clusterCenters()
-        return min(self.numbers.items(), key=lambda pair: (-centers[pair[0]][place], pair[1]))[1]
+        return min(self.numbers.items(), key=lambda pair: (-self.grid_centers[pair[0]][place], pair[1]))[1]
 
 
 def cluster_names_frame(spark: SparkSession, cfg: Config) -> DataFrame:
@@ -123,45 +215,45 @@ def add_cluster_names(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def fit_clusters(points: DataFrame, cfg: Config) -> ClusterModel:
-    """Best of ``cfg.restarts`` fits by cost."""
-    points = points.persist()
-    try:
-        models = _fit_all(points, [(cfg.clusters, s) for s in _seeds(cfg)], cfg.max_iter)
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        sizes = best.transform(points).groupBy("prediction").agg(F.sum("users").alias("users"))
-        size_of = {r.prediction: r.users for r in sizes.collect()}  # one row per cluster
-    finally:
-        points.unpersist()
-    centers = [tuple(float(x) for x in c) for c in best.clusterCenters()]
-    ranked = sorted(range(len(centers)), key=lambda i: (-size_of.get(i, 0), centers[i]))
-    numbers = {prediction: place + 1 for place, prediction in enumerate(ranked)}
-    return ClusterModel(best, numbers, best.summary.trainingCost)
+    """Best of ``cfg.restarts`` fits by cost; of equally good ones the first.
+
+    Clusters are numbered by size, equal ones by their centres.
+    """
+    lists = first_centers(points, cfg.restarts, cfg.clusters)
+    fits = refine(points, dict(enumerate(lists)), cfg.max_iter)
+    if not fits:
+        return ClusterModel([], {}, 0.0)
+    best = min(fits.items(), key=lambda pair: (pair[1].cost, pair[0]))[1]
+    ranked = sorted(range(len(best.centers)), key=lambda i: (-best.sizes.get(i, 0), best.centers[i]))
+    numbers = {place: number + 1 for number, place in enumerate(ranked)}
+    return ClusterModel(best.centers, numbers, best.cost / GRID**2)
 
 
 def _total_squares(points: DataFrame) -> float:
     """Cost of a single cluster: squared distances from the mean, over all features."""
-    x = vector_to_array("features")
     features = range(len(CLUSTER_MEASURES))
-    weight = F.col("users")
+    weight, x = F.col("users"), F.col("x")
     sums = [F.sum(weight).alias("w")]
     sums += [F.sum(weight * x[i]).alias(f"s{i}") for i in features]
     sums += [F.sum(weight * x[i] * x[i]).alias(f"q{i}") for i in features]
     row = points.agg(*sums).first()
-    return float(sum(row[f"q{i}"] - row[f"s{i}"] ** 2 / row.w for i in features))
+    return float(sum(row[f"q{i}"] - row[f"s{i}"] ** 2 / row.w for i in features)) if row.w else 0.0
 
 
 def elbow(points: DataFrame, cfg: Config) -> DataFrame:
-    """Lowest cost for every number of clusters."""
-    points = points.persist()
-    try:
-        ks = [k for k in cfg.elbow_ks if k > 1]
-        runs = [(k, s) for k in ks for s in _seeds(cfg)]
-        costs = {1: _total_squares(points)} if 1 in cfg.elbow_ks else {}
-        for (k, _), model in zip(runs, _fit_all(points, runs, cfg.max_iter)):
-            cost = model.summary.trainingCost
-            costs[k] = min(cost, costs.get(k, cost))
-    finally:
-        points.unpersist()
+    """Least cost found for at most k clusters, for every k.
+
+    The fits of all k begin with the first centres of one start and go on together, a job a round.
+    """
+    ks = sorted(k for k in cfg.elbow_ks if k > 1)
+    costs = {1: _total_squares(points)} if 1 in cfg.elbow_ks else {}
+    lists = first_centers(points, 1, max(ks)) if ks else []
+    if lists:
+        fits = refine(points, {k: lists[0][:k] for k in ks}, cfg.max_iter)
+        least = None
+        for k in ks:
+            least = fits[k].cost if least is None else min(least, fits[k].cost)
+            costs[k] = least / GRID**2
     return small_table(points.sparkSession, sorted(costs.items()), "k int, inertia double")
 
 

@@ -9,8 +9,6 @@ from catalogue.queries import QUERIES
 from check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# Three minutes of small fits; covered by the unit tests with fewer restarts.
-SLOW = {"elbow"}
 
 
 @pytest.fixture(scope="module")
@@ -18,24 +16,15 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, SF, name) == ""
 
 
 def test_oracles_belong_to_queries():
     assert set(oracle_sql()) <= set(queries())
-    # Only fitted models have no SQL.
-    assert {n for n in QUERIES if n not in oracle_sql()} == {
-        "elbow",
-        "kmeans_sizes",
-        "cluster_tree",
-        "cluster_profile",
-        "cluster_histogram",
-        "cluster_user_profiles",
-        "cluster_sample_links",
-        "pca_map",
-    }
+    # Only the map's components have no SQL.
+    assert {n for n in QUERIES if n not in oracle_sql()} == {"pca_map"}
 
 
 def test_entry(spark):

@@ -18,6 +18,7 @@ from cohortloom.config import (
 )
 from cohortloom.operators import stats
 from cohortloom.operators.clusters import (
+    GRID,
     cluster_points,
     cluster_profile,
     cluster_sizes,
@@ -210,7 +211,7 @@ def test_clusters(random_users, stages):
     for measure, _ in TOP_PROFILES:
         at = CLUSTER_MEASURES.index(measure)
         number_at = {n: p for p, n in model.numbers.items()}
-        centers = model.model.clusterCenters()
+        centers = model.centers()
         assert centers[number_at[model.leader(measure)]][at] == max(c[at] for c in centers)
     shown = user_profiles(users, model, cfg).collect()
     assert {r.title for r in shown} == {t for _, t in TOP_PROFILES} | {SAMPLE_TITLE}
@@ -218,15 +219,71 @@ def test_clusters(random_users, stages):
     assert bins.agg(F.max("activities")).first()[0] == 10
 
     # The cost is that of the users themselves: squared distances to their own centres.
-    centers = model.model.clusterCenters()
+    centers = np.array(model.centers())
     columns = [f"{m}_yeojohnson" for m in CLUSTER_MEASURES]
     data = add_power_features(users, scales).select("cluster", *columns).toPandas()
     number_of = {n: p for p, n in model.numbers.items()}
-    cost = sum(
-        ((row[columns].to_numpy(float) - centers[number_of[row["cluster"]]]) ** 2).sum()
-        for _, row in data.iterrows()
-    )
+    x = np.floor(data[columns].to_numpy(float) * GRID + 0.5) / GRID
+    cost = ((x - centers[[number_of[c] for c in data["cluster"]]]) ** 2).sum()
     assert model.cost == pytest.approx(cost)
+    # No user is nearer to another centre, and no step of the plain algorithm makes it cheaper.
+    apart = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+    assert (apart.min(axis=1) >= apart[np.arange(len(x)), [number_of[c] for c in data["cluster"]]] - 1e-9).all()
+    own = np.array([number_of[c] for c in data["cluster"]])
+    means = np.array([x[own == i].mean(axis=0) for i in range(len(centers))])
+    assert ((x[:, None, :] - means[None]) ** 2).sum(axis=2).min(axis=1).sum() > cost - 0.01
+
+
+def plain_fit(points, starts, k):
+    """The same rules, point by point."""
+    heavy = sorted(points, key=lambda p: (-points[p], p))[:starts]
+    fits = []
+    for first in heavy:
+        centers = [first]
+        while len(centers) < k:
+            d = {p: min(sum((a - b) ** 2 for a, b in zip(p, c)) for c in centers) for p in points}
+            far = min(points, key=lambda p: (-float(points[p]) * float(d[p]), p))
+            if not d[far]:
+                break
+            centers.append(far)
+        best = None
+        while True:
+            near = {p: min((sum((a - b) ** 2 for a, b in zip(p, c)), i) for i, c in enumerate(centers)) for p in points}
+            cost = sum(points[p] * near[p][0] for p in points)
+            if best is not None and cost >= best[0]:
+                break
+            best = cost, centers
+            held = {i: [p for p in points if near[p][1] == i] for i in range(len(centers))}
+            centers = [
+                tuple((2 * sum(points[p] * p[j] for p in held[i]) + w) // (2 * w) for j in range(len(c))) if (w := sum(points[p] for p in held[i])) else c
+                for i, c in enumerate(centers)
+            ]
+        fits.append(best)
+    return min(fits, key=lambda f: f[0])
+
+
+@pytest.mark.parametrize("seed, size", [(1, 40), (2, 9), (3, 3), (4, 1)])
+def test_fit_is_exact(spark, seed, size):
+    """Equal to the rules point by point; ties, hot points and fewer points than clusters included."""
+    rng = random.Random(seed)
+    dims = len(CLUSTER_MEASURES)
+    points = {tuple(rng.randrange(-3, 4) * GRID for _ in range(dims)): rng.choice([1, 1, 2, 10**9]) for _ in range(size)}
+    rows = [([x / GRID for x in p], list(p), n) for p, n in points.items()]
+    df = spark.createDataFrame(rows, "x array<double>, grid array<long>, users long").repartition(5)
+    model = fit_clusters(df, config(clusters=5, restarts=4, max_iter=100))
+    cost, centers = plain_fit(points, 4, 5)
+    assert model.grid_centers == centers
+    assert model.cost == cost / GRID**2
+    curve = elbow(df, config(elbow_ks=(1, 2, 3, 4, 5))).orderBy("k").collect()
+    costs = [r.inertia for r in curve[1:]]
+    assert costs == sorted(costs, reverse=True)
+    assert costs[-1] == min(plain_fit(points, 1, k)[0] for k in (2, 3, 4, 5)) / GRID**2
+
+
+def test_no_points(spark):
+    df = spark.createDataFrame([], "x array<double>, grid array<long>, users long")
+    model = fit_clusters(df, config(**SMALL))
+    assert (model.grid_centers, model.numbers, model.cost) == ([], {}, 0.0)
 
 
 def test_elbow(random_users, stages):
