@@ -29,6 +29,7 @@ column that has the name of a result makes the result's name start with an under
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -48,7 +49,8 @@ from cohortloom.sources.stages import StageArea
 
 SLICE = 2_000_000  # bytes of text that are encoded together
 POSTINGS = 2_000_000  # links of distinct pairs whose bitmaps a task builds together
-REMEMBERED = 16_000_000  # characters of pieces and groups that a task remembers at most
+REMEMBERED = 24_000_000  # bytes of pieces and their groups that a task remembers at most
+LATIN = re.compile(r"[\t\n\r -~\u00a1-\u024f]*")  # classes that never changed
 # A blank that begins a token of the first tokenizer whatever stands before it: one before a character
 # that is white space in no version of Unicode. For the second, something else than a blank stands before.
 CUT = re.compile("(?<=[^\\s\u2581]) (?=[!-~\u00c0-\u167f\u1681-\u180d\u1810-\u1fff\u2c00-\u2fff\u3001-\ud7ff\U00010000-\U0010ffff])")
@@ -60,17 +62,19 @@ PAIR = T.StructType([T.StructField(n, T.IntegerType()) for n in ("a", "b", "link
 
 @dataclass(frozen=True)
 class Tokenizers:
-    """The two vocabulary files, read by the driver and sent to the tasks."""
+    """The two vocabulary files, read by the driver and sent to the tasks.
+
+    ``pattern`` is the expression by which the first tokenizer splits. With it, and if the ids follow the
+    merges, Latin pieces are encoded by ranks, which gives the same ids sooner.
+    """
 
     a: bytes  # byte-level BPE, as JSON
     b: bytes  # a piece model with byte fallback
+    pattern: str | None = None
 
     @staticmethod
-    def read(a: str, b: str) -> Tokenizers:
-        return Tokenizers(Path(a).read_bytes(), Path(b).read_bytes())
-
-    def loaded(self) -> _Loaded:
-        return _Loaded(self)
+    def read(a: str, b: str, pattern: str | None = None) -> Tokenizers:
+        return Tokenizers(Path(a).read_bytes(), Path(b).read_bytes(), pattern)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -102,28 +106,50 @@ class _Loaded:
             text = self.b.id_to_piece(i)
             return bytes([int(text[1:-1], 16)]) if self.b.is_byte(i) else text.replace("▁", " ").encode()
 
-        self.bytes_a = [plain(self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
-        self.bytes_b = [piece(i) for i in range(self.b.get_piece_size())]
-        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        bytes_a = [plain(self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
+        bytes_b = [piece(i) for i in range(self.b.get_piece_size())]
+        self.ranked = self._by_ranks(files, bytes_a)
         # No piece reaches from another character over a blank.
-        self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(bytes_b)))
+        self.bytes_a, self.bytes_b = (pa.array(t, pa.large_binary()) for t in (bytes_a, bytes_b))
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (bytes_a, bytes_b))
         # Ids as text with what may follow them: another id of the group, the other side, a group, nothing.
-        self.shown = [np.array([f"{i}{end}" for i in range(most)], dtype=object) for end in (",", "|", ";", "")]
+        self.most = max(len(bytes_a), len(bytes_b))
+        self.shown = pa.array([f"{i}{end}" for end in (",", "|", ";", "") for i in range(self.most)], pa.large_string())
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both tokenizers, and which texts both give back; the others have no ids."""
+    @staticmethod
+    def _by_ranks(files: Tokenizers, bytes_a: list[bytes]):
+        model = json.loads(files.a)["model"]
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if files.pattern is None or any(model["vocab"][m] != 256 + i for i, m in enumerate(merges)):
+            return None
+        import tiktoken
+
+        ranks = {x: i for i, x in enumerate(bytes_a[: 256 + len(merges)])}
+        return tiktoken.Encoding("ranks", pat_str=files.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers and their number in each text."""
         spaced = [" " + t for t in texts]
-        found_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        found_b = self.b.encode(texts, num_threads=1)
-        a, b = [], []
-        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for text, x, y in zip(spaced, found_a, found_b, strict=True):
-            raw, ids = text.encode(), x.ids
-            same = raw == b"".join(map(bytes_a, ids)) == b"".join(map(bytes_b, y))
-            a.append(ids if same else [])
-            b.append(y if same else [])
-        return a, b, np.array([len(x) > 0 for x in a], dtype=bool)
+        if self.ranked is None:
+            found = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        else:
+            by_ranks, latin = self.ranked.encode_ordinary, LATIN.fullmatch
+            found = [by_ranks(t) if latin(t) else None for t in spaced]
+            others = [i for i, x in enumerate(found) if x is None]
+            encoded = self.a.encode_batch_fast([spaced[i] for i in others], add_special_tokens=False)
+            for i, e in zip(others, encoded, strict=True):
+                found[i] = e.ids
+        return *_flat(found), *_flat(self.b.encode(texts, num_threads=1))
+
+    def faithful(self, texts: list[str], a, sizes_a, b, sizes_b) -> np.ndarray:
+        """Which texts the tokens of both give back."""
+        raw = pa.array([" " + t for t in texts], pa.large_string()).cast(pa.large_binary())
+        same = np.ones(len(texts), dtype=bool)
+        for table, ids, sizes in ((self.bytes_a, a, sizes_a), (self.bytes_b, b, sizes_b)):
+            joined = _joined(table.take(pa.array(ids)), _starts(sizes))
+            same &= pc.equal(joined, raw).to_numpy(zero_copy_only=False)
+        return same
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +161,13 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _joined(values: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """Neighbouring values from cut to cut put together; a new array without nulls."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[: len(values) + 1] if len(values) else np.zeros(1, dtype=np.int64)
+    return pa.Array.from_buffers(values.type, len(cuts) - 1, [None, pa.py_buffer(ends[cuts]), data])
+
+
 class _Aligner:
     """Aligns texts piece by piece and remembers the pieces."""
 
@@ -144,41 +177,40 @@ class _Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.size = 0
+        self.pieces = self.groups = pa.array([], pa.large_string())
         self.counts = np.zeros((len(COUNTS), 0), dtype=np.int64)
         self.same = np.zeros(0, dtype=bool)
         self.offsets = np.zeros(1, dtype=np.int64)
         self.keys, self.links = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        if not pieces:
-            return
-        counts, same, groups, sizes, keys, links = aligned(self.tools, pieces)
-        self.known.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces)), strict=True))
-        self.groups += groups
-        self.size += sum(map(len, pieces)) + sum(map(len, groups))
+    def learn(self, pieces: pa.Array) -> None:
+        counts, same, groups, sizes, keys, links = aligned(self.tools, pieces.to_pylist())
+        self.pieces, self.groups = pa.concat_arrays([self.pieces, pieces]), pa.concat_arrays([self.groups, groups])
         self.counts = np.concatenate([self.counts, counts], axis=1)
         self.same = np.concatenate([self.same, same])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
         self.keys, self.links = np.concatenate([self.keys, keys]), np.concatenate([self.links, links])
 
-    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], pa.Array]:
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Counts, groups and linked pairs of each text."""
-        if self.size > REMEMBERED:
+        if self.pieces.nbytes + self.groups.nbytes > REMEMBERED:
             self.forget()
         cut = CUT.split if self.tools.cuts else lambda t: [t]
         parts = [cut(t) if t else [] for t in texts]
-        self.learn(list({p for part in parts for p in part if p not in self.known}))
-        numbers = [list(map(self.known.__getitem__, part)) for part in parts]
-        if not self.same.all():
-            numbers = [n if self.same[n].all() else [] for n in numbers]
-        at, sizes = _flat(numbers)
-        row = np.repeat(np.arange(len(texts)), sizes)
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        named = pa.array(chain.from_iterable(parts), pa.large_string(), size=int(sizes.sum())).dictionary_encode()
+        new = named.dictionary.filter(pc.invert(pc.is_in(named.dictionary, value_set=self.pieces)))
+        if len(new):
+            self.learn(new)
+        number = pc.index_in(named.dictionary, value_set=self.pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, row = number[named.indices.to_numpy()], np.repeat(np.arange(len(texts)), sizes)
+        bad = np.zeros(len(texts), dtype=bool)
+        bad[row[~self.same[at]]] = True
+        at, row, sizes = at[~bad[row]], row[~bad[row]], np.where(bad, 0, sizes)
         counts = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
         np.add.at(counts, row, self.counts[:, at].T)
-        groups = [";".join([self.groups[i] for i in n]) for n in numbers]
+        lists = pa.LargeListArray.from_arrays(pa.array(_starts(sizes)), self.groups.take(pa.array(at)))
+        groups = pc.binary_join(lists, pa.scalar(";", pa.large_string()))
 
         first, width = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
         place = np.arange(width.sum()) + np.repeat(first - (np.cumsum(width) - width), width)
@@ -190,7 +222,7 @@ class _Aligner:
         flat = [*np.divmod(key, self.base), np.add.reduceat(links, starts) if len(starts) else links]
         entries = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in flat], names=PAIR.names)
         offsets = _starts(np.bincount(row, minlength=len(texts)))
-        return counts.T, groups, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+        return counts.T, groups.cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
 
 
 def aligned(tools: _Loaded, texts: list[str]) -> tuple:
@@ -198,8 +230,11 @@ def aligned(tools: _Loaded, texts: list[str]) -> tuple:
 
     The pairs of all texts are (number of pairs of each text, a * size of b's vocabulary + b, links).
     """
-    a, b, same = tools.encode(texts)
-    (a, sizes_a), (b, sizes_b) = _flat(a), _flat(b)
+    a, sizes_a, b, sizes_b = tools.encode(texts)
+    same = tools.faithful(texts, a, sizes_a, b, sizes_b)
+    if not same.all():
+        a, b = a[np.repeat(same, sizes_a)], b[np.repeat(same, sizes_b)]
+        sizes_a, sizes_b = sizes_a * same, sizes_b * same
     rows = len(texts)
     # All texts stand one after the other; both tokenizers end a token where a text ends.
     ends_a, ends_b = np.cumsum(tools.sizes_a[a]), np.cumsum(tools.sizes_b[b])
@@ -216,25 +251,24 @@ def aligned(tools: _Loaded, texts: list[str]) -> tuple:
     ).astype(np.int64)
 
     base_a, base_b = len(tools.bytes_a), len(tools.bytes_b)
-    keys, links = np.unique((row * base_a + a[in_a]) * base_b + b[in_b], return_counts=True)
-    row, keys = np.divmod(keys, base_a * base_b)
+    whole = np.sort((row * base_a + a[in_a]) * base_b + b[in_b])
+    starts = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, dtype=np.int64)
+    row, keys = np.divmod(whole[starts], base_a * base_b)
+    links = np.diff(np.append(starts, len(whole)))
 
     # Every token's place when the groups are written out: a's ids, then b's ids of each group.
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     groups = int(last_a.sum())
     before_b = _starts(np.bincount(group_b, minlength=groups))
     before_a = _starts(np.bincount(group_a, minlength=groups))
-    text = np.empty(len(a) + len(b), dtype=object)
-    place_a, place_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + before_a[group_b + 1]
     stop = np.zeros(len(b), dtype=bool)
     stop[np.cumsum(sizes_b)[sizes_b > 0] - 1] = True
-    end_a, end_b = last_a.astype(int), np.where(stop, 3, np.where(last_b, 2, 0))
-    for ending in range(4):
-        text[place_a[end_a == ending]] = tools.shown[ending][a[end_a == ending]]
-        text[place_b[end_b == ending]] = tools.shown[ending][b[end_b == ending]]
-    cuts = _starts(sizes_a + sizes_b)
-    written = ["".join(text[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    return counts, same, written, np.bincount(row, minlength=rows), keys, links
+    ending_a, ending_b = last_a.astype(np.int64), np.where(stop, 3, np.where(last_b, 2, 0))
+    written = np.zeros(len(a) + len(b), dtype=np.int64)
+    written[np.arange(len(a)) + before_b[group_a]] = ending_a * tools.most + a
+    written[np.arange(len(b)) + before_a[group_b + 1]] = ending_b * tools.most + b
+    groups = _joined(tools.shown.take(pa.array(written)), _starts(sizes_a + sizes_b))
+    return counts, same, groups, np.bincount(row, minlength=rows), keys, links
 
 
 def align(df: DataFrame, files: Tokenizers, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
@@ -246,11 +280,11 @@ def align(df: DataFrame, files: Tokenizers, text: str = "text", keep: Sequence[s
     schema = T.StructType([held.schema["kept"], *(T.StructField(n, t) for n, t in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(files.loaded())
+        aligner = _Aligner(_Loaded(files))
         for batch in batches:
             for some in slices(batch, 1, SLICE):
                 counts, groups, pairs = aligner.rows(some.column(1).to_pylist())
-                arrays = [some.column(0), *(pa.array(c) for c in counts), pa.array(groups, pa.string()), pairs]
+                arrays = [some.column(0), *(pa.array(c) for c in counts), groups, pairs]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     found = held.mapInArrow(run, schema)

@@ -171,7 +171,8 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = align.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path
+    files = align.Tokenizers.read(path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
     linked = align.align(_table(spark, sf_dir, "documents"), files, keep=["doc_id"])
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     found = align.scored(linked.withColumn("groups_sha256", digest).drop("groups"), StageArea(spark))
