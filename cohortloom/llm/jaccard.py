@@ -11,9 +11,9 @@ prefix reads, plus the comparisons that they may lead to, which are fewer the mo
    tells how many classes have each of its tokens. Only tokens of two or more classes go back to their
    classes; the others come first in the order and need no posting. A class that shares less than o
    tokens with anyone is done. The number of buckets grows with the input.
-2. *Chains.* A token that many similar classes share would make a pair of any two of them. So first
-   only neighbours in an order of the classes are compared, token by token, and what is linked becomes
-   one component; the order changes from round to round while that finds links and much is left.
+2. *Chains.* A token that many similar classes share would make a pair of any two of them. In such a
+   posting first only near neighbours in a random order are compared, and what is linked becomes one
+   component; this is repeated in other orders as long as a round takes away a tenth of the pairs that are left.
 3. *The rest, exactly.* Then all pairs of classes of different components are matched that share a
    prefix token. A frequent token's classes are dealt to blocks, and pairs of blocks to tasks. No pair
    is left out: classes of one component are reachable from each other already.
@@ -50,9 +50,11 @@ DEALT = 2_000_000  # tokens that a task packs together
 BUCKET = 4_000_000  # tokens of a bucket, about
 LEAST_BITS = 9  # of the number of buckets
 PAYLOAD = 48  # bits of a token beside its bucket
+HOME = 128  # classes, about, whose tokens a comparing task holds, twice
 VERIFY = 50  # cost of a comparison, in postings
 BLOCK = 256  # classes of a posting that are paired in one task
-MANY = 4  # pairs left for each posting, above which another round of chains is worth it
+NEIGHBOURS = 16  # that a class is compared with in a round of chains
+MANY = 32  # pairs left for each entry of a posting, above which its classes are chained
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,7 +251,7 @@ def _live(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 # --- Candidates ----------------------------------------------------------------------------------
 
-PAIR = "u long, v long, asked long"
+PAIR = "u long, v long, asked long, met long"
 
 
 def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -257,30 +259,44 @@ def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Each pair once, with how often it was met."""
     u, v, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(asked)], names=["u", "v", "asked"])
+    u, v = np.minimum(u, v), np.maximum(u, v)
+    order = np.lexsort((v, u))
+    u, v, asked = u[order], v[order], asked[order]
+    starts = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)])
+    met = np.diff(np.append(starts, len(u)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[starts], v[starts], asked[starts], met)], names=["u", "v", "asked", "met"])
 
 
 def _matched(pairs: DataFrame) -> DataFrame:
     """The pairs that were met as often as they must be."""
-    counted = pairs.groupBy("u", "v").agg(F.count("*").alias("met"), F.first("asked").alias("asked"))
+    counted = pairs.groupBy("u", "v").agg(F.sum("met").alias("met"), F.first("asked").alias("asked"))
     return counted.where("met >= asked").select("u", "v")
 
 
-def _chained(postings: DataFrame, order: list, percent: int) -> DataFrame:
-    """Neighbours of different components in each token's posting, cut to ranges of any size."""
-    rows = postings.withColumns({f"o{i}": c for i, c in enumerate(order)})
-    keys = ["token", *(f"o{i}" for i in range(len(order)))]
+def _chained(postings: DataFrame, round_no: int, percent: int) -> DataFrame:
+    """Near neighbours of different components in each token's posting, cut to ranges of any size.
+
+    The order is by bands of size, and at random within a band.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
+    keys = ["token", "band", "draw"]
+    rows = postings.withColumns({"band": band, "draw": F.xxhash64("set", F.lit(round_no))})
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("token", "set", "n", "need", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros((5, 0), dtype=np.int64)
         for batch in batches:
             table = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            x, y = table[:, :-1], table[:, 1:]
-            ok = (x[0] == y[0]) & (x[4] != y[4]) & _close(x[2], y[2], percent)
-            last = table[:, -1:]
-            yield _pairs([(x[1][ok], y[1][ok], np.minimum(x[3], y[3])[ok])])
+            old, out = last.shape[1], []
+            for step in range(1, NEIGHBOURS + 1):
+                start = max(old - step, 0)  # a pair of which one is new
+                x, y = table[:, start : max(table.shape[1] - step, start)], table[:, start + step :]
+                ok = (x[0] == y[0]) & (x[4] != y[4]) & _close(x[2], y[2], percent)
+                out.append((x[1][ok], y[1][ok], np.minimum(x[3], y[3])[ok]))
+            last = table[:, -NEIGHBOURS:]
+            yield _pairs(out)
 
     return rows.mapInArrow(run, PAIR)
 
@@ -288,18 +304,22 @@ def _chained(postings: DataFrame, order: list, percent: int) -> DataFrame:
 def _crossed(postings: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share a token.
 
-    ``sizes``: (token, k) of the postings that have them. The classes of a posting are dealt to blocks.
+    ``sizes``: (token, k, leader) of the postings that have them. The classes of a posting are dealt to
+    blocks. Blocks of postings with one smallest class, which are most often the tokens of one group of
+    near copies, meet in one task, where a pair that they share becomes one row.
     """
     rows = postings.join(sizes.hint("merge"), "token").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = rows.select("token", "set", "n", "need", "comp", "own", other)
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "need", "comp")
-    keys = ["token", "i", "j"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "n", "set")
+    dealt = rows.select("token", "leader", "set", "n", "need", "comp", "own", other)
+    keys = ["leader", "i", "j", "token"]
+    dealt = dealt.select(
+        "leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "token", "own", "set", "n", "need", "comp"
+    )
+    dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions(*keys, "n", "set")
 
     def crossing(group: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        (i, j), (own, sets, n, need, comp) = group[1:3, 0], group[3:]
+        (i, j), (own, sets, n, need, comp) = group[1:3, 0], group[4:]
         for at in range(len(sets) - 1):
             # Sizes ascend; of two blocks only pairs across are met here.
             far = int(np.searchsorted(n, 100 * n[at] // percent, side="right"))
@@ -309,12 +329,12 @@ def _crossed(postings: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
                 yield np.full(len(v), sets[at]), sets[v], np.minimum(need[v], need[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((8, 0), dtype=np.int64)
+        held = np.zeros((9, 0), dtype=np.int64)
         out, size = [], 0
         for batch in _and_end(batches):
             if batch is not None:
                 held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            new = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
+            new = np.flatnonzero((held[:4, 1:] != held[:4, :-1]).any(axis=0)) + 1
             stops = new.tolist() if batch is not None else [*new.tolist(), held.shape[1]]
             start = 0
             for stop in stops:
@@ -337,58 +357,80 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def _verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """The pairs at the similarity or above."""
-    one = live.select(F.col("set").alias("u"), F.col("n").alias("n"), F.col("tokens").alias("x")).hint("merge")
-    two = live.select(F.col("set").alias("v"), F.col("n").alias("m"), F.col("tokens").alias("y")).hint("merge")
-    both = pairs.join(one, "u").join(two, "v").select("u", "v", "n", "m", "x", "y")
+def _verified(pairs: DataFrame, live: DataFrame, percent: int, area: StageArea) -> DataFrame:
+    """The pairs at the similarity or above.
+
+    Pairs with near neighbours in common are compared in one cell, which gets the tokens of each class
+    once: a class is named after the smallest of its partners, the classes of one name are dealt to
+    homes of about ``HOME``, and the pairs of two homes are a cell.
+    """
+    ends = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    named = ends.groupBy("u").agg(F.min(F.least("u", "v")).alias("name"))
+    homes = named.groupBy("name").agg(F.ceil(F.count("*") / HOME).alias("homes"))
+    home = F.xxhash64("name", F.pmod(F.xxhash64("u"), "homes")).alias("home")
+    homed = area.save(named.join(homes.hint("merge"), "name").select("u", home), "homes")
+    both = pairs.join(homed.withColumnRenamed("home", "a").hint("merge"), "u")
+    both = both.join(homed.select(F.col("u").alias("v"), F.col("home").alias("b")).hint("merge"), "v")
+    celled = area.save(both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "u", "v"), "cells")
+    members = celled.select("i", "j", F.explode(F.array("u", "v")).alias("set")).distinct()
+    members = members.join(live.select("set", "n", "tokens").hint("merge"), "set")
+    rows = members.select("i", "j", F.lit(None).cast("long").alias("v"), F.col("set").alias("u"), "n", "tokens").unionAll(
+        celled.select("i", "j", "v", "u", F.lit(0).cast("long"), F.lit(None).cast("array<long>"))
+    )
+    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", F.asc_nulls_first("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = batch.column(4), batch.column(5)
-            common = [
-                len(np.intersect1d(x[i].values.to_numpy(), y[i].values.to_numpy(), assume_unique=True)) for i in range(len(batch))
-            ]
-            common = np.array(common, dtype=np.int64)
-            ok = pa.array(100 * common >= percent * (n + m - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
-
-    return both.mapInArrow(run, "u long, v long")
+            i, j, v, u, n = (batch.column(c).to_pylist() for c in range(5))
+            tokens, found = batch.column(5), []
+            for at in range(len(batch)):
+                if (i[at], j[at]) != cell:
+                    cell, held = (i[at], j[at]), {}
+                if v[at] is None:
+                    held[u[at]] = (n[at], tokens[at].values.to_numpy())
+                    continue
+                (n1, x), (n2, y) = held[u[at]], held[v[at]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (n1 + n2 - common):
+                    found.append((u[at], v[at]))
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def links_of(live: DataFrame, percent: int, area: StageArea) -> DataFrame:
     """(node, root) of linked classes: those reachable over pairs of the similarity."""
     postings = live.select("set", "n", "need", F.explode("prefix").alias("token"))
-    links, roots, round_no = None, None, 0
+    roots, round_no, before = None, 0, None
     while True:
-        comp = F.col("set").alias("comp")
-        if roots is not None:
+        if roots is None:
+            now = postings.select("*", F.col("set").alias("comp"))
+        else:
             told = roots.select(F.col("node").alias("set"), F.col("root").alias("comp"))
             now = postings.join(told.hint("merge"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        else:
-            now = postings.select("*", comp)
         now = area.save(now.select("token", "set", "n", "need", "comp"), "postings")
-        parts = now.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        sizes = parts.groupBy("token").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        sizes = area.save(sizes.where("own < k * k"), "sizes")
-        left = sizes.agg(F.sum("k").alias("rows"), (F.sum(F.expr("k * k - own")) / 2).alias("pairs")).first()
-        last = round_no > 0 and (found == 0 or left.pairs is None or left.pairs <= MANY * left.rows)
+        parts = now.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("set").alias("first"))
+        sizes = parts.groupBy("token").agg(
+            F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("own"), F.min("first").alias("leader")
+        )
+        sizes = sizes.where("own < k * k").select("token", "k", "leader", F.expr("(k * k - own) div 2").alias("pairs"))
+        sizes = area.save(sizes, "sizes")
+        many = sizes.where(F.col("pairs") > MANY * F.col("k"))
+        left = many.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        last = left == 0 or (before is not None and 10 * left > 9 * before)
         if last:
-            pairs = _crossed(now, sizes.select("token", "k"), percent)
-        elif round_no == 0:
-            pairs = _chained(now, [F.col("n"), F.col("set")], percent)
+            met = _crossed(now, sizes.select("token", "k", "leader"), percent)
         else:
-            kept = now.join(sizes.select("token").hint("merge"), "token", "left_semi")
-            pairs = _chained(kept, [F.xxhash64("set", F.lit(round_no))], percent)
-        new = area.save(_verified(area.save(_matched(pairs), "pairs"), live, percent), "links")
-        found = new.count()
-        links = new if links is None else links.unionAll(new)
-        if found or roots is None:
-            roots = area.save(components(links, area), "roots")
+            met = _chained(now.join(many.select("token").hint("merge"), "token", "left_semi"), round_no, percent)
+        new = area.save(_verified(area.save(_matched(met), "pairs"), live, percent, area), "links")
+        if roots is not None:  # the links so far, as stars
+            new = new.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = area.save(components(new, area), "roots")
         if last:
             return roots
-        round_no += 1
+        round_no, before = round_no + 1, left
 
 
 def near_duplicates(
