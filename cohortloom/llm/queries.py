@@ -200,4 +200,31 @@ QUERIES = {
     "op12_alignment": op12_alignment,
     "op13_jaccard": op13_jaccard,
 }
-ORACLE: dict[str, str] = {}
+# The others train, tokenize, hash as no SQL function does, or recurse within a text.
+ORACLE: dict[str, str] = {
+    "op10_maxscore": """
+WITH v AS (
+ SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS ints FROM embeddings
+ WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT query_id, rank, vec_id, score FROM (
+ SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+ FROM (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.ints, c.ints) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0))
+WHERE rank <= 5""",
+    "op13_jaccard": """
+WITH RECURSIVE words AS (
+ SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+grams AS (
+ SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+   ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+linked AS (
+ SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM grams a JOIN grams b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY ALL) JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (
+ SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.v FROM reached r JOIN linked l ON l.u = r.other)
+SELECT r.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+}
