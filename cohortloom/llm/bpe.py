@@ -1,66 +1,81 @@
 """Byte-level BPE: DuckDB recursive queries inside the tasks of a Spark scan.
 
 Spark splits each text by the tokenizer's pattern (a JVM expression) and streams the pieces as Arrow
-batches. A task takes the distinct pieces of a batch, lays their bytes out as rows
-``(word, pos, tok)`` and lets a recursive query join neighbouring rows with the merge table and
-contract the leftmost pair of minimum rank of every word until no word has a pair left. Another
-query puts each word's ids and, joined with the vocabulary, its bytes together again by ordered
-aggregation. Documents are gathered from their words without a Python object per word.
-
-No shuffle, nothing grows with the corpus but the result: the vocabulary and its merge table are
-the only broadcast (their size is that of the rank file), and a worker keeps at most
-``CACHE_WORDS`` contracted words.
+batches. A task cuts the distinct pieces where no token of the vocabulary can lie across, lays the
+bytes of the distinct parts out as rows ``(word, pos, tok)`` and lets a recursive query join neighbouring
+rows with the merge table and contract the pair of minimum rank of every part, until none has a pair
+left. Equal pairs that do not overlap are contracted in one round, from the left, unless the vocabulary
+has a pair of lower rank that their product could form: then only the leftmost is. The ids of documents
+are put together from those of their words; another query joins them with the vocabulary, and an ordered
+aggregation decodes them.
+
+No shuffle, nothing grows with the corpus but the result: the vocabulary and its merge table are the
+only broadcast (their size is that of the rank file). A task has its own database and words, closed and
+freed at its end: ``CACHE_BYTES`` of contracted words, ``QUERY_BYTES`` of parts in a query (a longer part
+is a query of its own) and the rows of ``ROUNDS`` rounds.
+
+The classes of the pattern follow the Unicode tables of the tokenizer library, not those of the JVM:
+code points in which the two differ are named in the expression.
 
 Cases: a null text is an empty text; an empty text has no ids and decodes to no bytes; repeated
-rows are encoded like any other; other columns, whatever their names, are not touched. A word of
-more than ``LONG_WORD`` bytes needs as many rounds as it has merges, which is quadratic in SQL, so
-it is contracted with a heap instead, in the same order and with the same result.
+rows are encoded like any other; other columns, whatever their names, are not touched; a word may be
+as long as its text.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import re
+from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import tiktoken
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_WORDS = 50_000  # words of one recursive query
-CACHE_WORDS = 700_000  # contracted words a worker keeps
-LONG_WORD = 400  # bytes
-SLICE_WORDS = 1_000_000  # words of documents that are gathered together
+QUERY_BYTES = 1 << 20  # of the parts of one recursive query
+ROUNDS = 8  # of one recursive query, which keeps the rows of all of its rounds
+CACHE_BYTES = 32 << 20  # of words and their ids that a task keeps
+SLICE_WORDS = 500_000  # words of documents that are gathered together
 
-CONTRACT = """
+CONTRACT = f"""
 WITH RECURSIVE t(step, word, pos, tok) AS (
     SELECT 0, word, pos, tok FROM base
   UNION ALL (
-    WITH p AS (
-        SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(word) OVER w AS same, lead(pos) OVER w AS away
-        FROM t WINDOW w AS (ORDER BY word, pos)
+    WITH pairs AS (
+        SELECT word, pos, tok, row_number() OVER w AS nth, CASE WHEN lead(word) OVER w = word THEN lead(tok) OVER w END AS nxt
+        FROM t WHERE step < {ROUNDS} WINDOW w AS (ORDER BY word, pos)
+    ),
+    ranked AS (
+        SELECT word, pos, tok, nth, (m.rank::BIGINT << 1) + m.alone::BIGINT AS rank
+        FROM pairs LEFT JOIN merges m ON m.a = tok AND m.b = nxt
     ),
     best AS (
-        SELECT word, min((m.rank::BIGINT << 32) + (pos << 16) + away) AS best
-        FROM p JOIN merges m ON m.a = p.tok AND m.b = p.nxt WHERE same = word GROUP BY word
+        SELECT word, min((rank << 30) + nth) AS best FROM ranked GROUP BY word HAVING best IS NOT NULL
+    ),
+    -- Places are counted from the last row before this one that does not start the best pair: odd ones
+    -- take their neighbour in, even ones are taken in. Of a pair that goes alone only the first counts.
+    placed AS (
+        SELECT r.word, pos, tok, nth, best >> 31 AS made, rank IS NOT DISTINCT FROM best >> 30 AS hit,
+               (best >> 30) & 1 = 1 AS alone, best & {(1 << 30) - 1} AS first,
+               nth - coalesce(max(CASE WHEN rank IS DISTINCT FROM best >> 30 THEN nth END) OVER (
+                   PARTITION BY r.word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                   min(nth) OVER (PARTITION BY r.word ORDER BY pos) - 1) AS place
+        FROM ranked r JOIN best USING (word)
     )
-    SELECT step + 1, t.word, pos, CASE WHEN pos = (best >> 16) & 65535 THEN (best >> 32)::INTEGER ELSE tok END
-    FROM t JOIN best USING (word) WHERE pos <> best & 65535
+    SELECT (SELECT max(step) FROM t) + 1, word, pos,
+           CASE WHEN hit AND CASE WHEN alone THEN nth = first ELSE place % 2 = 1 END THEN made::INTEGER ELSE tok END
+    FROM placed WHERE CASE WHEN alone THEN nth <> first + 1 ELSE place % 2 = 1 END
   )
 ),
 last AS (SELECT word, max(step) AS step FROM t GROUP BY word)
-SELECT word, pos, tok FROM t JOIN last USING (word, step)
-"""
-
-# Ids and bytes of every word, in the order of their positions.
-GATHER = """
-SELECT word, list(tok ORDER BY pos) AS ids, list(vocab.raw ORDER BY pos) AS raw
-FROM tokens JOIN vocab ON vocab.id = tokens.tok
-GROUP BY word ORDER BY word
+SELECT step, word, pos, tok FROM t JOIN last USING (word, step)
 """
 
 DECODE = """
@@ -85,16 +100,32 @@ class Vocabulary:
         return cls(tuple(base64.b64decode(t) for t, _ in pairs), tuple(int(r) for _, r in pairs), pattern)
 
     def merges(self) -> pa.Table:
-        """Every pair of tokens whose bytes together are a token, with that token's id."""
+        """Every pair of tokens whose bytes together are a token, with that token's id.
+
+        ``alone``: a neighbour of the product could make a pair of a lower rank with it, which then comes
+        before the next equal pair. That takes a neighbour whose pair with the product's nearer part is
+        not of a lower rank itself, or it would have come first.
+        """
         ranks = dict(zip(self.tokens, self.ids, strict=True))
         rows = [
-            (ranks[t[:i]], ranks[t[i:]], r)
+            (ranks[t[:i]], ranks[t[i:]], r, t[:i], t[i:])
             for t, r in ranks.items()
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
-        a, b, r = np.array(rows, dtype=np.int32).reshape(-1, 3).T
-        return pa.table({"a": a, "b": b, "rank": r})
+        after, before = {}, {}  # neighbours that make a lower rank with a token
+        for a, b, r, x, y in rows:
+            if r < a:
+                after.setdefault(a, []).append(y)
+            if r < b:
+                before.setdefault(b, []).append(x)
+        alone = {
+            r
+            for _, _, r, x, y in rows
+            if any(ranks.get(y + z, r) >= r for z in after.get(r, ())) or any(ranks.get(z + x, r) >= r for z in before.get(r, ()))
+        }
+        a, b, r = np.array([row[:3] for row in rows], dtype=np.int32).reshape(-1, 3).T
+        return pa.table({"a": a, "b": b, "rank": r, "alone": np.isin(r, np.array(sorted(alone), dtype=np.int32))})
 
     def shipped(self) -> tuple[bytes, bytes]:
         """Vocabulary and merge table as Arrow streams, for a broadcast."""
@@ -109,149 +140,170 @@ def _stream(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _runs(parts: pa.Array, ends: np.ndarray) -> pa.Array:
-    """Runs of neighbouring binary values, end to end."""
-    parts = pa.concat_arrays([parts])  # offsets from 0
-    bounds = np.frombuffer(parts.buffers()[1], dtype=np.int64, count=len(parts) + 1)[ends]
-    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(bounds.tobytes()), parts.buffers()[2]])
+def _ranges(points: set[str]) -> str:
+    """Code points as the inside of a class of a JVM expression."""
+    at = np.array(sorted(map(ord, points)))
+    parts = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    return "".join(f"\\x{{{p[0]:X}}}-\\x{{{p[-1]:X}}}" for p in parts)
+
+
+def jvm_pattern(spark: SparkSession, pattern: str) -> str:
+    """The pattern for the JVM, its classes those of the tokenizer library.
+
+    Both engines are asked which of all code points are in a class. Those that the JVM lacks are added
+    behind one comparison with the first of them, those that it has too many are taken away.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    kinds = sorted(set(re.findall(r"\\p\{\w+\}|\\s", pattern)))
+    one = spark.createDataFrame([(every,)], "every string")
+    rest = one.select(*(F.regexp_replace("every", f"(?U){k}", "") for k in kinds)).first()
+    single = {bytes([b]): b for b in range(256)}
+    for kind, without in zip(kinds, rest, strict=True):
+        jvm = set(every) - set(without)
+        probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        library = set(bytes(probe.encode_ordinary(every)).decode())
+        own = kind
+        if lacks := library - jvm:
+            own = f"[{own}[\\x{{{min(map(ord, lacks)):X}}}-\\x{{10FFFF}}&&[{_ranges(lacks)}]]]"
+        if more := jvm - library:
+            own = f"[{own}&&[^{_ranges(more)}]]"
+        if own != kind:
+            pattern = pattern.replace(kind, own)
+            if kind == r"\s":
+                pattern = pattern.replace(r"\S", f"[^{own}]")
+    return f"(?U){pattern}"
+
+
+def _starts(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], ends[:-1]])
+
+
+def _gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` named by ``at``, end to end, and where each of them ends."""
+    first = _starts(ends)[at] if len(ends) else np.zeros(0, np.int64)
+    length = ends[at] - first if len(ends) else first
+    stops = np.cumsum(length)
+    place = np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - (stops - length), length)
+    return values[place], stops
 
 
 class Contractor:
-    """One worker's database and the words it has contracted."""
+    """One task's database and the words it has contracted."""
 
     def __init__(self, shipped: tuple[bytes, bytes]):
         vocab, merges = (pa.ipc.open_stream(x).read_all() for x in shipped)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         self.db.register("vocab_in", vocab)
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE vocab AS FROM vocab_in; CREATE TABLE merges AS FROM merges_in")
-        self.ids = {t: i for i, t in zip(*vocab.to_pydict().values(), strict=True)}
-        self.tokens = {i: t for t, i in self.ids.items()}
+        self.db.unregister("vocab_in")
+        self.db.unregister("merges_in")
+        tokens = vocab["raw"].to_pylist()
+        self.ids = dict(zip(tokens, vocab["id"].to_pylist(), strict=True))
         self.first = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         if (self.first < 0).any():
             raise ValueError("a byte-level vocabulary has every single byte")
+        # Which two bytes are a token, and which three bytes are in one.
+        self.two = np.zeros(1 << 16, dtype=bool)
+        self.two[[t[0] << 8 | t[1] for t in tokens if len(t) == 2]] = True
+        raw = np.frombuffer(b"".join(tokens), dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum([len(t) for t in tokens])
+        token = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        inside = np.flatnonzero(np.arange(len(raw)) + 2 < ends[token])
+        three = np.zeros(1 << 24, dtype=bool)
+        three[raw[inside] << 16 | raw[inside + 1] << 8 | raw[inside + 2]] = True
+        self.three = np.packbits(three, bitorder="little")
         self._forget()
 
+    def close(self) -> None:
+        self.db.close()
+
     def _forget(self) -> None:
-        self.known = pa.table(
-            {"word": pa.array([], pa.large_binary()), "ids": pa.array([], pa.large_binary()),
-             "packed": pa.array([], pa.large_binary()), "bytes": pa.array([], pa.large_binary()),
-             "n": pa.array([], pa.int64())}
-        )
-
-    def lookup(self, words: pa.Array) -> pa.Table:
-        """Ids (decimal, a space after each, and packed), bytes and number of tokens of distinct words."""
-        if len(self.known) + len(words) > CACHE_WORDS:
+        self.known: dict[bytes, int] = {}
+        self.found, self.ends, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+
+    def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, where each known word's end, and the places of ``words`` among them."""
+        if self.size > CACHE_BYTES:
             self._forget()
-        at = pc.index_in(words, self.known["word"].combine_chunks())
-        new = words.filter(pc.is_null(at))
-        if len(new):
-            self.known = pa.concat_tables([self.known, self.contract(new)]).combine_chunks()
-            at = pc.index_in(words, self.known["word"].combine_chunks())
-        return self.known.take(at)
-
-    def contract(self, words: pa.Array) -> pa.Table:
-        length = pc.binary_length(words).to_numpy(zero_copy_only=False)
-        parts = [self._by_heap(words.filter(pa.array(length > LONG_WORD)))]
-        short = words.filter(pa.array(length <= LONG_WORD))
-        for start in range(0, len(short), CHUNK_WORDS):
-            parts.append(self._by_sql(short.slice(start, CHUNK_WORDS)))
-        return pa.concat_tables(parts)
-
-    def _by_sql(self, words: pa.Array) -> pa.Table:
-        words = pa.concat_arrays([words])  # offsets from 0
-        raw = b"".join(words.to_pylist())
-        length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        whole = [self.ids.get(w, -1) for w in words.to_pylist()]
-        whole = np.array(whole, dtype=np.int32)
-        tok = self.first[np.frombuffer(raw, dtype=np.uint8)]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
-        pos = np.arange(len(raw)) - np.repeat(np.cumsum(length) - length, length)
-        # A word that is a token itself is that token, without merges.
-        keep = whole[word] < 0
-        done = np.flatnonzero(whole >= 0)
-        base = pa.table({"word": word[keep], "pos": pos[keep].astype(np.int32), "tok": tok[keep]})
-        self.db.register("base", base)
-        tokens = self.db.sql(CONTRACT).to_arrow_table()
-        direct = pa.table({"word": done.astype(np.int32), "pos": np.zeros(len(done), np.int32), "tok": whole[done]})
-        self.db.register("tokens", pa.concat_tables([tokens.cast(direct.schema), direct]))
-        out = self.db.sql(GATHER).to_arrow_table()
-        ids, raw = out["ids"].combine_chunks(), out["raw"].combine_chunks()
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
-        text = pc.binary_join_element_wise(ids.flatten().cast(pa.string()), "", " ").cast(pa.large_binary())
-        numbers = ids.flatten().cast(pa.int32()).to_numpy()
-        packed = pa.Array.from_buffers(
-            pa.large_binary(), len(words), [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(numbers)]
-        )
-        raw = _runs(raw.flatten().cast(pa.large_binary()), ends)
-        return self._table(words, _runs(text, ends), packed, raw, pa.array(np.diff(ends)))
-
-    def _by_heap(self, words: pa.Array) -> pa.Table:
-        ids = [self._merge(w) for w in words.to_pylist()]
-        return self._table(
-            words,
-            pa.array(["".join(f"{i} " for i in x) for x in ids], pa.string()),
-            pa.array([np.array(x, dtype=np.int32).tobytes() for x in ids], pa.binary()),
-            pa.array([b"".join(self.tokens[i] for i in x) for x in ids], pa.binary()),
-            pa.array([len(x) for x in ids], pa.int64()),
-        )
-
-    @staticmethod
-    def _table(words, ids, packed, raw, n) -> pa.Table:
-        big = pa.large_binary()
-        return pa.table({"word": words, "ids": ids.cast(big), "packed": packed.cast(big), "bytes": raw.cast(big), "n": n.cast(pa.int64())})
-
-    def _merge(self, word: bytes) -> list[int]:
-        """The same contraction of one long word, by a heap of (rank, place)."""
-        if word in self.ids:
-            return [self.ids[word]]
-        part = [word[i : i + 1] for i in range(len(word))]
-        left, right = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and right[i] >= 0 and (r := self.ids.get(part[i] + part[right[i]])) is not None:
-                heapq.heappush(heap, (r, i, len(part[i]), len(part[right[i]])))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i] if part[i] else -1
-            if j < 0 or len(part[i]) != a or len(part[j]) != b:
-                continue
-            part[i], part[j], right[i] = part[i] + part[j], b"", right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(i)
-            offer(left[i])
-        return [self.ids[p] for p in part if p]
-
-    def decode(self, ids: pa.ListArray) -> list[bytes]:
-        """The bytes of each list of ids."""
-        length = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-        flat = ids.flatten()
-        unknown = set(pc.unique(flat).to_pylist()) - set(self.tokens)
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            ids, ends = self.contract(new)
+            self.ends = np.concatenate([self.ends, ends + len(self.found)])
+            self.found = np.concatenate([self.found, ids])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.size += sum(map(len, new)) + ids.nbytes + 150 * len(new)
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.found, self.ends, at
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and where each word's end. A word that is a token is that token."""
+        whole = [self.ids.get(w) for w in words]
+        direct = np.array([i is not None for i in whole], dtype=bool)
+        rest = [w for w, i in zip(words, whole, strict=True) if i is None]
+        raw, word_ends = b"".join(rest), np.cumsum([len(w) for w in rest], dtype=np.int64)
+        cuts = self._cuts(raw, word_ends)
+        parts: dict[bytes, int] = {}
+        listed = [parts.setdefault(raw[a:b], len(parts)) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False)]
+        ids, stops = _gather(*self._by_sql(list(parts)), np.array(listed, dtype=np.int64))
+        # Where the ids of each word end, first without the words that are tokens, then with them.
+        ends = np.zeros(len(words) + 1, dtype=np.int64)
+        ends[1:][~direct] = stops[np.searchsorted(cuts, word_ends)] if len(cuts) else 0
+        ends = np.maximum.accumulate(ends)[1:]
+        ids = np.insert(ids, ends[direct], [i for i in whole if i is not None])
+        return ids, ends + np.cumsum(direct)
+
+    def _cuts(self, text: bytes, word_ends: np.ndarray) -> np.ndarray:
+        """The ends of words, and the places that no token can lie across: its two bytes there, or three, are in none."""
+        if not text:
+            return word_ends
+        raw = np.frombuffer(text, dtype=np.uint8).astype(np.int32)
+        pair = raw[:-1] << 8 | raw[1:]
+        across = self.two[pair]
+        triple = pair[:-1] << 8 | raw[2:]
+        held = (self.three[triple >> 3] >> (triple & 7) & 1).astype(bool)
+        across[1:] |= held
+        across[:-1] |= held
+        cut = np.append(~across, True)
+        cut[word_ends - 1] = True
+        return np.flatnonzero(cut) + 1
+
+    def _by_sql(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        length = np.array([len(p) for p in parts], dtype=np.int64)
+        group = _starts(np.cumsum(length)) // QUERY_BYTES if len(parts) else length
+        done = []
+        for some in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(group)) + 1):
+            raw = np.frombuffer(b"".join(parts[i] for i in some), dtype=np.uint8)
+            n = length[some]
+            pos = np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)
+            base = {"word": np.repeat(some, n).astype(np.int32), "pos": pos.astype(np.int32), "tok": self.first[raw]}
+            while len(base["word"]):
+                self.db.register("base", pa.table(base))
+                got = self.db.execute(CONTRACT).fetchnumpy()
+                open_ = np.asarray(got.pop("step")) == ROUNDS
+                got = {k: np.asarray(v).astype(np.int32) for k, v in got.items()}
+                done.append({k: v[~open_] for k, v in got.items()})
+                base = {k: v[open_] for k, v in got.items()}
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        word, pos, tok = (np.concatenate([d[k] for d in done]) for k in ("word", "pos", "tok"))
+        return tok[np.lexsort((pos, word))], np.cumsum(np.bincount(word, minlength=len(parts)))
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each list of ids; ``ends``: where each list ends."""
+        length = np.diff(ends, prepend=0)
+        row, pos = np.repeat(np.arange(len(ends)), length), np.arange(len(ids))
+        self.db.register("ids", pa.table({"row": row, "pos": pos, "tok": ids}))
+        got = self.db.execute(DECODE).to_arrow_table()
+        out = np.full(len(ends), b"", dtype=object)
+        raw = pc.binary_join(got["raw"].combine_chunks().cast(pa.list_(pa.binary())), b"") if len(got) else pa.array([], pa.binary())
+        out[got["row"].to_numpy()] = np.array([*raw.to_pylist(), None], dtype=object)[:-1]
+        return pa.array(out, pa.binary())
+
+    def check(self, ids: np.ndarray) -> None:
+        unknown = set(np.unique(ids).tolist()) - set(self.ids.values())
         if unknown:
-            raise ValueError(f"ids outside the vocabulary: {sorted(unknown, key=str)[:5]}")
-        row = np.repeat(np.arange(len(ids)), length)
-        self.db.register("ids", pa.table({"row": row, "pos": np.arange(len(flat)), "tok": flat}))
-        out = [b""] * len(ids)
-        for r, parts in self.db.execute(DECODE).fetchall():
-            out[r] = b"".join(parts)
-        return out
-
-
-_workers: dict[int, Contractor] = {}
-
-
-def _contractor(shared) -> Contractor:
-    """One per worker process, kept between tasks."""
-    key = hash(shared.value)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Contractor(shared.value)
-    return _workers[key]
+            raise ValueError(f"ids outside the vocabulary: {sorted(unknown)[:5]}")
 
 
 OUTPUTS = {"token_ids": T.ArrayType(T.IntegerType()), "ids_text": T.StringType(), "decoded": T.BinaryType()}
@@ -261,27 +313,28 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", keep: tuple[str
     """Encode whole texts and decode the ids again.
 
     Columns: those of ``keep``, ``n_tokens``, and of ``outputs``: ``token_ids`` (array of int), ``ids_text``
-    (decimal ids joined by one space), ``decoded`` (binary).
+    (decimal ids joined by one space), ``decoded`` (binary, from the ids).
     """
     shared = df.sparkSession.sparkContext.broadcast(vocab.shipped())
-    # Unicode white space, as the libraries of such tokenizers use.
-    split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?U){vocab.pattern}"), F.lit(0))
+    pattern = jvm_pattern(df.sparkSession, vocab.pattern)
+    split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))
     pieces = df.select(F.struct(*keep).alias("row") if keep else F.lit(True).alias("row"), split.alias("words"))
     schema = T.StructType([T.StructField("row", pieces.schema["row"].dataType), T.StructField("n_tokens", T.LongType())])
     for name in outputs:
         schema = schema.add(name, OUTPUTS[name])
 
-    def run(batches):
-        for batch in batches:
-            n = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(batch):  # at least one document, then as many as fit
-                before = n[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(n, before + SLICE_WORDS, side="right")))
-                some = batch.slice(at, end - at)
-                columns = _documents(_contractor(shared), some.column(1), outputs)
-                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=schema.names)
-                at = end
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with closing(Contractor(shared.value)) as contractor:
+            for batch in batches:
+                n = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+                at = 0
+                while at < len(batch):  # at least one document, then as many as fit
+                    before = n[at - 1] if at else 0
+                    end = max(at + 1, int(np.searchsorted(n, before + SLICE_WORDS, side="right")))
+                    some = batch.slice(at, end - at)
+                    columns = _documents(contractor, some.column(1), outputs)
+                    yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=schema.names)
+                    at = end
 
     out = pieces.mapInArrow(run, schema)
     rest = [c for c in schema.names if c != "row"]
@@ -290,25 +343,20 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", keep: tuple[str
 
 def _documents(contractor: Contractor, lists: pa.ListArray, outputs: tuple[str, ...]) -> list[pa.Array]:
     flat = lists.flatten().dictionary_encode()
-    found = contractor.lookup(flat.dictionary.cast(pa.large_binary()))
-    at = flat.indices
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-
-    def joined(column: str) -> pa.Array:
-        """Each document's words end to end."""
-        return _runs(found[column].combine_chunks().take(at), ends)
-
-    counts = np.concatenate([[0], np.cumsum(found["n"].to_numpy()[at.to_numpy(zero_copy_only=False)])]).astype(np.int64)
-    counts = counts[ends]
-    out: list[pa.Array] = [pa.array(np.diff(counts), pa.int64())]
+    found, ends, at = contractor.lookup(flat.dictionary.cast(pa.binary()).to_pylist())
+    ids, stops = _gather(found, ends, at[flat.indices.to_numpy()])
+    words = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    ends = np.concatenate([[0], stops])[words]  # where the ids of each document end
+    length = np.diff(ends, prepend=0)
+    out: list[pa.Array] = [pa.array(length, pa.int64())]
     for name in outputs:
         if name == "ids_text":
-            out.append(pa.array([x[:-1].decode() for x in joined("ids").to_pylist()], pa.string()))
+            bounds = zip((ends - length).tolist(), ends.tolist(), strict=True)
+            out.append(pa.array([" ".join(map(str, ids[a:b].tolist())) for a, b in bounds], pa.string()))
         elif name == "decoded":
-            out.append(pa.array(joined("bytes").to_pylist(), pa.binary()))
+            out.append(contractor.decode(ids, ends))
         else:
-            numbers = pa.Array.from_buffers(pa.int32(), int(counts[-1]), [None, joined("packed").buffers()[2]])
-            out.append(pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), numbers))
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids)))
     return out
 
 
@@ -317,11 +365,14 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "token_ids", out: str =
     shared = df.sparkSession.sparkContext.broadcast(vocab.shipped())
     schema = T.StructType([T.StructField("row", df.schema), T.StructField("bytes", T.BinaryType())])
 
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                done = _contractor(shared).decode(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.binary())], names=["row", "bytes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with closing(Contractor(shared.value)) as contractor:
+            for batch in batches:
+                lists = batch.column(1)
+                flat = pc.fill_null(lists.flatten(), -1).to_numpy()
+                contractor.check(flat)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column(0), contractor.decode(flat, ends)], names=["row", "bytes"])
 
     done = df.select(F.struct("*").alias("row"), F.col(ids).alias("ids")).mapInArrow(run, schema)
     return done.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c != out), F.col("bytes").alias(out))

@@ -8,6 +8,7 @@ import hashlib
 import random
 import re
 import zlib
+from contextlib import closing
 
 import numpy as np
 import public_tokenizers
@@ -57,19 +58,44 @@ def test_bpe_is_that_of_the_library(spark, vocab, reference):
         assert bytes(r.decoded).decode() == (values[r.doc_id] or "")
 
 
-def test_bpe_in_slices(spark, vocab, reference, monkeypatch):
-    """Small caches and queries give the same ids."""
+def test_bpe_in_slices(vocab, reference, monkeypatch):
+    """Small caches, queries and numbers of rounds give the same ids."""
     words = sorted({w for t in ODD if t for w in t.split()} | {f"w{i}ord{i * i}" for i in range(300)})
-    worker = bpe.Contractor(vocab.shipped())
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
-    monkeypatch.setattr(bpe, "CHUNK_WORDS", 7)
-    import pyarrow as pa
-
-    for part in (words[:200], words[150:]):
-        got = worker.lookup(pa.array([w.encode() for w in part], pa.large_binary()))
-        for w, ids, n, raw in zip(part, got["ids"].to_pylist(), got["n"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-            want = reference._encode_single_piece(w)
-            assert (ids.decode(), n, raw) == ("".join(f"{i} " for i in want), len(want), w.encode())
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(bpe, "QUERY_BYTES", 70)
+    monkeypatch.setattr(bpe, "CONTRACT", bpe.CONTRACT.replace(f"step < {bpe.ROUNDS}", "step < 2"))
+    monkeypatch.setattr(bpe, "ROUNDS", 2)
+    with closing(bpe.Contractor(vocab.shipped())) as worker:
+        for part in (words[:200], words[150:], words[:10] * 2):
+            ids, ends, at = worker.lookup([w.encode() for w in part])
+            starts = np.concatenate([[0], ends])
+            for w, i in zip(part, at, strict=True):
+                assert ids[starts[i] : ends[i]].tolist() == reference._encode_single_piece(w)
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_bpe_of_long_words(file):
+    """Words of any length, with repeats, runs and letters that no merge joins."""
+    vocab = bpe.Vocabulary.read(public_tokenizers.path(file), public_tokenizers.PATTERN)
+    ranks = dict(zip(vocab.tokens, vocab.ids, strict=True))
+    library = tiktoken.Encoding("own", pat_str=vocab.pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    alphabets = ["ab", "acgt", "0=-_", ["an", "the", "ing", "é", "中", "x-"], [chr(c) for c in range(0x4E00, 0x9FA0)], [chr(c) for c in range(0x3040, 0x30FF)]]
+    words = ["".join(rng.choices(a, k=rng.randrange(1, k))) for a in alphabets for k in (6, 40, 1500) for _ in range(15)]
+    words = list(dict.fromkeys(["a" * 40_001, " " * 1000, "abab" * 501, *words]))
+    with closing(bpe.Contractor(vocab.shipped())) as worker:
+        ids, ends = worker.contract([w.encode() for w in words])
+    for w, start, end in zip(words, [0, *ends], ends, strict=False):
+        assert ids[start:end].tolist() == library._encode_single_piece(w)
+
+
+def test_bpe_of_every_code_point(spark, vocab, reference):
+    """Each code point beside letters, digits, blanks and an apostrophe is split as the library splits it."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    values = ["".join(f"a{c}'s{c}{c} 1{c}b {c}. " for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    values = [v for i, v in enumerate(values) if i < 800 or i % 40 == 0]  # beyond, nearly all are unassigned
+    for r in bpe.encode(texts(spark, values), vocab, keep=("doc_id",), outputs=("token_ids",)).collect():
+        assert list(r.token_ids) == reference.encode_ordinary(values[r.doc_id])
 
 
 def test_bpe_query(spark, reference):
