@@ -6,26 +6,31 @@ untouched by the edits, so every passage within the budget holds a piece exactly
 texts finds all pieces with an automaton; around each hit the bit-parallel distance of Myers checks
 the whole item against the text, with any beginning and end.
 
-Items are taken in blocks of about ``BLOCK`` characters, whose pieces are broadcast; a larger benchmark
-takes more passes, not more memory. Texts are never shuffled.
-
-Cases: null and empty texts have no leaks; null items and those of fewer than ``LEAST`` characters
-take no part (a few common words say nothing); items of equal text are all reported; of several
-passages like an item the nearest, then the first, is reported; repeated rows are treated alike.
+Items are taken in blocks of about ``BLOCK`` characters, whose pieces are broadcast. A larger benchmark
+takes more passes, not more memory: each block has a job of its own, which writes what it finds under the
+digest of the text; only the texts that have leaks meet there again.
+
+Cases: null and empty texts have no leaks; null and blank items, and those of fewer than ``least``
+characters if the caller sets it, take no part; items of up to ``SHARE`` - 1 characters must be found
+exactly; ids of items are of any type; items of equal text are all reported; of several passages like
+an item the nearest, then the first, is reported; repeated rows are treated alike.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from cohortloom.sources.stages import StageArea
 
 SHARE = 20  # characters of an item for each edit
-LEAST = 20  # characters of the shortest item
 BLOCK = 500_000  # characters of a block of items
 
 
@@ -121,37 +126,54 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> list[C
 
 
 def with_leaks(
-    df: DataFrame, items: DataFrame, text: str = "text", key: str = "item_id", item_text: str = "text", out: str = "leaks"
+    df: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    key: str = "item_id",
+    item_text: str = "text",
+    out: str = "leaks",
+    least: int = 1,
+    area: StageArea | None = None,
 ) -> DataFrame:
     """Add ``out``: an array of (item, distance, end) of the benchmark items that a text holds.
 
-    ``end`` is the end of the passage in the normal form of the text.
+    ``end`` is the end of the passage in the normal form of the text. ``least``: characters of the
+    shortest item that takes part. ``area``: where the blocks of a large benchmark write.
     """
     named = items.where(F.col(item_text).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("key"), F.col(item_text).alias("text")
+        F.col(key).alias("key"), F.col(item_text).alias("text")
     )
     names = [c for c in df.columns if c != out]
-    leak = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
     kind = T.ArrayType(
-        T.StructType([T.StructField("item", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())])
+        T.StructType([T.StructField("item", named.schema["key"].dataType), T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())])
     )
-    now = df.select(F.struct(*names).alias("row"), F.col(text).alias("text"), F.array().cast(kind).alias("leaks"))
-    for part in blocks(named, "key"):
-        block = [(r.key, normal(r.text)) for r in named.where(part).toLocalIterator()]
-        block = [(k, x) for k, x in block if len(x) >= LEAST]
-        shared = df.sparkSession.sparkContext.broadcast(block)
-        now = now.mapInArrow(_pass(shared, leak), now.schema)
-    return now.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.col("leaks").alias(out))
-
+    row = F.struct(*names).alias("row")
+    parts = blocks(named, "key")
+    if len(parts) == 1:
+        searched = _searched(df.select(row, F.col(text).alias("text")), named, least, kind)
+        return searched.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.col("leaks").alias(out))
+    area = area or StageArea(df.sparkSession)
+    digest = F.sha2(F.col(text), 256)
+    written = []
+    for part in parts:
+        found = _searched(df.select(digest.alias("row"), F.col(text).alias("text")), named.where(part), least, kind)
+        written.append(area.save(found.where(F.size("leaks") > 0).dropDuplicates(["row"]), "leaks"))
+    every = reduce(DataFrame.unionAll, written).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    joined = df.select(row, digest.alias("digest")).join(every.withColumnRenamed("row", "digest"), "digest", "left")
+    leaks = F.coalesce("leaks", F.array().cast(kind)).alias(out)
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in names), leaks)
+
+
+def _searched(rows: DataFrame, items: DataFrame, least: int, kind: T.ArrayType) -> DataFrame:
+    """(row, leaks) of (row, text): one pass with a block of items."""
+    block = [(r.key, normal(r.text)) for r in items.toLocalIterator()]
+    shared = rows.sparkSession.sparkContext.broadcast([(k, x) for k, x in block if len(x) >= max(least, 1)])
+    leak = to_arrow_type(kind)
 
-def _pass(shared, leak: pa.DataType):
     def run(batches):
         finder = Finder(shared.value)
         for batch in batches:
-            found = []
-            for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                new = [{"item": i, "distance": d, "end": e} for i, d, e in finder.leaks(text)]
-                found.append(sorted(before + new, key=lambda x: x["item"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, leak)], names=["row", "text", "leaks"])
+            found = [[{"item": i, "distance": d, "end": e} for i, d, e in finder.leaks(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, leak)], names=["row", "leaks"])
 
-    return run
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("leaks", kind)]))

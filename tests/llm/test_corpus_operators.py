@@ -399,3 +399,12 @@ def test_stage_cases(spark, tmp_path, name):
     if name == "decontaminate":
         assert 53 not in by_id and len(got) == len(rows) - 1
     assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_copies_are_told_apart_by_row(spark):
+    """Different texts under one id are different documents; of a group one row stays."""
+    one, two = "first text of many words that says one thing", "another text with other words that says more"
+    rows = [(5, one), (5, two), (5, two), (7, one), (3, "third text, which nobody has copied so far"), (9, two), (3, one), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, one), (3, rows[4][1]), (3, one), (5, two)])

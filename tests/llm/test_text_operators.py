@@ -412,9 +412,9 @@ def best_distance(item: str, text: str) -> int:
 
 def test_leaks_are_those_of_the_full_matrix():
     rng = random.Random(7)
-    items = ["".join(rng.choice("abc ") for _ in range(rng.randrange(20, 90))) for _ in range(12)]
+    items = ["".join(rng.choice("abc ") for _ in range(rng.randrange(8, 90))) for _ in range(14)]
     items = [decontaminate.normal(x) for x in items]
-    items = [(i, x) for i, x in enumerate(items) if len(x) >= decontaminate.LEAST]
+    items = [(i, x) for i, x in enumerate(items) if x]
     finder = decontaminate.Finder(items)
     hits = 0
     for _ in range(150):
@@ -439,8 +439,13 @@ def test_leak_cases(spark, monkeypatch):
     want = [[], [], [(1, 0), (2, 0)], [(1, 0), (2, 0)], [(1, 1), (2, 1)], [], [], [(1, 0), (2, 0)]]
     for block in (decontaminate.BLOCK, 60):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
-        rows = decontaminate.with_leaks(docs, items).orderBy("doc_id").collect()
+        rows = decontaminate.with_leaks(docs, items, least=20).orderBy("doc_id").collect()
         assert [[(x.item, x.distance) for x in r.leaks] for r in rows] == want
+        # An item of a few characters is found exactly, as any other.
+        short = [x + [(4, 0)] * bool(v and "the" in v.lower()) for x, v in zip(want, values, strict=True)]
+        named = items.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
+        rows = decontaminate.with_leaks(docs, named).orderBy("doc_id").collect()
+        assert [[(x.item, x.distance) for x in r.leaks] for r in rows] == [[(f"item {i}", d) for i, d in x] for x in short]
         assert rows[0].key == 1 and rows[0].row == 2
     assert all(not r.leaks for r in decontaminate.with_leaks(docs, items.limit(0)).collect())
     assert decontaminate.with_leaks(docs.limit(0), items).count() == 0
