@@ -5,8 +5,9 @@ one's documents. All stages but the last return the columns of ``documents``.
 
 Cases: a null or empty text is kept by every filter (it is not toxic, has no repeats and no leaks) but
 counts as a copy of any other such text; a row without ``doc_id`` cannot be named as a copy and is
-kept; of rows that repeat a ``doc_id`` one stays; further columns are carried along; empty tables give
-empty results.
+kept; of rows that repeat a ``doc_id`` and its text one stays, and different texts under one ``doc_id`` are
+different documents; further columns are carried along; empty tables give empty results. Benchmark items
+of fewer than ``LEAST_ITEM`` characters, a few common words, remove no document.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from cohortloom.llm.queries import SIMHASH_BITS, SIMHASH_WORDS, token_digests, t
 from cohortloom.sources.stages import StageArea
 
 
+LEAST_ITEM = 20
+
+
 def fresh(name: str, docs: DataFrame) -> str:
     """A name that no column has."""
     while name in docs.columns:
@@ -42,14 +46,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    named = docs.where("doc_id IS NOT NULL")
-    found = simhash.near_duplicates(named, SIMHASH_WORDS, SIMHASH_BITS, StageArea(spark))
-    first = StageArea(spark).save(found.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("n")), "first")
-    kept = named.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    """One document of each group of near copies: the one with the smallest id, of these that of the smallest digest.
+
+    Rows are named by id and text, so that different texts under one id are told apart.
+    """
+    id_, text, nth = (fresh(name, docs) for name in ("id", "digest", "nth"))
+    named = docs.where("doc_id IS NOT NULL").withColumns({id_: F.col("doc_id"), text: F.coalesce(F.md5("text"), F.lit(""))})
+    rows = named.select(F.struct(F.col(id_).alias("id"), F.col(text).alias("digest")).alias("name"), "text")
+    area = StageArea(spark)
+    found = simhash.near_duplicates(rows, SIMHASH_WORDS, SIMHASH_BITS, area, key="name")
+    first = area.save(found.where("name = component").groupBy("name").agg(F.count("*").alias("n")), "first")
+    leaders = first.select(F.col("name.id").alias(id_), F.col("name.digest").alias(text))
+    kept = named.join(leaders.hint("merge"), [id_, text], "left_semi")
     if not first.where("n > 1").isEmpty():
-        nth = fresh("nth", docs)
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        place = F.row_number().over(Window.partitionBy(id_, text).orderBy(F.lit(0)))
         kept = kept.withColumn(nth, place).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
@@ -57,7 +67,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     leaks = fresh("leaks", docs)
-    found = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=leaks)
+    found = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=leaks, least=LEAST_ITEM)
     return found.where(F.size(leaks) == 0).select(*docs.columns)
 
 
