@@ -10,9 +10,9 @@ are put together from those of their words; another query joins them with the vo
 aggregation decodes them.
 
 No shuffle, nothing grows with the corpus but the result: the vocabulary and its merge table are the
-only broadcast (their size is that of the rank file). A task has its own database and words, closed and
-freed at its end: ``CACHE_BYTES`` of contracted words, ``QUERY_BYTES`` of parts in a query (a longer part
-is a query of its own) and the rows of ``ROUNDS`` rounds.
+only broadcast (their size is that of the rank file). A task has its own database, closed at its end:
+``QUERY_BYTES`` of parts in a query (a longer part is a query of its own) and the rows of ``ROUNDS``
+rounds. Contracted words stay in a worker for its next tasks, ``CACHE_BYTES`` of them with their ids.
 
 The classes of the pattern follow the Unicode tables of the tokenizer library, not those of the JVM:
 code points in which the two differ are named in the expression.
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 QUERY_BYTES = 1 << 20  # of the parts of one recursive query
 ROUNDS = 8  # of one recursive query, which keeps the rows of all of its rounds
-CACHE_BYTES = 32 << 20  # of words and their ids that a task keeps
+CACHE_BYTES = 48 << 20  # of words and their ids that a worker keeps
 SLICE_WORDS = 500_000  # words of documents that are gathered together
 
 CONTRACT = f"""
@@ -187,10 +187,35 @@ def _gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return values[place], stops
 
 
+@dataclass
+class Known:
+    """Contracted words, the first ones first: their ids end to end, and where each word's end."""
+
+    words: pa.Array
+    ids: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def none(cls) -> Known:
+        return cls(pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def size(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + self.ends.nbytes
+
+    def add(self, words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.ends = np.concatenate([self.ends, ends + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.words = pa.concat_arrays([self.words, words])
+
+
+_kept: dict[int, Known] = {}
+
+
 class Contractor:
-    """One task's database and the words it has contracted."""
+    """One task's database, and the words that its worker has contracted."""
 
     def __init__(self, shipped: tuple[bytes, bytes]):
+        self.vocabulary = hash(shipped)
         vocab, merges = (pa.ipc.open_stream(x).read_all() for x in shipped)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         self.db.register("vocab_in", vocab)
@@ -213,28 +238,26 @@ class Contractor:
         three = np.zeros(1 << 24, dtype=bool)
         three[raw[inside] << 16 | raw[inside + 1] << 8 | raw[inside + 2]] = True
         self.three = np.packbits(three, bitorder="little")
-        self._forget()
+        self.known = _kept.get(self.vocabulary) or Known.none()
 
     def close(self) -> None:
+        """Free the database; the words stay for the next task of the same vocabulary."""
         self.db.close()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.found, self.ends, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
-
-    def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of words, where each known word's end, and the places of ``words`` among them."""
-        if self.size > CACHE_BYTES:
-            self._forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            ids, ends = self.contract(new)
-            self.ends = np.concatenate([self.ends, ends + len(self.found)])
-            self.found = np.concatenate([self.found, ids])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.size += sum(map(len, new)) + ids.nbytes + 150 * len(new)
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.found, self.ends, at
+        _kept.clear()
+        _kept[self.vocabulary] = self.known
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, where each known word's end, and the places of ``words``, which are distinct, among them."""
+        if self.known.size() > CACHE_BYTES:
+            self.known = Known.none()
+        found = pc.index_in(words, self.known.words)
+        new = pc.is_null(found).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if new.any():
+            at[new] = len(self.known.words) + np.arange(new.sum())
+            fresh = words.filter(pa.array(new))
+            self.known.add(fresh, *self.contract(fresh.to_pylist()))
+        return self.known.ids, self.known.ends, at
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, end to end, and where each word's end. A word that is a token is that token."""
@@ -294,7 +317,7 @@ class Contractor:
         length = np.diff(ends, prepend=0)
         row, pos = np.repeat(np.arange(len(ends)), length), np.arange(len(ids))
         self.db.register("ids", pa.table({"row": row, "pos": pos, "tok": ids}))
-        got = self.db.execute(DECODE).to_arrow_table()
+        got = self.db.sql(DECODE).to_arrow_table()
         out = np.full(len(ends), b"", dtype=object)
         raw = pc.binary_join(got["raw"].combine_chunks().cast(pa.list_(pa.binary())), b"") if len(got) else pa.array([], pa.binary())
         out[got["row"].to_numpy()] = np.array([*raw.to_pylist(), None], dtype=object)[:-1]
@@ -343,7 +366,7 @@ def encode(df: DataFrame, vocab: Vocabulary, text: str = "text", keep: tuple[str
 
 def _documents(contractor: Contractor, lists: pa.ListArray, outputs: tuple[str, ...]) -> list[pa.Array]:
     flat = lists.flatten().dictionary_encode()
-    found, ends, at = contractor.lookup(flat.dictionary.cast(pa.binary()).to_pylist())
+    found, ends, at = contractor.lookup(flat.dictionary.cast(pa.large_binary()))
     ids, stops = _gather(found, ends, at[flat.indices.to_numpy()])
     words = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     ends = np.concatenate([[0], stops])[words]  # where the ids of each document end
@@ -351,8 +374,8 @@ def _documents(contractor: Contractor, lists: pa.ListArray, outputs: tuple[str,
     out: list[pa.Array] = [pa.array(length, pa.int64())]
     for name in outputs:
         if name == "ids_text":
-            bounds = zip((ends - length).tolist(), ends.tolist(), strict=True)
-            out.append(pa.array([" ".join(map(str, ids[a:b].tolist())) for a, b in bounds], pa.string()))
+            numbers = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), pa.array(ids).cast(pa.string()))
+            out.append(pc.binary_join(numbers, " "))
         elif name == "decoded":
             out.append(contractor.decode(ids, ends))
         else:

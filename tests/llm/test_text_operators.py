@@ -12,6 +12,7 @@ from contextlib import closing
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -66,8 +67,8 @@ def test_bpe_in_slices(vocab, reference, monkeypatch):
     monkeypatch.setattr(bpe, "CONTRACT", bpe.CONTRACT.replace(f"step < {bpe.ROUNDS}", "step < 2"))
     monkeypatch.setattr(bpe, "ROUNDS", 2)
     with closing(bpe.Contractor(vocab.shipped())) as worker:
-        for part in (words[:200], words[150:], words[:10] * 2):
-            ids, ends, at = worker.lookup([w.encode() for w in part])
+        for part in (words[:200], words[150:], words[:10]):
+            ids, ends, at = worker.lookup(pa.array([w.encode() for w in part], pa.large_binary()))
             starts = np.concatenate([[0], ends])
             for w, i in zip(part, at, strict=True):
                 assert ids[starts[i] : ends[i]].tolist() == reference._encode_single_piece(w)
