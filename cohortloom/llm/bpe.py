@@ -57,7 +57,7 @@ WITH RECURSIVE t(step, word, pos, tok) AS (
         FROM pairs LEFT JOIN merges m ON m.a = tok AND m.b = nxt
     ),
     best AS (
-        SELECT word, min((rank << 30) + nth) AS best FROM ranked GROUP BY word HAVING best IS NOT NULL
+        SELECT word, min((rank << 30) + nth) AS best, min(nth) AS start FROM ranked GROUP BY word HAVING best IS NOT NULL
     ),
     -- Places are counted from the last row before this one that does not start the best pair: odd ones
     -- take their neighbour in, even ones are taken in. Of a pair that goes alone only the first counts.
@@ -66,7 +66,7 @@ WITH RECURSIVE t(step, word, pos, tok) AS (
                (best >> 30) & 1 = 1 AS alone, best & {(1 << 30) - 1} AS first,
                nth - coalesce(max(CASE WHEN rank IS DISTINCT FROM best >> 30 THEN nth END) OVER (
                    PARTITION BY r.word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                   min(nth) OVER (PARTITION BY r.word ORDER BY pos) - 1) AS place
+                   start - 1) AS place
         FROM ranked r JOIN best USING (word)
     )
     SELECT (SELECT max(step) FROM t) + 1, word, pos,
