@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from cohortloom.operators.report import headline_numbers, manifest
 from cohortloom.operators.sampling import group_links, sample_per_group
 from cohortloom.plans.cohort import cluster_users, stage_active, wide_cohort
 from cohortloom.plans.moneyflow import all_trees, money_flow
-from cohortloom.sources.stages import StageArea, read_result
+from cohortloom.sources.stages import StageArea, is_done, mark_done, run_folder
 from cohortloom.sources.tables import Tables
 
 
@@ -65,12 +67,38 @@ def build_results(
     return results
 
 
-def write_report(t: Tables, cfg: Config, out: str, with_elbow: bool = False) -> None:
-    """Build and write every result, then the manifest over the written results."""
+def write_report(
+    t: Tables, cfg: Config, out: str, with_elbow: bool = False, run_id: str | None = None
+) -> str:
+    """Build and write every result, then the manifest over the written results; returns the run's id.
+
+    A run has a folder of its own, and its manifest is written last: a run without one is never read, so
+    a reader sees the whole old report or the whole new one. A run that broke is taken up again by its
+    ``run_id``: finished results and stage tables stay, and the work goes on at the first one missing.
+    The results of a resumed run agree with each other, as they come from the same stage tables; they are
+    deleted when the run is complete. A complete run is left as it is. Give another id if the source
+    tables, the settings or ``with_elbow`` have changed.
+    """
     spark = t.activities.sparkSession
-    results = build_results(t, cfg, StageArea(spark), with_elbow)
+    run_id = run_id or uuid.uuid4().hex
+    folder = run_folder(out, run_id)
+    if is_done(spark, f"{folder}/manifest"):
+        return run_id
+    # Names that begin with an underscore are no results.
+    stages = StageArea(spark, folder=f"{folder}/_stages")
+    results = build_results(t, cfg, stages, with_elbow)
     for name, df in results.items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
-    written = {name: read_result(spark, out, name) for name in results}
+        _write_once(df, f"{folder}/{name}")
+    written = {name: spark.read.parquet(f"{folder}/{name}") for name in results}
     entries = manifest(written, cfg).orderBy("section_ord", F.asc_nulls_first("item_ord"))
-    entries.write.mode("overwrite").parquet(f"{out}/manifest")
+    _write_once(entries, f"{folder}/manifest")
+    stages.close()
+    return run_id
+
+
+def _write_once(df: DataFrame, path: str) -> None:
+    """Write a table unless it is whole; the marker comes after the data."""
+    spark = df.sparkSession
+    if not is_done(spark, path):
+        df.write.mode("overwrite").parquet(path)
+        mark_done(spark, path)
