@@ -20,7 +20,7 @@ from cohortloom.config import (
 from cohortloom.functions.columns import parse_list
 from cohortloom.operators import clusters, stats
 from cohortloom.operators.classify import classify_contributions, classify_expenses
-from cohortloom.operators.counting import active_users, class_counts
+from cohortloom.operators.counting import active_users, class_counts, class_lists, whole_lists
 from cohortloom.operators.features import (
     active_cohort,
     add_log_features,
@@ -119,6 +119,25 @@ def class_counts_long(spark, sf_dir):
     return rounded(class_counts(SampleTables(spark, sf_dir), CONFIG))
 
 
+@register
+def class_list_sizes(spark, sf_dir):
+    """Counts and list lengths per user and class, from the items alone."""
+    return class_lists(SampleTables(spark, sf_dir), CONFIG, StageArea(spark)).rows
+
+
+@register
+def class_list_parts(spark, sf_dir):
+    """Hosts and recipients per user and class, in parts of four."""
+    lists = class_lists(SampleTables(spark, sf_dir), CONFIG, StageArea(spark), size=4)
+    return rounded(lists.parts.withColumn("items_in_part", F.size("items").cast("bigint")))
+
+
+@register
+def class_lists_whole(spark, sf_dir):
+    """The class counts again, their lists put together from parts."""
+    return rounded(whole_lists(class_lists(SampleTables(spark, sf_dir), CONFIG, StageArea(spark), size=4)))
+
+
 @register
 def log_activity_counts(spark, sf_dir):
     counts = class_counts(SampleTables(spark, sf_dir), CONFIG)

@@ -26,3 +26,8 @@ def rename_titles(df: DataFrame) -> DataFrame:
 
 def rename_camel(df: DataFrame) -> DataFrame:
     return df.toDF(*[camel_to_snake(c) for c in df.columns])
+
+
+def month_column(ts: str) -> str:
+    """The column by which a table is laid out in months of ``ts``."""
+    return f"{ts}_month"

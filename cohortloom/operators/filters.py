@@ -6,24 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import as_of_literal, holds_any
+from cohortloom.functions.naming import month_column
+
+
+def _in_months(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
+    """Of a table laid out by the month of ``ts``, only the months that can hold the period.
+
+    Two days more at both ends, because the layout may have been written in another time zone.
+    """
+    month = month_column(ts)
+    if month not in df.columns:
+        return df
+    spare = F.expr("INTERVAL '2' DAY")
+    first, last = F.trunc(start - spare, "month"), F.trunc(end + spare, "month")
+    return df.filter((F.col(month) >= first) & (F.col(month) <= last)).drop(month)
 
 
 def rolling_window(df: DataFrame, ts: str, as_of=None, window="INTERVAL '12' MONTH") -> DataFrame:
     """Rows after ``as_of - window`` and not after ``as_of``."""
     end = as_of_literal(as_of, df.schema[ts].dataType)
-    return df.filter((F.col(ts) > end - F.expr(window)) & (F.col(ts) <= end))
+    start = end - F.expr(window)
+    return _in_months(df.filter((F.col(ts) > start) & (F.col(ts) <= end)), ts, start, end)
 
 
 def month_period(df: DataFrame, ts: str, as_of=None, months: int = 12) -> DataFrame:
     """The ``months`` whole months before the current one."""
     dtype = df.schema[ts].dataType
-    end = as_of_literal(as_of, dtype)
-    start = end - F.expr(f"INTERVAL '{months}' MONTH")
+    now = as_of_literal(as_of, dtype)
 
     def month_start(moment: Column) -> Column:
         return F.date_trunc("month", moment).cast(dtype)
 
-    return df.filter((F.col(ts) >= month_start(start)) & (F.col(ts) < month_start(end)))
+    start, end = month_start(now - F.expr(f"INTERVAL '{months}' MONTH")), month_start(now)
+    return _in_months(df.filter((F.col(ts) >= start) & (F.col(ts) < end)), ts, start, end)
 
 
 def keep_values(df: DataFrame, column: str, values) -> DataFrame:

@@ -16,7 +16,12 @@ from pyspark.sql.types import StructType
 
 from cohortloom.config import CLASSES
 from cohortloom.functions.columns import parse_list
-from cohortloom.functions.naming import camel_to_snake, rename_camel, rename_titles
+from cohortloom.functions.naming import (
+    camel_to_snake,
+    month_column,
+    rename_camel,
+    rename_titles,
+)
 
 # --- Fixed values: columns of the operational tables, as text in Spark's DDL notation ----------
 TABLE_SCHEMAS = {
@@ -176,6 +181,27 @@ def write_list_text(df: DataFrame) -> DataFrame:
     )
 
 
+# The large tables, and the time by which their rows are asked for.
+TIME_OF = {"activities": "created_at", "orders": "updated_at", "transactions": "created_at"}
+
+
+def write_by_month(df: DataFrame, name: str, path: str, mode: str = "errorifexists") -> None:
+    """Write the log, the orders or the ledger with a folder for each month of its time.
+
+    :func:`read_table` reads it with the month as one more column, which the time windows turn into a
+    filter on folders. Rows are dealt out by month and id, so a task writes few months and a month with a
+    third of all rows is written by many tasks. Rows without a time have a folder of their own, which no
+    window reads.
+    """
+    ts = TIME_OF[name]
+    month = month_column(ts)
+    titles = schema_of(name).names
+    dated = df.select(
+        *[F.col(camel_to_snake(c)).alias(c) for c in titles], F.trunc(ts, "month").alias(month)
+    )
+    dated.repartitionByRange(month, "id").write.partitionBy(month).mode(mode).parquet(path)
+
+
 @dataclass(frozen=True)
 class Tables:
     """The operational tables of one deployment, in snake case."""
