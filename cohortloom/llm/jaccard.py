@@ -11,16 +11,19 @@ prefix reads, plus the comparisons that they may lead to, which are fewer the mo
    tells how many classes have each of its tokens. Only tokens of two or more classes go back to their
    classes; the others come first in the order and need no posting. A class that shares less than o
    tokens with anyone is done. The number of buckets grows with the input.
-2. *Chains.* A token that many similar classes share would make a pair of any two of them. In such a
-   posting first only near neighbours in a random order are compared, and what is linked becomes one
-   component; this is repeated in other orders as long as a round takes away a tenth of the pairs that are left.
-3. *The rest, exactly.* Then all pairs of classes of different components are matched that share a
-   prefix token. A frequent token's classes are dealt to blocks, and pairs of blocks to tasks. No pair
-   is left out: classes of one component are reachable from each other already.
-
-Pairs are verified on all the tokens that they share with anyone. Components are formed by alternating
-stars. Frequencies and chains only steer the cost. n-grams are told apart by hashes, of which 56 bits or
-more decide in a comparison, sets by 64-bit digests.
+2. *Cells.* The classes whose prefixes hold tokens with one smallest class, which are most often the
+   tokens of one group of near copies, form a cell. Each class comes into a cell once, with its tokens; a
+   large cell is dealt to blocks, and pairs of blocks to tasks. Candidates are counted and compared inside
+   the task, which returns a spanning forest of the links that it found, never a row for each pair.
+3. *Chains.* Where a cell has so many classes that pairs of blocks would be many, first only near
+   neighbours in an order by smallest hashes are compared, and what is linked becomes one component; this
+   is repeated with other hashes as long as a round takes away a tenth of the pairs that are left. Then the
+   classes of the cell's largest component are compared only with those outside it.
+
+No pair of different components that share a prefix token is left out: classes of one component are
+reachable from each other already. Pairs are verified on all the tokens that they share with anyone.
+Components are formed by alternating stars. Frequencies and chains only steer the cost. n-grams are told
+apart by hashes, of which 56 bits or more decide in a comparison, sets by 64-bit digests.
 
 Cases: A-Z are lower-cased, words are parted by ASCII white space; a text of fewer words is one n-gram;
 null, empty and blank texts have an empty set, are linked with nothing, and are their own component; a
@@ -50,11 +53,13 @@ DEALT = 2_000_000  # tokens that a task packs together
 BUCKET = 4_000_000  # tokens of a bucket, about
 LEAST_BITS = 9  # of the number of buckets
 PAYLOAD = 48  # bits of a token beside its bucket
-HOME = 128  # classes, about, whose tokens a comparing task holds, twice
 VERIFY = 50  # cost of a comparison, in postings
-BLOCK = 256  # classes of a posting that are paired in one task
+HOME = 256  # classes of a block of a cell; a task holds two blocks
+TOKENS = 1_000_000  # of a block, about
+WIDE = 4  # a cell's classes for each of its longest posting, above which its tokens are parted
+BLOCK = 8192  # classes of a cell above which it may be chained
 NEIGHBOURS = 16  # that a class is compared with in a round of chains
-MANY = 32  # pairs left for each entry of a posting, above which its classes are chained
+MANY = 32  # pairs left for each class of a cell, above which its classes are chained
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,180 +256,188 @@ def _live(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 # --- Candidates ----------------------------------------------------------------------------------
 
-PAIR = "u long, v long, asked long, met long"
+CELL = ["leader", "part"]
+LINK = "u long, v long"
 
 
-def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+def _cells(live: DataFrame, area: StageArea) -> DataFrame:
+    """(leader, part, set, m): the classes of each cell and how many tokens they have.
 
+    A cell's tokens are those whose smallest class is ``leader``. Where they belong to many groups, as those
+    of a class that shares a little with each of very many others, they are dealt to parts.
+    """
+    postings = live.select("set", F.size("tokens").alias("m"), F.explode("prefix").alias("token"))
+    leaders = postings.groupBy("token").agg(F.min("set").alias("leader"), F.count("*").alias("k")).where("k > 1")
+    postings = area.save(postings.join(leaders.hint("merge"), "token").select("leader", "token", "k", "set", "m"), "postings")
+    once = postings.groupBy("leader", "set").agg(F.max("k").alias("k"))
+    sizes = once.groupBy("leader").agg(F.count("*").alias("c"), F.max("k").alias("k"))
+    held = WIDE * F.greatest("k", F.lit(HOME).cast("long"))
+    hubs = area.save(sizes.where(F.col("c") > held).select("leader", F.ceil(F.col("c") / held).alias("parts")), "hubs")
+    parted = postings.join(hubs, "leader", "left")
+    part = F.pmod(F.xxhash64("token"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part")
+    return area.save(parted.select("leader", part, "set", "m").distinct(), "cells")
 
-def _pairs(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Each pair once, with how often it was met."""
-    u, v, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
-    u, v = np.minimum(u, v), np.maximum(u, v)
-    order = np.lexsort((v, u))
-    u, v, asked = u[order], v[order], asked[order]
-    starts = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)])
-    met = np.diff(np.append(starts, len(u)))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[starts], v[starts], asked[starts], met)], names=["u", "v", "asked", "met"])
 
+def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
-def _matched(pairs: DataFrame) -> DataFrame:
-    """The pairs that were met as often as they must be."""
-    counted = pairs.groupBy("u", "v").agg(F.sum("met").alias("met"), F.first("asked").alias("asked"))
-    return counted.where("met >= asked").select("u", "v")
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs of some sizes, end to end, and where each begins among them."""
+    begin = np.cumsum(sizes) - sizes
+    return np.repeat(starts - begin, sizes) + np.arange(sizes.sum()), begin
 
-def _chained(postings: DataFrame, round_no: int, percent: int) -> DataFrame:
-    """Near neighbours of different components in each token's posting, cut to ranges of any size.
 
-    The order is by bands of size, and at random within a band.
+def _forest(rows: pa.Table, last: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Links of the similarity that connect all classes that any such link connects.
+
+    ``rows``: set, n, need, comp, own, prefix, tokens. A class is compared with those after it, up to the
+    place ``last``, of another component and, unless ``own`` is one value, of another ``own``.
+    """
+    sets, n, need, comp, own = (rows.column(c).to_numpy().copy() for c in ("set", "n", "need", "comp", "own"))
+    lists = [rows.column(c).combine_chunks() for c in ("prefix", "tokens")]
+    (psize, size), (prefix, tokens) = ([f(x).to_numpy().astype(np.int64) for x in lists] for f in (pc.list_value_length, pc.list_flatten))
+    names, token = np.unique(tokens, return_inverse=True)
+    prefix = np.searchsorted(names, prefix)
+    pstart, start = np.cumsum(psize) - psize, np.cumsum(size) - size
+    alone = (own == own[0]).all()
+    u, v = [], []
+    for at in range(len(sets) - 1):
+        after = slice(at + 1, last[at])
+        other = comp[after] != comp[at]
+        if not other.any():
+            continue
+        other &= _close(n[after], n[at], percent)
+        if not alone:
+            other &= own[after] != own[at]
+        some = np.flatnonzero(other) + at + 1
+        if not len(some):
+            continue
+        mark = np.zeros(len(names), dtype=bool)
+        mark[prefix[pstart[at] : pstart[at] + psize[at]]] = True
+        place, begin = _runs(pstart[some], psize[some])
+        met = np.add.reduceat(mark[prefix[place]], begin, dtype=np.int64)
+        some = some[met >= np.minimum(need[some], need[at])]
+        if not len(some):
+            continue
+        mark[token[start[at] : start[at] + size[at]]] = True
+        place, begin = _runs(start[some], size[some])
+        common = np.add.reduceat(mark[token[place]], begin, dtype=np.int64)
+        some = some[100 * common >= percent * (n[at] + n[some] - common)]
+        joined, first = np.unique(comp[some], return_index=True)
+        u.append(np.full(len(first), sets[at]))
+        v.append(sets[some[first]])
+        comp[np.isin(comp, joined)] = comp[at]
+    none = np.zeros(0, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (u, v)], names=["u", "v"])
+
+
+ROW = ["set", "n", "need", "comp", "own", "prefix", "tokens"]
+
+
+def _chained(cells: DataFrame, live: DataFrame, round_no: int, percent: int) -> DataFrame:
+    """Links of near neighbours of different components in each cell, cut to ranges of any size.
+
+    The order is by bands of size, and within a band by the smallest hash of a class's tokens, which similar
+    classes have in common as often as they share tokens.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))) if percent < 100 else F.col("n")
-    keys = ["token", "band", "draw"]
-    rows = postings.withColumns({"band": band, "draw": F.xxhash64("set", F.lit(round_no))})
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("token", "set", "n", "need", "comp")
+    keys = [*CELL, "band", "draw", "set"]
+    draw = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(round_no))))
+    rows = cells.join(live.hint("merge"), "set").withColumns({"band": band, "draw": draw, "own": F.lit(0).cast("long")})
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*CELL, *ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((5, 0), dtype=np.int64)
+        before = None
         for batch in batches:
-            table = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            old, out = last.shape[1], []
-            for step in range(1, NEIGHBOURS + 1):
-                start = max(old - step, 0)  # a pair of which one is new
-                x, y = table[:, start : max(table.shape[1] - step, start)], table[:, start + step :]
-                ok = (x[0] == y[0]) & (x[4] != y[4]) & _close(x[2], y[2], percent)
-                out.append((x[1][ok], y[1][ok], np.minimum(x[3], y[3])[ok]))
-            last = table[:, -NEIGHBOURS:]
-            yield _pairs(out)
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch] if before is None else [*before, batch])
+            key = np.stack([table.column(c).to_numpy() for c in CELL])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            ends = np.append(cuts, len(table))[np.searchsorted(cuts, np.arange(len(table)), side="right")]
+            yield _forest(table, np.minimum(ends, np.arange(len(table)) + 1 + NEIGHBOURS), percent)
+            before = table.slice(max(len(table) - NEIGHBOURS, 0)).to_batches()
 
-    return rows.mapInArrow(run, PAIR)
+    return rows.mapInArrow(run, LINK)
 
 
-def _crossed(postings: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that share a token.
+def _crossed(cells: DataFrame, sizes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Links of all pairs of classes of different components that meet in a cell, a forest for each task.
 
-    ``sizes``: (token, k, leader) of the postings that have them. The classes of a posting are dealt to
-    blocks. Blocks of postings with one smallest class, which are most often the tokens of one group of
-    near copies, meet in one task, where a pair that they share becomes one row.
-    """
-    rows = postings.join(sizes.hint("merge"), "token").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = rows.select("token", "leader", "set", "n", "need", "comp", "own", other)
-    keys = ["leader", "i", "j", "token"]
-    dealt = dealt.select(
-        "leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "token", "own", "set", "n", "need", "comp"
-    )
-    dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions(*keys, "n", "set")
-
-    def crossing(group: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        (i, j), (own, sets, n, need, comp) = group[1:3, 0], group[4:]
-        for at in range(len(sets) - 1):
-            # Sizes ascend; of two blocks only pairs across are met here.
-            far = int(np.searchsorted(n, 100 * n[at] // percent, side="right"))
-            ok = (comp[at + 1 : far] != comp[at]) & ((own[at + 1 : far] != own[at]) | (i == j))
-            if ok.any():
-                v = np.flatnonzero(ok) + at + 1
-                yield np.full(len(v), sets[at]), sets[v], np.minimum(need[v], need[at])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((9, 0), dtype=np.int64)
-        out, size = [], 0
-        for batch in _and_end(batches):
-            if batch is not None:
-                held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            new = np.flatnonzero((held[:4, 1:] != held[:4, :-1]).any(axis=0)) + 1
-            stops = new.tolist() if batch is not None else [*new.tolist(), held.shape[1]]
-            start = 0
-            for stop in stops:
-                for part in crossing(held[:, start:stop]) if stop - start > 1 else ():
-                    out.append(part)
-                    size += len(part[0])
-                    if size >= DEALT:
-                        yield _pairs(out)
-                        out, size = [], 0
-                start = stop
-            held = held[:, start:]
-        if out:
-            yield _pairs(out)
-
-    return dealt.mapInArrow(run, PAIR)
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def _verified(pairs: DataFrame, live: DataFrame, percent: int, area: StageArea) -> DataFrame:
-    """The pairs at the similarity or above.
-
-    Pairs with near neighbours in common are compared in one cell, which gets the tokens of each class
-    once: a class is named after the smallest of its partners, the classes of one name are dealt to
-    homes of about ``HOME``, and the pairs of two homes are a cell.
+    ``sizes``: of the cells that have such pairs. Their classes are dealt to blocks. Those of the largest
+    component, if they fill more than one block, meet only the blocks of the others.
     """
-    ends = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    named = ends.groupBy("u").agg(F.min(F.least("u", "v")).alias("name"))
-    homes = named.groupBy("name").agg(F.ceil(F.count("*") / HOME).alias("homes"))
-    home = F.xxhash64("name", F.pmod(F.xxhash64("u"), "homes")).alias("home")
-    homed = area.save(named.join(homes.hint("merge"), "name").select("u", home), "homes")
-    both = pairs.join(homed.withColumnRenamed("home", "a").hint("merge"), "u")
-    both = both.join(homed.select(F.col("u").alias("v"), F.col("home").alias("b")).hint("merge"), "v")
-    celled = area.save(both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "u", "v"), "cells")
-    members = celled.select("i", "j", F.explode(F.array("u", "v")).alias("set")).distinct()
-    members = members.join(live.select("set", "n", "tokens").hint("merge"), "set")
-    rows = members.select("i", "j", F.lit(None).cast("long").alias("v"), F.col("set").alias("u"), "n", "tokens").unionAll(
-        celled.select("i", "j", "v", "u", F.lit(0).cast("long"), F.lit(None).cast("array<long>"))
-    )
-    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", F.asc_nulls_first("v"))
+    blocks = lambda k, m: F.greatest(F.ceil(F.col(k) / HOME), F.ceil(F.col(m) / TOKENS))
+    sizes = sizes.withColumn("a", F.when(blocks("large.c", "large.m") > 1, blocks("large.c", "large.m")).otherwise(0))
+    sizes = sizes.withColumn("k", F.when(F.col("a") > 0, F.col("k") - F.col("large.c")).otherwise(F.col("k")))
+    sizes = sizes.withColumn("m", F.when(F.col("a") > 0, F.col("m") - F.col("large.m")).otherwise(F.col("m")))
+    sizes = sizes.select(*CELL, "a", blocks("k", "m").alias("b"), F.col("large.comp").alias("main"))
+    rows = cells.join(sizes.hint("merge"), CELL)
+    main, draw = (F.col("a") > 0) & (F.col("comp") == F.col("main")), F.xxhash64("set")
+    rows = rows.withColumn("own", F.when(main, F.pmod(draw, "a")).otherwise(F.col("a") + F.pmod(draw, "b")))
+    other = F.explode(F.sequence(F.when(main, F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)).alias("other")
+    rows = rows.select(*CELL, "set", "comp", "own", other)
+    rows = rows.select(*CELL, "set", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    keys = [*CELL, "i", "j"]
+    dealt = rows.join(live.hint("merge"), "set").select(*keys, *ROW)
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "n", "set")
+
+    def forest(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        n = table.column("n").to_numpy()  # ascending
+        return _forest(table, np.searchsorted(n, 100 * n // percent, side="right"), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, {}
+        cell, held = None, []
         for batch in batches:
-            i, j, v, u, n = (batch.column(c).to_pylist() for c in range(5))
-            tokens, found = batch.column(5), []
-            for at in range(len(batch)):
-                if (i[at], j[at]) != cell:
-                    cell, held = (i[at], j[at]), {}
-                if v[at] is None:
-                    held[u[at]] = (n[at], tokens[at].values.to_numpy())
+            key = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            cuts = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+            found = []
+            for start, stop in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if stop == start:
                     continue
-                (n1, x), (n2, y) = held[u[at]], held[v[at]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (n1 + n2 - common):
-                    found.append((u[at], v[at]))
-            columns = list(zip(*found, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+                if key[:, start].tolist() != cell and held:
+                    found.append(forest(held))
+                    held = []
+                cell = key[:, start].tolist()
+                held.append(batch.slice(start, stop - start))
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+        if held:
+            yield forest(held)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, LINK)
 
 
 def links_of(live: DataFrame, percent: int, area: StageArea) -> DataFrame:
     """(node, root) of linked classes: those reachable over pairs of the similarity."""
-    postings = live.select("set", "n", "need", F.explode("prefix").alias("token"))
+    cells = _cells(live, area)
     roots, round_no, before = None, 0, None
     while True:
         if roots is None:
-            now = postings.select("*", F.col("set").alias("comp"))
+            now = cells.withColumn("comp", F.col("set"))
         else:
             told = roots.select(F.col("node").alias("set"), F.col("root").alias("comp"))
-            now = postings.join(told.hint("merge"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        now = area.save(now.select("token", "set", "n", "need", "comp"), "postings")
-        parts = now.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("set").alias("first"))
-        sizes = parts.groupBy("token").agg(
-            F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("own"), F.min("first").alias("leader")
+            now = cells.join(told.hint("merge"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+            now = area.save(now.select(*cells.columns, "comp"), "named")
+        parts = now.groupBy(*CELL, "comp").agg(F.count("*").alias("c"), F.sum("m").alias("m"))
+        sizes = parts.groupBy(*CELL).agg(
+            F.sum("c").alias("k"),
+            F.sum("m").alias("m"),
+            F.sum(F.col("c") * F.col("c")).alias("own"),
+            F.max(F.struct("c", "m", "comp")).alias("large"),
         )
-        sizes = sizes.where("own < k * k").select("token", "k", "leader", F.expr("(k * k - own) div 2").alias("pairs"))
-        sizes = area.save(sizes, "sizes")
-        many = sizes.where(F.col("pairs") > MANY * F.col("k"))
-        left = many.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        sizes = area.save(sizes.where("own < k * k"), "sizes")
+        pairs = F.expr("(k * k - own) div 2")
+        many = sizes.where((F.col("k") > BLOCK) & (pairs > MANY * F.col("k")))
+        left = many.agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0]
         last = left == 0 or (before is not None and 10 * left > 9 * before)
         if last:
-            met = _crossed(now, sizes.select("token", "k", "leader"), percent)
+            new = _crossed(now, sizes, live, percent)
         else:
-            met = _chained(now.join(many.select("token").hint("merge"), "token", "left_semi"), round_no, percent)
-        new = area.save(_verified(area.save(_matched(met), "pairs"), live, percent, area), "links")
+            new = _chained(now.join(many.select(*CELL).hint("merge"), CELL, "left_semi"), live, round_no, percent)
+        new = area.save(new, "links")
         if roots is not None:  # the links so far, as stars
             new = new.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = area.save(components(new, area), "roots")

@@ -264,6 +264,31 @@ def test_jaccard_of_near_copies(spark, monkeypatch):
     assert jaccard.near_duplicates(df.limit(0), 5, 80, StageArea(spark)).count() == 0
 
 
+def test_jaccard_makes_no_row_for_each_pair_of_a_group(spark):
+    """Texts with a passage in common, each long enough to make every pair a candidate, and a few copies."""
+    size, passage = 400, " ".join(f"w{i}" for i in range(60))
+    docs = [(i, passage + "".join(f" x{i}-{j}" for j in range(13))) for i in range(size)]
+    docs += [(size + i, f"{docs[i][1]} y{i}") for i in range(20)]
+    area = StageArea(spark)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = jaccard.near_duplicates(df, 5, 80, area).collect()
+    assert {r.doc_id: (r.n, r.component) for r in rows} == linked(docs)
+    most = max(table.count() for table in area.tables.values())
+    assert most < size * size / 4, {name: table.count() for name, table in area.tables.items()}
+
+
+def test_jaccard_of_one_class_that_shares_a_little_with_many(spark, monkeypatch):
+    """Its tokens belong to many groups, which are parted."""
+    monkeypatch.setattr(jaccard, "HOME", 2)
+    rng = random.Random(3)
+    groups = [" ".join(f"g{i}-{j}" for j in range(rng.randrange(8, 30))) for i in range(40)]
+    docs = [" ".join(groups), " ".join(groups) + " end", " ".join(groups[:30])]
+    docs += [g + tail for g in groups for tail in ("", " a", " b c")]
+    docs = list(enumerate(docs))
+    rows = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, StageArea(spark)).collect()
+    assert {r.doc_id: (r.n, r.component) for r in rows} == linked(docs)
+
+
 def test_asked_matches_grow_with_frequent_tokens():
     rare, frequent = jaccard.np.full(100, 2), jaccard.np.full(100, 500)
     assert jaccard.matches_asked(frequent, 80) >= jaccard.matches_asked(rare, 80) >= 1
