@@ -43,6 +43,7 @@ QUERY_BYTES = 1 << 20  # of the parts of one recursive query
 ROUNDS = 8  # of one recursive query, which keeps the rows of all of its rounds
 CACHE_BYTES = 48 << 20  # of words and their ids that a worker keeps
 SLICE_WORDS = 500_000  # words of documents that are gathered together
+BLOCK = 0x800  # code points that are asked about together; the surrogates are one block
 
 CONTRACT = f"""
 WITH RECURSIVE t(step, word, pos, tok) AS (
@@ -140,32 +141,36 @@ def _stream(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _ranges(points: set[str]) -> str:
-    """Code points as the inside of a class of a JVM expression."""
-    at = np.array(sorted(map(ord, points)))
-    parts = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+def _ranges(points: np.ndarray) -> str:
+    """Ascending code points as the inside of a class of a JVM expression."""
+    parts = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
     return "".join(f"\\x{{{p[0]:X}}}-\\x{{{p[-1]:X}}}" for p in parts)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.unique(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+
+
 def jvm_pattern(spark: SparkSession, pattern: str) -> str:
     """The pattern for the JVM, its classes those of the tokenizer library.
 
-    Both engines are asked which of all code points are in a class. Those that the JVM lacks are added
-    behind one comparison with the first of them, those that it has too many are taken away.
+    Both engines are asked which of all code points are in a class; only those come back from the JVM. Those
+    that it lacks are added behind one comparison with the first of them, those that it has too many are
+    taken away.
     """
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    blocks = ["".join(map(chr, range(i, i + BLOCK))) for i in range(0, 0x110000, BLOCK) if i != 0xD800]
     kinds = sorted(set(re.findall(r"\\p\{\w+\}|\\s", pattern)))
-    one = spark.createDataFrame([(every,)], "every string")
-    rest = one.select(*(F.regexp_replace("every", f"(?U){k}", "") for k in kinds)).first()
+    rows = spark.createDataFrame([(b,) for b in blocks], "block string")
+    inside = rows.select(*(F.regexp_replace("block", f"(?U)[^{k}]", "") for k in kinds)).collect()
     single = {bytes([b]): b for b in range(256)}
-    for kind, without in zip(kinds, rest, strict=True):
-        jvm = set(every) - set(without)
+    for at, kind in enumerate(kinds):
+        jvm = _points("".join(row[at] for row in inside))
         probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={})
-        library = set(bytes(probe.encode_ordinary(every)).decode())
+        library = _points(b"".join(bytes(probe.encode_ordinary(b)) for b in blocks).decode())
         own = kind
-        if lacks := library - jvm:
-            own = f"[{own}[\\x{{{min(map(ord, lacks)):X}}}-\\x{{10FFFF}}&&[{_ranges(lacks)}]]]"
-        if more := jvm - library:
+        if len(lacks := np.setdiff1d(library, jvm)):
+            own = f"[{own}[\\x{{{lacks[0]:X}}}-\\x{{10FFFF}}&&[{_ranges(lacks)}]]]"
+        if len(more := np.setdiff1d(jvm, library)):
             own = f"[{own}&&[^{_ranges(more)}]]"
         if own != kind:
             pattern = pattern.replace(kind, own)

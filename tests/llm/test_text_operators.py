@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from contextlib import closing
 
@@ -59,6 +60,17 @@ def test_bpe_is_that_of_the_library(spark, vocab, reference):
         assert bytes(r.decoded).decode() == (values[r.doc_id] or "")
 
 
+def test_bpe_pattern_takes_little_of_the_driver(spark, vocab):
+    """The code points are asked about in blocks, and only those of a class come back."""
+    tracemalloc.start()
+    try:
+        pattern = bpe.jvm_pattern(spark, vocab.pattern)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pattern.startswith("(?U)") and most < 48 << 20
+
+
 def test_bpe_in_slices(vocab, reference, monkeypatch):
     """Small caches, queries and numbers of rounds give the same ids."""
     words = sorted({w for t in ODD if t for w in t.split()} | {f"w{i}ord{i * i}" for i in range(300)})
