@@ -48,8 +48,8 @@ from cohortloom.llm.components import components
 from cohortloom.llm.periodic import _mixed, slices
 from cohortloom.sources.stages import StageArea
 
-SLICE = 4_000_000  # bytes of text whose n-grams are formed together
-DEALT = 2_000_000  # tokens that a task packs together
+SLICE = 1_000_000  # bytes of text whose n-grams are formed together
+DEALT = 500_000  # tokens that a task packs together
 BUCKET = 4_000_000  # tokens of a bucket, about
 LEAST_BITS = 9  # of the number of buckets
 PAYLOAD = 48  # bits of a token beside its bucket
@@ -128,7 +128,9 @@ def _dealt(df: DataFrame, words: int, bits: int, text: str) -> DataFrame:
 
     def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         sets, gram = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         bucket, payload = _split(gram, bits)
+        del gram
         order = np.lexsort((payload, sets, bucket))
         sets, bucket, payload = sets[order], bucket[order], payload[order]
         # A set that stood in several slices counts once.
@@ -161,7 +163,7 @@ def _dealt(df: DataFrame, words: int, bits: int, text: str) -> DataFrame:
                 size += len(gram)
                 if size >= DEALT:
                     yield packed(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield packed(held)
 

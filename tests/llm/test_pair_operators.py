@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -277,6 +279,24 @@ def test_jaccard_makes_no_row_for_each_pair_of_a_group(spark):
     assert most < size * size / 4, {name: table.count() for name, table in area.tables.items()}
 
 
+def test_jaccard_packs_tokens_in_little_memory(spark, monkeypatch):
+    """A task holds a bounded part of its tokens, however many texts a batch has."""
+    rng = random.Random(11)
+    docs = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(400)) for _ in range(5000)]
+    df = texts(spark, docs[:1])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = jaccard._dealt(df, 5, 9, "text")
+    batch = pa.record_batch([pa.array(docs)], names=["text"])
+    tracemalloc.start()
+    try:
+        n = sum(len(low) // 4 for part in run([batch]) for low in part.column(3).to_pylist())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(jaccard.gram_sets([d], 5)[1]) for d in docs)
+    assert most < 96 << 20
+
+
 def test_jaccard_of_one_class_that_shares_a_little_with_many(spark, monkeypatch):
     """Its tokens belong to many groups, which are parted."""
     monkeypatch.setattr(jaccard, "HOME", 2)
