@@ -79,10 +79,7 @@ last AS (SELECT word, max(step) AS step FROM t GROUP BY word)
 SELECT step, word, pos, tok FROM t JOIN last USING (word, step)
 """
 
-DECODE = """
-SELECT row, list(vocab.raw ORDER BY pos) AS raw
-FROM ids JOIN vocab ON vocab.id = ids.tok GROUP BY row ORDER BY row
-"""
+DECODE = "SELECT list(vocab.raw ORDER BY pos) AS raw FROM ids JOIN vocab ON vocab.id = ids.tok"
 
 
 @dataclass(frozen=True)
@@ -255,9 +252,11 @@ class Contractor:
         """Ids of words, where each known word's end, and the places of ``words``, which are distinct, among them."""
         if self.known.size() > CACHE_BYTES:
             self.known = Known.none()
-        found = pc.index_in(words, self.known.words)
-        new = pc.is_null(found).to_numpy(zero_copy_only=False)
-        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        # The known words, of which there are far more, are looked up among ``words``.
+        found = pc.fill_null(pc.index_in(self.known.words, words), -1).to_numpy()
+        at = np.full(len(words), -1)
+        at[found[found >= 0]] = np.flatnonzero(found >= 0)
+        new = at < 0
         if new.any():
             at[new] = len(self.known.words) + np.arange(new.sum())
             fresh = words.filter(pa.array(new))
@@ -319,14 +318,9 @@ class Contractor:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The bytes of each list of ids; ``ends``: where each list ends."""
-        length = np.diff(ends, prepend=0)
-        row, pos = np.repeat(np.arange(len(ends)), length), np.arange(len(ids))
-        self.db.register("ids", pa.table({"row": row, "pos": pos, "tok": ids}))
-        got = self.db.sql(DECODE).to_arrow_table()
-        out = np.full(len(ends), b"", dtype=object)
-        raw = pc.binary_join(got["raw"].combine_chunks().cast(pa.list_(pa.binary())), b"") if len(got) else pa.array([], pa.binary())
-        out[got["row"].to_numpy()] = np.array([*raw.to_pylist(), None], dtype=object)[:-1]
-        return pa.array(out, pa.binary())
+        self.db.register("ids", pa.table({"pos": np.arange(len(ids)), "tok": ids}))
+        raw = self.db.sql(DECODE).to_arrow_table()["raw"].combine_chunks().flatten().cast(pa.binary())
+        return pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), raw), b"")
 
     def check(self, ids: np.ndarray) -> None:
         unknown = set(np.unique(ids).tolist()) - set(self.ids.values())

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from contextlib import closing
@@ -14,6 +15,7 @@ from contextlib import closing
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -86,6 +88,40 @@ def test_bpe_in_slices(vocab, reference, monkeypatch):
                 assert ids[starts[i] : ends[i]].tolist() == reference._encode_single_piece(w)
 
 
+def test_bpe_looks_words_up_without_a_table_of_all_known(vocab):
+    """Words that are known are found at less than the cost of hashing all that a worker knows."""
+
+    def seconds(call, times=5):
+        start = time.process_time()
+        for _ in range(times):
+            got = call()
+        return time.process_time() - start, got
+
+    known = pa.array([b"w%d" % i for i in range(400_000)], pa.large_binary())
+    words = pa.array([b"w%d" % i for i in range(399_999, 0, -200)], pa.large_binary())
+    with closing(bpe.Contractor(vocab.shipped())) as worker:
+        worker.known = bpe.Known(known, np.zeros(len(known), np.int32), np.arange(1, len(known) + 1))
+        table, places = seconds(lambda: pc.index_in(words, known))
+        took, (_, _, at) = seconds(lambda: worker.lookup(words))
+        worker.known = bpe.Known.none()
+    assert at.tolist() == places.to_pylist()
+    assert took < 0.7 * table
+
+
+def test_bpe_decodes_lists_of_any_length(vocab, reference):
+    """Empty lists first, last and in between, one of many ids, and no lists at all."""
+    values = ["", "", "a b é中 c" * 3000, "", "x", ""]
+    lists = [reference.encode_ordinary(v) for v in values]
+    ids = np.array([i for some in lists for i in some], dtype=np.int32)
+    ends = np.cumsum([len(some) for some in lists])
+    none = np.zeros(0, np.int64)
+    with closing(bpe.Contractor(vocab.shipped())) as worker:
+        assert worker.decode(ids, ends).to_pylist() == [v.encode() for v in values]
+        assert worker.decode(none.astype(np.int32), none[:0]).to_pylist() == []
+        assert worker.decode(none.astype(np.int32), np.zeros(2, np.int64)).to_pylist() == [b"", b""]
+        assert worker.decode(ids, ends).type == pa.binary()
+
+
 @pytest.mark.parametrize("file", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def test_bpe_of_long_words(file):
     """Words of any length, with repeats, runs and letters that no merge joins."""
